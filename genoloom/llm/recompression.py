@@ -68,15 +68,16 @@ class Level:
 
 
 def anchors(w: W.Words, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """For each window inside a text its first word and the name of its anchor.
+    """For each window inside a text its first word and the names of its two anchors.
 
-    The anchor is the highest-level symbol that the window's words alone decide, of these the one decided first from the
-    left. Equal windows therefore have equal anchors, wherever they are. Words are symbols of level 0 and need no context, so each window
+    The anchors are of the highest-level symbols that the window's words alone decide, of these the one decided first
+    from the left and the one decided first from the right. Equal windows therefore have equal anchors, wherever they
+    are. Words are symbols of level 0 and need no context, so each window
     has one, whatever the runs and edges around it.
     """
     n = len(w.hash)
     if n < size:
-        return np.zeros(0, np.int64), np.zeros(0, U)
+        return np.zeros(0, np.int64), np.zeros((2, 0), U)
     start = np.flatnonzero(w.row[: n - size + 1] == w.row[size - 1 :])
     level = Level(w.hash, w.row, np.arange(n), np.arange(n))
     levels = [level]
@@ -85,7 +86,7 @@ def anchors(w: W.Words, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
             level = level.runs()
         level = level.pairs(k)
         levels.append(level)
-    anchor, open_ = np.zeros(len(start), U), np.arange(len(start))
+    anchor, open_ = np.zeros((2, len(start)), U), np.arange(len(start))
     for k in range(len(levels) - 1, -1, -1):
         x = levels[k]
         # of the symbols decided from a window's start on, the one with the least end; if that is inside, it is the anchor
@@ -98,7 +99,12 @@ def anchors(w: W.Words, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
         at = np.searchsorted(-x.low[by], -start[open_], "right") - 1
         pick = by[best[np.maximum(at, 0)]]
         hit = (at >= 0) & (x.high[pick] < start[open_] + size)
-        anchor[open_[hit]] = W.mix(x.name[pick[hit]] + U(k))
+        other = good[np.argsort(x.high[good], kind="stable")]
+        most = np.maximum.accumulate(x.low[other])
+        best = np.maximum.accumulate(np.where(x.low[other] == most, np.arange(len(other)), 0))
+        last = other[best[np.searchsorted(x.high[other], start[open_[hit]] + size - 1, "right") - 1]]
+        for i, symbol in enumerate((pick[hit], last)):
+            anchor[i, open_[hit]] = W.mix(x.name[symbol] + U(k))
         open_ = open_[~hit]
         if not len(open_):
             break
@@ -127,7 +133,7 @@ def describe(docs: DataFrame, size: int) -> DataFrame:
                 total = [np.concatenate([[U(0)], np.cumsum(x, dtype=U)]) for x in (terms, other)]
                 whole = [W.signed(W.mix(x[w.first + w.count] - x[w.first])) for x in total]
                 start, anchor = anchors(w, size)
-                row = w.row[start]
+                row, anchor = np.tile(w.row[start], 2), anchor.reshape(-1)
                 by = np.lexsort((anchor, row))
                 row, anchor = row[by], anchor[by]
                 new = np.concatenate([[True], (row[1:] != row[:-1]) | (anchor[1:] != anchor[:-1])])[: len(row)]
@@ -146,7 +152,7 @@ def sha(words: bytes) -> str:
 
 
 def shared_windows(docs: DataFrame, size: int) -> DataFrame:
-    """(a, b, doc, place) of each window whose anchor is among the row's ``anchors``."""
+    """(a, b, doc, place) of each window both of whose anchors are among the row's ``anchors``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,7 +165,7 @@ def shared_windows(docs: DataFrame, size: int) -> DataFrame:
                 own = wanted.slice(chunk.first, len(chunk))
                 value = np.asarray(own.flatten()).view(U)
                 key = W.mix(value ^ W.mix(np.repeat(np.arange(len(chunk)), np.asarray(own.value_lengths())).astype(U)))
-                hit = np.isin(W.mix(anchor ^ W.mix(row.astype(U))), key)
+                hit = np.isin(W.mix(anchor ^ W.mix(row.astype(U))), key).all(axis=0)
                 a, b = fingerprints(w, size)
                 at = start[hit]
                 doc = batch.column("doc").take(pa.array(chunk.first + row[hit]))
@@ -196,8 +202,8 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
 
     1. Each document is recompressed; the names of runs and pairs are hashes of what they stand for, so they are global
        without a shuffle. Documents of equal words are represented by the smallest key.
-    2. A window can be in two documents only if its anchor is; anchors found in one document go.
-    3. Windows with the other anchors are held against one another by 128 bits of their words.
+    2. A window can be in two documents only if its anchors are; anchors found in one document go.
+    3. Windows with other anchors only are held against one another by 128 bits of their words.
     Every document with one key counts as one owner; of rows with a null key nothing is removed and they own nothing.
     """
     scratch = Scratch(docs.sparkSession, "recompression")
@@ -206,10 +212,11 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     group = ["all_a", "all_b", "n_words"]
     firsts = scratch.keep(known.filter(F.col("n_words") >= size).groupBy(*group).agg(F.min("doc").alias("doc")).select("doc").filter("doc is not null").distinct().withColumn("first", F.lit(True)), "firsts")
     flagged = scratch.keep(known.join(firsts, "doc", "left").withColumn("copy", (F.col("n_words") >= size) & F.col("doc").isNotNull() & F.col("first").isNull()), "flagged")
+    scratch.drop("known")
     named = flagged.filter("first").select("doc", F.explode("anchors").alias("anchor"))
     common = scratch.keep(named.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low <> high").select("anchor"), "common")
     wanted = scratch.keep(named.join(common, "anchor").groupBy("doc").agg(F.collect_set("anchor").alias("anchors")), "wanted")
-    scratch.drop("known", "firsts", "common")
+    scratch.drop("firsts", "common")
     texts = scratch.keep(rows.join(wanted, "doc"), "texts")
     windows = scratch.keep(shared_windows(texts, size), "windows")
     owners = scratch.keep(windows.groupBy("a", "b").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).filter("owner < last").select("a", "b", "owner"), "owners")
