@@ -96,7 +96,8 @@ class Trie:
         self.depths, self.first = depths, np.concatenate([[0], np.cumsum([len(x) for x in depths])])
         self.nodes = int(self.first[-1])
         self.parent = np.zeros(self.nodes, np.int64)
-        self.child = np.repeat(np.tile(np.arange(self.nodes), 2) + self.nodes, self.width).reshape(2 * self.nodes, self.width).astype(np.int32)
+        self.child = np.empty((2 * self.nodes, self.width), np.int32)
+        self.child[:] = np.tile(np.arange(self.nodes, 2 * self.nodes, dtype=np.int32), 2)[:, None]
         for k in range(1, self.depth + 1):
             ids = np.arange(self.first[k], self.first[k + 1])
             self.parent[ids] = self.node(k - 1, depths[k] & U((1 << (8 * (k - 1))) - 1))
