@@ -67,7 +67,7 @@ class Model:
 def train(labelled: DataFrame, order: int = ORDER, share: float = SHARE, lang: str = "lang", text: str = "text") -> Model:
     """Count all rows with a language; the model has at most ``order / share`` contexts a language."""
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    return Model(frequent_contexts(count_codes(rows, prepare, order, lang, text), order, share).toPandas(), order)
+    return Model(frequent_contexts(count_codes(rows, prepare, order, lang, text), order, share).toArrow().to_pandas(), order)
 
 
 def has_letter(texts: list[str | None]) -> np.ndarray:
