@@ -252,3 +252,35 @@ def test_vectors(spark):
 
 def test_trie_sums():
     assert bytetrie.sum_by_row(np.arange(5.0), np.array([2, 0, 3])).tolist() == [1, 0, 9]
+
+
+def test_pst_contexts_are_counted_exactly(spark, monkeypatch):
+    monkeypatch.setattr(bytetrie, "BLOCK_SYMBOLS", 3000)
+    texts = [" ".join(prose(i, 60, 25)) for i in range(60)] + ODD
+    share, order, total, following = 0.004, 3, Counter(), Counter()
+    for text in texts:
+        body = b"".join(x + b" " for x in pst.tokens(text)[:-1]) + b"\xff"
+        led = b"\xff" * order + body
+        for i in range(len(body)):
+            for k in range(order + 1):
+                total[led[i + order - k : i + order]] += 1
+                following[led[i + order - k : i + order], led[i + order]] += 1
+    rows = docs(spark, texts).repartition(3)
+    depths, seen, whole = bytetrie.candidate_contexts(rows, pst.prepare, order, share, scratch.Scratch(spark, "t"), "text")
+    assert whole == total[b""] and seen.tolist() == sorted({s for _, s in following})
+    for k in range(1, order + 1):
+        found = {int(x).to_bytes(8, "little")[:k][::-1] for x in depths[k]}
+        assert {c for c, n in total.items() if len(c) == k and n >= share * whole} <= found
+        assert all(total[c] >= 0.75 * share * whole for c in found)
+    model = pst.train(rows, order=order, share=share)
+    node = {b"": 0}
+    for k in range(1, order + 1):
+        node |= {int(x).to_bytes(8, "little")[:k][::-1]: int(model.trie.first[k]) + i for i, x in enumerate(model.trie.depths[k])}
+    assert all(total[c] >= share * whole for c in node) and len(node) > 20
+    for context, at in node.items():
+        for symbol in (97, 119, 32, 255):
+            chance = (following[b"", symbol] + 0.5) / (whole + 128)
+            for k in range(1, len(context) + 1):
+                suffix = context[len(context) - k :]
+                chance = (following[suffix, symbol] + 8 * chance) / (total[suffix] + 8)
+            assert model.log[at, model.trie.symbol[symbol]] == pytest.approx(np.log10(chance), abs=1e-4)
