@@ -284,3 +284,17 @@ def test_pst_contexts_are_counted_exactly(spark, monkeypatch):
                 suffix = context[len(context) - k :]
                 chance = (following[suffix, symbol] + 8 * chance) / (total[suffix] + 8)
             assert model.log[at, model.trie.symbol[symbol]] == pytest.approx(np.log10(chance), abs=1e-4)
+
+
+def test_pst_support_is_absolute(spark):
+    rare = "quixotry zymurgy jabberwock vexillology"
+    texts = [" ".join(prose(i, 3000, 5000)) for i in range(70)]
+    texts = [f"{rare} {t}" if i < 9 else t for i, t in enumerate(texts)] + [rare, f"{rare} quaxotry é", *ODD]
+    df = docs(spark, texts)
+    held = df["doc_id"].between(70, 73)
+    learned = df.filter(~held)
+    whole = sum(len(b" ".join(pst.tokens(t)[:-1])) + 2 for i, t in enumerate(texts) if not 70 <= i < 74)
+    assert pst.SHARE * whole > 12 > pst.SUPPORT
+    got = {r.doc_id: r.score for r in pst.score(df, held, block_bytes=300_000).collect()}
+    want = pst.train(learned, share=pst.SUPPORT / whole).score(pa.array(texts))
+    assert [got[i] for i in range(len(texts))] == pytest.approx(want.tolist(), rel=1e-4)
