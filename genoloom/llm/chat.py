@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 64
+#: Blocks of a dialogue that are numbered together.
+RANGE = 256
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 NO_TURN = 1 << 56
 
@@ -14,8 +16,11 @@ def rotate(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", speak
     """For each participant of each dialogue: that speaker rendered as assistant, all others as named users.
 
     A row is one chunk of a participant's rendering: the messages whose turns share ``turn div block``, so a usual
-    dialogue is one row and a hot one is spread over rows of bounded size that follow one another by ``chunk``
-    (0-based, of ``n_chunks``). ``rendered`` is the text, ``n_messages`` and ``first_message`` place it in the
+    dialogue is one row and a hot one is spread over rows that follow one another by ``chunk`` (0-based, of
+    ``n_chunks``). A chunk is whole in one row by definition: its size is bounded where turns are different, but all
+    messages with a null turn, or with turns of one block, are one row of each participant and pass through one task.
+    Chunks are numbered within ranges of RANGE blocks of turns; only a row for each range of a dialogue, not its blocks
+    or texts, goes through one window (as many as its blocks if its turns lie further apart than a range). ``rendered`` is the text, ``n_messages`` and ``first_message`` place it in the
     dialogue, ``mask_starts`` and ``mask_ends`` are the character spans (end exclusive, closing marker included) on
     which the participant is trained.
 
@@ -28,19 +33,24 @@ def rotate(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", speak
         F.coalesce(F.nullif(F.col(speaker), F.lit("")), F.lit("unknown")).alias("speaker"), F.coalesce(F.col(text), F.lit("")).alias("text"),
     ).withColumn("part", F.floor(F.col("turn") / block))
     blocks = rows.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "speaker", "text"))).alias("messages"))
-    dialogue = Window.partitionBy("id")
-    slim = (
-        rows.groupBy(F.col("conv_id").alias("id"), F.col("part").alias("at"))
-        .agg(F.count("*").alias("n_messages"), F.collect_set("speaker").alias("who"))
-        .select(
-            "id", "at", "n_messages",
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("who").over(dialogue)))).alias("participants"),
-            (F.row_number().over(dialogue.orderBy("at")) - 1).cast("long").alias("chunk"),
-            F.count("*").over(dialogue).alias("n_chunks"),
-            F.coalesce(F.sum("n_messages").over(dialogue.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first_message"),
-        )
+    slim = rows.groupBy(F.col("conv_id").alias("id"), F.col("part").alias("at")).agg(F.count("*").alias("n_messages")).withColumn("range", F.floor(F.col("at") / RANGE))
+    dialogue, within = Window.partitionBy("id"), Window.partitionBy("id", "range").orderBy("at")
+    before = dialogue.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = slim.groupBy("id", "range").agg(F.count("*").alias("blocks"), F.sum("n_messages").alias("messages"))
+    ranges = ranges.select(
+        F.col("id").alias("range_id"), F.col("range").alias("range_at"), F.sum("blocks").over(dialogue).alias("n_chunks"),
+        F.coalesce(F.sum("blocks").over(before), F.lit(0)).alias("chunks_before"), F.coalesce(F.sum("messages").over(before), F.lit(0)).alias("messages_before"),
+    )
+    people = rows.select(F.col("conv_id").alias("people_id"), F.col("speaker").alias("participant")).distinct()
+    ranges = ranges.join(people, F.col("range_id").eqNullSafe(F.col("people_id")))
+    numbered = slim.select(
+        "id", "at", "range", "n_messages", (F.row_number().over(within) - 1).alias("nth"),
+        F.coalesce(F.sum("n_messages").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"),
     )
-    views = blocks.join(slim, blocks["conv_id"].eqNullSafe(slim["id"]) & (F.col("part") == F.col("at"))).withColumn("participant", F.explode("participants"))
+    numbered = numbered.join(ranges, F.col("id").eqNullSafe(F.col("range_id")) & (F.col("range") == F.col("range_at"))).select(
+        "id", "at", "participant", "n_messages", (F.col("chunks_before") + F.col("nth")).alias("chunk"), "n_chunks", (F.col("messages_before") + F.col("earlier")).alias("first_message")
+    )
+    views = blocks.join(numbered, blocks["conv_id"].eqNullSafe(numbered["id"]) & (F.col("part") == F.col("at")))
 
     def own(m: Column) -> Column:
         return m["speaker"] == F.col("participant")

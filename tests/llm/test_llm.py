@@ -298,3 +298,13 @@ def test_pst_support_is_absolute(spark):
     got = {r.doc_id: r.score for r in pst.score(df, held, block_bytes=300_000).collect()}
     want = pst.train(learned, share=pst.SUPPORT / whole).score(pa.array(texts))
     assert [got[i] for i in range(len(texts))] == pytest.approx(want.tolist(), rel=1e-4)
+
+
+def test_rotation_of_a_hot_dialogue(spark):
+    n = 20_000
+    rows = spark.range(n).selectExpr("cast(null as long) AS conv_id", "64 * id AS turn", "concat('p', id % 4) AS role", "'x' AS text")
+    rows = rows.union(spark.sql("SELECT 5L, 1L, 'ann', 'y'")).union(spark.sql("SELECT 5L, null, 'bob', 'z'"))
+    got = chat.rotate(rows)
+    hot = got.filter("conv_id is null").selectExpr("count(*)", "count(distinct participant, chunk)", "min(chunk)", "max(chunk)", "bool_and(chunk = first_message AND n_messages = 1)", "min(n_chunks)", "max(n_chunks)", "sum(size(mask_starts))").first()
+    assert tuple(hot) == (4 * n, 4 * n, 0, n - 1, True, n, n, n)
+    assert sorted((r.participant, r.chunk, r.n_chunks, r.first_message) for r in got.filter("conv_id = 5").collect()) == [(p, c, 2, c) for p in ("ann", "bob") for c in (0, 1)]
