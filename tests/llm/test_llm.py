@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from genoloom.llm import bpe, bytetrie, chat, components, embeddings, langid, minhash, packing, pst, quality, recompression, scratch, warc, words
 from genoloom.llm.queries import VOCABULARY
 
@@ -308,3 +309,10 @@ def test_rotation_of_a_hot_dialogue(spark):
     hot = got.filter("conv_id is null").selectExpr("count(*)", "count(distinct participant, chunk)", "min(chunk)", "max(chunk)", "bool_and(chunk = first_message AND n_messages = 1)", "min(n_chunks)", "max(n_chunks)", "sum(size(mask_starts))").first()
     assert tuple(hot) == (4 * n, 4 * n, 0, n - 1, True, n, n, n)
     assert sorted((r.participant, r.chunk, r.n_chunks, r.first_message) for r in got.filter("conv_id = 5").collect()) == [(p, c, 2, c) for p in ("ann", "bob") for c in (0, 1)]
+
+
+def test_pipeline_near_dedup_keeps_null_ids(spark):
+    text = " ".join(prose(1, 60))
+    rows = [(1, text), (2, text), (None, text), (None, "other words"), (3, None)]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted([(1, text), (0, text), (0, "other words"), (3, "")])
