@@ -122,7 +122,7 @@ def batches_of(docs: pa.RecordBatch) -> Iterator[tuple[W.Chunk, W.Words]]:
 
 
 def describe(docs: DataFrame, size: int) -> DataFrame:
-    """doc, n_words, a fingerprint of all words, the digest of the words as they are, and the distinct anchors."""
+    """doc, source, n_words, a fingerprint of all words, the digest of the words as they are, and the distinct anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,11 +140,11 @@ def describe(docs: DataFrame, size: int) -> DataFrame:
                 ends = np.concatenate([[0], np.cumsum(np.bincount(row[new], minlength=len(chunk)))])
                 digest = [sha(b" ".join(chunk.data[a:b].tobytes().split())) for a, b in zip(chunk.offsets, chunk.offsets[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc").slice(chunk.first, len(chunk)), pa.array(w.count), pa.array(whole[0]), pa.array(whole[1]), pa.array(digest, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(W.signed(anchor[new])))],
-                    ["doc", "n_words", "all_a", "all_b", "digest", "anchors"],
+                    [*(batch.column(x).slice(chunk.first, len(chunk)) for x in ("doc", "source")), pa.array(w.count), pa.array(whole[0]), pa.array(whole[1]), pa.array(digest, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(W.signed(anchor[new])))],
+                    ["doc", "source", "n_words", "all_a", "all_b", "digest", "anchors"],
                 )
 
-    return docs.mapInArrow(run, "doc long, n_words long, all_a long, all_b long, digest string, anchors array<long>")
+    return docs.mapInArrow(run, "doc long, source long, n_words long, all_a long, all_b long, digest string, anchors array<long>")
 
 
 def sha(words: bytes) -> str:
@@ -152,7 +152,7 @@ def sha(words: bytes) -> str:
 
 
 def shared_windows(docs: DataFrame, size: int) -> DataFrame:
-    """(a, b, doc, place) of each window both of whose anchors are among the row's ``anchors``."""
+    """(a, b, doc, variant, place) of each window both of whose anchors are among the row's ``anchors``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,14 +168,14 @@ def shared_windows(docs: DataFrame, size: int) -> DataFrame:
                 hit = np.isin(W.mix(anchor ^ W.mix(row.astype(U))), key).all(axis=0)
                 a, b = fingerprints(w, size)
                 at = start[hit]
-                doc = batch.column("doc").take(pa.array(chunk.first + row[hit]))
-                yield pa.RecordBatch.from_arrays([pa.array(W.signed(a[at])), pa.array(W.signed(b[at])), doc, pa.array((at - w.first[row[hit]]).astype(np.int32))], ["a", "b", "doc", "place"])
+                doc, variant = (batch.column(x).take(pa.array(chunk.first + row[hit])) for x in ("doc", "variant"))
+                yield pa.RecordBatch.from_arrays([pa.array(W.signed(a[at])), pa.array(W.signed(b[at])), doc, variant, pa.array((at - w.first[row[hit]]).astype(np.int32))], ["a", "b", "doc", "variant", "place"])
 
-    return docs.mapInArrow(run, "a long, b long, doc long, place int")
+    return docs.mapInArrow(run, "a long, b long, doc long, variant long, place int")
 
 
 def cut(docs: DataFrame, size: int) -> DataFrame:
-    """(doc, n_removed, kept_text): the text's words outside its removed windows, which begin at ``places``."""
+    """(doc, source, n_removed, kept_text): the text's words outside its removed windows, which begin at ``places``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,49 +188,52 @@ def cut(docs: DataFrame, size: int) -> DataFrame:
                 gone = np.cumsum(edge[:-1]) > 0
                 removed.append(int(gone.sum()))
                 kept.append(b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g).decode())
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc", "n_removed", "kept_text"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("source"), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc", "source", "n_removed", "kept_text"])
 
-    return docs.select("doc", "text", "places").mapInArrow(run, "doc long, n_removed long, kept_text string")
+    return docs.select("doc", "source", "text", "places").mapInArrow(run, "doc long, source long, n_removed long, kept_text string")
 
 
 def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """What of each document an earlier one has, as two tables.
 
-    The first has for every row of ``docs``: doc (the key), n_words, digest (SHA-256 of all words joined by a space)
+    The first has for every row of ``docs``: doc (the key), source (a hash of the text), n_words, digest (SHA-256 of all words joined by a space)
     and copy (its words are all those of a smaller key's document, and ``size`` or more). The second has for each other
-    document that loses something: doc, n_removed, kept_text.
+    row that loses something: doc, source, n_removed, kept_text.
 
     1. Each document is recompressed; the names of runs and pairs are hashes of what they stand for, so they are global
        without a shuffle. Documents of equal words are represented by the smallest key.
     2. A window can be in two documents only if its anchors are; anchors found in one document go.
     3. Windows with other anchors only are held against one another by 128 bits of their words.
-    Every document with one key counts as one owner; of rows with a null key nothing is removed and they own nothing.
+    All rows with one key count as one owner, so they take nothing from one another, but each text of a key that has
+    several is cut at its own places (``variant`` is the source there, else 0). Of rows with a null key nothing is removed and they own nothing.
     """
     scratch = Scratch(docs.sparkSession, "recompression")
-    rows = docs.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("source", F.xxhash64("text"))
     known = scratch.keep(describe(rows, size), "known")
     group = ["all_a", "all_b", "n_words"]
     firsts = scratch.keep(known.filter(F.col("n_words") >= size).groupBy(*group).agg(F.min("doc").alias("doc")).select("doc").filter("doc is not null").distinct().withColumn("first", F.lit(True)), "firsts")
     flagged = scratch.keep(known.join(firsts, "doc", "left").withColumn("copy", (F.col("n_words") >= size) & F.col("doc").isNotNull() & F.col("first").isNull()), "flagged")
+    several = scratch.keep(known.filter("doc is not null").groupBy("doc").agg(F.min("source").alias("low"), F.max("source").alias("high")).filter("low <> high").select("doc", F.lit(True).alias("several")), "several")
     scratch.drop("known")
     named = flagged.filter("first").select("doc", F.explode("anchors").alias("anchor"))
     common = scratch.keep(named.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low <> high").select("anchor"), "common")
     wanted = scratch.keep(named.join(common, "anchor").groupBy("doc").agg(F.collect_set("anchor").alias("anchors")), "wanted")
     scratch.drop("firsts", "common")
-    texts = scratch.keep(rows.join(wanted, "doc"), "texts")
+    wanted = wanted.join(several, "doc", "left")
+    texts = scratch.keep(rows.join(wanted, "doc").withColumn("variant", F.when(F.col("several"), F.col("source")).otherwise(F.lit(0).cast("long"))).drop("several"), "texts")
     windows = scratch.keep(shared_windows(texts, size), "windows")
     owners = scratch.keep(windows.groupBy("a", "b").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).filter("owner < last").select("a", "b", "owner"), "owners")
-    places = windows.join(owners, ["a", "b"]).filter("owner < doc").groupBy("doc").agg(F.collect_set("place").alias("places"))
-    changed = scratch.keep(cut(texts.select("doc", "text").join(places, "doc"), size), "changed")
-    scratch.drop("wanted", "texts", "windows", "owners")
-    return flagged.select("doc", "n_words", "digest", F.coalesce("copy", F.lit(False)).alias("copy")), changed
+    places = windows.join(owners, ["a", "b"]).filter("owner < doc").groupBy("doc", "variant").agg(F.collect_set("place").alias("places"))
+    changed = scratch.keep(cut(texts.select("doc", "variant", "source", "text").join(places, ["doc", "variant"]), size), "changed")
+    scratch.drop("several", "wanted", "texts", "windows", "owners")
+    return flagged.select("doc", "source", "n_words", "digest", F.coalesce("copy", F.lit(False)).alias("copy")), changed
 
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = WINDOW) -> DataFrame:
     """(key, n_words, n_removed, kept_sha256) of every row. Null or empty text has no words."""
     all_docs, changed = find_repeats(docs, key, text, size)
-    own = changed.select(F.col("doc").alias("d"), "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
-    return all_docs.join(own, F.col("doc") == F.col("d"), "left").select(
+    own = changed.select(F.col("doc").alias("d"), F.col("source").alias("s"), "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")).dropDuplicates(["d", "s"])
+    return all_docs.join(own, (F.col("doc") == F.col("d")) & (F.col("source") == F.col("s")), "left").select(
         F.col("doc").alias(key), "n_words", F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(F.col("copy"), F.lit(sha(b""))).otherwise(F.coalesce("kept_sha256", "digest")).alias("kept_sha256"),
     )
@@ -239,9 +242,9 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = WINDOW) -> DataFrame:
     """``docs`` with repeats cut out: a text that loses words is its other words joined by a space; others stay as they are."""
     all_docs, changed = find_repeats(docs, key, text, size)
-    copies = all_docs.filter("copy").select("doc", F.lit("").alias("kept_text"))
-    new = changed.select("doc", "kept_text").unionByName(copies).dropDuplicates(["doc"]).toDF("repeat_doc", "repeat_text")
-    joined = docs.join(new, F.col(key).cast("long") == F.col("repeat_doc"), "left")
+    copies = all_docs.filter("copy").select("doc", "source", F.lit("").alias("kept_text"))
+    new = changed.select("doc", "source", "kept_text").unionByName(copies).dropDuplicates(["doc", "source"]).toDF("repeat_doc", "repeat_source", "repeat_text")
+    joined = docs.join(new, (F.col(key).cast("long") == F.col("repeat_doc")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("repeat_source")), "left")
     return joined.withColumn(text, F.coalesce("repeat_text", text)).select(*docs.columns)
 
 

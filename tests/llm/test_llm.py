@@ -316,3 +316,15 @@ def test_pipeline_near_dedup_keeps_null_ids(spark):
     rows = [(1, text), (2, text), (None, text), (None, "other words"), (3, None)]
     got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted([(1, text), (0, text), (0, "other words"), (3, "")])
+
+
+def test_recompression_of_repeated_ids(spark):
+    shared, other = prose(1, 70), prose(2, 60)
+    long, short = [*prose(3, 200), *shared], [*shared[:55], "own"]
+    texts = [(1, shared), (2, long), (2, short), (2, ["a", "b"]), (3, [*shared, "end"]), (3, [*shared, "end"]), (4, other), (5, other), (5, [*other, "x"]), (6, shared), (6, ["few"])]
+    kept = [shared, prose(3, 200), ["own"], ["a", "b"], ["end"], ["end"], other, [], ["x"], [], ["few"]]
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in texts], "doc_id long, text string")
+    got = recompression.digests(rows).collect()
+    want = [(i, len(t), len(t) - len(k), recompression.sha(" ".join(k).encode())) for (i, t), k in zip(texts, kept, strict=True)]
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert sorted(map(tuple, recompression.remove_repeats(rows).collect())) == sorted((i, " ".join(k)) for (i, _), k in zip(texts, kept, strict=True))
