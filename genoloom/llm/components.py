@@ -2,12 +2,32 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from genoloom.llm.scratch import Scratch
 
 
+def spanning(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Links of ids that join as much as all given ones do, found by union over the task's links."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for a, b in zip(left.tolist(), right.tolist(), strict=True):
+        x, y = root(a), root(b)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append((a, b))
+    return out
+
+
 def components(links: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:
     """(node, component) of every node that ``links`` (a, b) touch; component is the smallest node reachable.
 

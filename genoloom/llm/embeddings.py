@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genoloom.llm.components import components
+from genoloom.llm.components import components, spanning
 from genoloom.llm.scratch import Scratch
 
 COSINE, RECALL = 0.93, 0.999
@@ -101,25 +101,6 @@ def block_links(query: np.ndarray, index: np.ndarray, cosine: float) -> tuple[np
     return np.nonzero(query @ index.T >= cosine)
 
 
-def spanning(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Links of ids that join as much as all given ones do, found by union over the block's links."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out = []
-    for a, b in zip(left.tolist(), right.tolist(), strict=True):
-        x, y = root(a), root(b)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            out.append((a, b))
-    return out
-
-
 def near_vectors(df: DataFrame, cosine: float = COSINE, recall: float = RECALL, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """(key, n_links, component_id, kept) of every row: links within a label at ``cosine`` or more, in double precision.
 

@@ -98,7 +98,7 @@ def judge(text: pa.Array, min_repeat: int = MIN_REPEAT, most_percent: int = MOST
     out: dict[str, list] = {name: [] for name in ("n_words", "word_chars", "n_repeat_words", "repeat_words", "longest_repeat")}
     for chunk in W.chunks(text):
         w, rows = W.split(chunk), len(chunk)
-        deepest = repeats(W.mix(w.hash ^ W.mix(w.row.astype(np.uint64) + np.uint64(1))))
+        deepest = repeats(w.row * (1 + int(w.number.max(initial=0))) + w.number)
         most = np.zeros(rows, np.int64)
         np.maximum.at(most, w.row, deepest)
         lead = np.concatenate([[0], np.cumsum(((chunk.data & 0xC0) != 0x80) & ~W.SPACE[chunk.data])])

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ WINDOW = 50
 PAIR_ROUNDS, RUN_ROUNDS = 8, (0, 4)
 U = np.uint64
 FAR = 1 << 40
+SEGMENT = ["doc", "variant", "place", "owner", "owner_variant", "owner_place", "n"]
+CUT = "doc long, source long, n_removed long, kept_text string, variant long, place long, n long, digest string"
 
 
 class Level:
@@ -68,16 +71,15 @@ class Level:
 
 
 def anchors(w: W.Words, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """For each window inside a text its first word and the names of its two anchors.
+    """For each window inside a text its first word and a name of its two anchors.
 
     The anchors are of the highest-level symbols that the window's words alone decide, of these the one decided first
     from the left and the one decided first from the right. Equal windows therefore have equal anchors, wherever they
-    are. Words are symbols of level 0 and need no context, so each window
-    has one, whatever the runs and edges around it.
+    are. Words are symbols of level 0 and need no context, so each window has one, whatever the runs and edges around it.
     """
     n = len(w.hash)
     if n < size:
-        return np.zeros(0, np.int64), np.zeros((2, 0), U)
+        return np.zeros(0, np.int64), np.zeros(0, U)
     start = np.flatnonzero(w.row[: n - size + 1] == w.row[size - 1 :])
     level = Level(w.hash, w.row, np.arange(n), np.arange(n))
     levels = [level]
@@ -86,7 +88,7 @@ def anchors(w: W.Words, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
             level = level.runs()
         level = level.pairs(k)
         levels.append(level)
-    anchor, open_ = np.zeros((2, len(start)), U), np.arange(len(start))
+    anchor, open_ = np.zeros(len(start), U), np.arange(len(start))
     for k in range(len(levels) - 1, -1, -1):
         x = levels[k]
         # of the symbols decided from a window's start on, the one with the least end; if that is inside, it is the anchor
@@ -103,17 +105,24 @@ def anchors(w: W.Words, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
         most = np.maximum.accumulate(x.low[other])
         best = np.maximum.accumulate(np.where(x.low[other] == most, np.arange(len(other)), 0))
         last = other[best[np.searchsorted(x.high[other], start[open_[hit]] + size - 1, "right") - 1]]
-        for i, symbol in enumerate((pick[hit], last)):
-            anchor[i, open_[hit]] = W.mix(x.name[symbol] + U(k))
+        anchor[open_[hit]] = W.mix(W.mix(x.name[pick[hit]] + U(k)) * U(W.BASE) + x.name[last])
         open_ = open_[~hit]
         if not len(open_):
             break
     return start, anchor
 
 
-def fingerprints(w: W.Words, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of each window, as two columns."""
-    return W.windows(w.hash, size, W.BASE), W.windows(W.mix(w.hash ^ U(0xA5A5A5A5A5A5A5A5)), size, 0xD6E8FEB86659FD93)
+def fingerprints(w: W.Words, start: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each window that begins at ``start``, as two columns."""
+    return W.windows(w.hash, size)[start], W.windows(w.other, size)[start]
+
+
+def exact_fingerprints(w: W.Words, start: np.ndarray, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """The same from SHA-256 of the window's words: slow, for input on which the others are found to collide."""
+    words = list(chain.from_iterable(w.rows))
+    bits = b"".join(hashlib.sha256(b" ".join(words[i : i + size])).digest()[:16] for i in start.tolist())
+    both = np.frombuffer(bits, U).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
 
 
 def batches_of(docs: pa.RecordBatch) -> Iterator[tuple[W.Chunk, W.Words]]:
@@ -121,38 +130,32 @@ def batches_of(docs: pa.RecordBatch) -> Iterator[tuple[W.Chunk, W.Words]]:
         yield chunk, W.split(chunk)
 
 
+def sha(words: bytes) -> str:
+    return hashlib.sha256(words).hexdigest()
+
+
 def describe(docs: DataFrame, size: int) -> DataFrame:
-    """doc, source, n_words, a fingerprint of all words, the digest of the words as they are, and the distinct anchors."""
+    """doc, source, n_words, the digest of all words, and the distinct anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, w in batches_of(batch):
-                power = W.powers(W.BASE, max(1, int(w.count.max())))
-                terms = (w.hash + U(1)) * power[np.arange(len(w.hash)) - w.first[w.row]]
-                other = W.mix(w.hash + U(7)) * power[np.arange(len(w.hash)) - w.first[w.row]]
-                total = [np.concatenate([[U(0)], np.cumsum(x, dtype=U)]) for x in (terms, other)]
-                whole = [W.signed(W.mix(x[w.first + w.count] - x[w.first])) for x in total]
                 start, anchor = anchors(w, size)
-                row, anchor = np.tile(w.row[start], 2), anchor.reshape(-1)
+                row = w.row[start]
                 by = np.lexsort((anchor, row))
                 row, anchor = row[by], anchor[by]
                 new = np.concatenate([[True], (row[1:] != row[:-1]) | (anchor[1:] != anchor[:-1])])[: len(row)]
                 ends = np.concatenate([[0], np.cumsum(np.bincount(row[new], minlength=len(chunk)))])
-                digest = [sha(b" ".join(chunk.data[a:b].tobytes().split())) for a, b in zip(chunk.offsets, chunk.offsets[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(x).slice(chunk.first, len(chunk)) for x in ("doc", "source")), pa.array(w.count), pa.array(whole[0]), pa.array(whole[1]), pa.array(digest, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(W.signed(anchor[new])))],
-                    ["doc", "source", "n_words", "all_a", "all_b", "digest", "anchors"],
-                )
-
-    return docs.mapInArrow(run, "doc long, source long, n_words long, all_a long, all_b long, digest string, anchors array<long>")
-
+                digest = pa.array([sha(b" ".join(x)) for x in w.rows], pa.string())
+                found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(W.signed(anchor[new])))
+                keys = [batch.column(x).slice(chunk.first, len(chunk)) for x in ("doc", "source")]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(w.count), digest, found], ["doc", "source", "n_words", "digest", "anchors"])
 
-def sha(words: bytes) -> str:
-    return hashlib.sha256(words).hexdigest()
+    return docs.mapInArrow(run, "doc long, source long, n_words long, digest string, anchors array<long>")
 
 
-def shared_windows(docs: DataFrame, size: int) -> DataFrame:
-    """(a, b, doc, variant, place) of each window both of whose anchors are among the row's ``anchors``."""
+def shared_windows(docs: DataFrame, size: int, prints: Callable) -> DataFrame:
+    """(a, b, doc, variant, place) of each window whose anchors are among the row's ``anchors``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,72 +164,123 @@ def shared_windows(docs: DataFrame, size: int) -> DataFrame:
                 start, anchor = anchors(w, size)
                 if not len(start):
                     continue
-                row = w.row[start]
                 own = wanted.slice(chunk.first, len(chunk))
                 value = np.asarray(own.flatten()).view(U)
                 key = W.mix(value ^ W.mix(np.repeat(np.arange(len(chunk)), np.asarray(own.value_lengths())).astype(U)))
-                hit = np.isin(W.mix(anchor ^ W.mix(row.astype(U))), key).all(axis=0)
-                a, b = fingerprints(w, size)
-                at = start[hit]
-                doc, variant = (batch.column(x).take(pa.array(chunk.first + row[hit])) for x in ("doc", "variant"))
-                yield pa.RecordBatch.from_arrays([pa.array(W.signed(a[at])), pa.array(W.signed(b[at])), doc, variant, pa.array((at - w.first[row[hit]]).astype(np.int32))], ["a", "b", "doc", "variant", "place"])
+                at = start[np.isin(W.mix(anchor ^ W.mix(w.row[start].astype(U))), key)]
+                a, b = prints(w, at, size)
+                row = w.row[at]
+                doc, variant = (batch.column(x).take(pa.array(chunk.first + row)) for x in ("doc", "variant"))
+                yield pa.RecordBatch.from_arrays([pa.array(W.signed(a)), pa.array(W.signed(b)), doc, variant, pa.array((at - w.first[row]).astype(np.int32))], ["a", "b", "doc", "variant", "place"])
 
     return docs.mapInArrow(run, "a long, b long, doc long, variant long, place int")
 
 
-def cut(docs: DataFrame, size: int) -> DataFrame:
-    """(doc, source, n_removed, kept_text): the text's words outside its removed windows, which begin at ``places``."""
+def segments(matches: DataFrame) -> DataFrame:
+    """(doc, variant, place, owner, owner_variant, owner_place, n): runs of ``n`` windows that follow one another in both documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            removed, kept = [], []
-            for text, places in zip(batch.column("text").to_pylist(), batch.column("places"), strict=True):
-                words = (text or "").encode().split()
-                edge, at = np.zeros(len(words) + 1, np.int64), np.asarray(places.values)
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + size, -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                removed.append(int(gone.sum()))
-                kept.append(b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g).decode())
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("source"), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc", "source", "n_removed", "kept_text"])
+            links = batch.column("links")
+            own = np.repeat(np.arange(len(batch)), np.asarray(links.value_lengths()))
+            code = np.asarray(links.flatten())
+            by = np.lexsort((code, own))
+            own, place, other = own[by], code[by] >> 32, code[by] & 0xFFFFFFFF
+            new = np.flatnonzero(np.concatenate([[True], (np.diff(own) != 0) | (np.diff(place) != 1) | (np.diff(other) != 1)])[: len(own)])
+            key = [batch.column(x).take(pa.array(own[new])) for x in ("doc", "variant", "owner", "owner_variant")]
+            yield pa.RecordBatch.from_arrays([key[0], key[1], pa.array(place[new]), key[2], key[3], pa.array(other[new]), pa.array(np.diff(new, append=len(own)))], SEGMENT)
+
+    return matches.mapInArrow(run, ", ".join(f"{x} long" for x in SEGMENT))
+
 
-    return docs.select("doc", "source", "text", "places").mapInArrow(run, "doc long, source long, n_removed long, kept_text string")
+def cut(docs: DataFrame, size: int) -> DataFrame:
+    """What is left of each row, and digests of word ranges.
+
+    ``spans`` are the runs of windows (place, n) that the row loses, ``owned`` those that others lose to it. A row that
+    loses something gives (doc, source, n_removed, kept_text); each run, of either kind, gives (doc, variant, place, n,
+    digest): the SHA-256 of the words that its windows cover.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for doc, variant, source, text, spans, owned in zip(*(batch.column(x).to_pylist() for x in ("doc", "variant", "source", "text", "spans", "owned")), strict=True):
+                words = text.encode().split()
+                out += [(doc, source, None, None, variant, x["place"], x["n"], sha(b" ".join(words[x["place"] : x["place"] + x["n"] + size - 1]))) for x in [*spans, *owned]]
+                if spans:
+                    edge = np.zeros(len(words) + 1, np.int64)
+                    np.add.at(edge, [x["place"] for x in spans], 1)
+                    np.add.at(edge, [x["place"] + x["n"] + size - 1 for x in spans], -1)
+                    gone = np.cumsum(edge[:-1]) > 0
+                    out.append((doc, source, int(gone.sum()), b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g).decode(), None, None, None, None))
+            names, kinds = zip(*(x.split() for x in CUT.split(", ")), strict=True)
+            columns = list(zip(*out, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k == "string" else pa.int64()) for c, k in zip(columns, kinds, strict=True)], names)
+
+    return docs.select("doc", "variant", "source", "text", "spans", "owned").mapInArrow(run, CUT)
 
 
 def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """What of each document an earlier one has, as two tables.
 
-    The first has for every row of ``docs``: doc (the key), source (a hash of the text), n_words, digest (SHA-256 of all words joined by a space)
-    and copy (its words are all those of a smaller key's document, and ``size`` or more). The second has for each other
-    row that loses something: doc, source, n_removed, kept_text.
+    The first has for every row of ``docs``: doc (the key), source (a hash of the text), n_words, digest (SHA-256 of all
+    words joined by a space) and copy (its words are all those of a smaller key's document, and ``size`` or more). The
+    second has for each other row that loses something: doc, source, n_removed, kept_text.
 
     1. Each document is recompressed; the names of runs and pairs are hashes of what they stand for, so they are global
-       without a shuffle. Documents of equal words are represented by the smallest key.
+       without a shuffle. Documents of equal words (by SHA-256) are represented by the smallest key.
     2. A window can be in two documents only if its anchors are; anchors found in one document go.
-    3. Windows with other anchors only are held against one another by 128 bits of their words.
+    3. Windows with other anchors only are held against one another by 128 bits of their words, and runs of matching
+       windows are then verified on the words of both documents. If a single run differed, all windows would be
+       held against one another by SHA-256 of their words instead.
     All rows with one key count as one owner, so they take nothing from one another, but each text of a key that has
-    several is cut at its own places (``variant`` is the source there, else 0). Of rows with a null key nothing is removed and they own nothing.
+    several is cut at its own places (``variant`` is the source there, else 0). Of rows with a null key nothing is
+    removed and they own nothing.
     """
     scratch = Scratch(docs.sparkSession, "recompression")
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("source", F.xxhash64("text"))
     known = scratch.keep(describe(rows, size), "known")
-    group = ["all_a", "all_b", "n_words"]
-    firsts = scratch.keep(known.filter(F.col("n_words") >= size).groupBy(*group).agg(F.min("doc").alias("doc")).select("doc").filter("doc is not null").distinct().withColumn("first", F.lit(True)), "firsts")
-    flagged = scratch.keep(known.join(firsts, "doc", "left").withColumn("copy", (F.col("n_words") >= size) & F.col("doc").isNotNull() & F.col("first").isNull()), "flagged")
-    several = scratch.keep(known.filter("doc is not null").groupBy("doc").agg(F.min("source").alias("low"), F.max("source").alias("high")).filter("low <> high").select("doc", F.lit(True).alias("several")), "several")
-    scratch.drop("known")
-    named = flagged.filter("first").select("doc", F.explode("anchors").alias("anchor"))
+    firsts = known.filter(F.col("n_words") >= size).groupBy("digest").agg(F.min("doc").alias("doc")).select("doc").filter("doc is not null").distinct()
+    firsts = scratch.keep(firsts.withColumn("first", F.lit(True)), "firsts")
+    flagged = known.select("doc", "source", "n_words", "digest").join(firsts, "doc", "left")
+    flagged = flagged.withColumn("copy", (F.col("n_words") >= size) & F.col("doc").isNotNull() & F.col("first").isNull())
+    flagged = scratch.keep(flagged.drop("first"), "flagged")
+    several = known.filter("doc is not null").groupBy("doc").agg(F.min("source").alias("low"), F.max("source").alias("high")).filter("low <> high")
+    several = scratch.keep(several.select("doc", F.lit(True).alias("several")), "several")
+    named = known.select("doc", F.explode("anchors").alias("anchor")).join(firsts.select("doc"), "doc", "left_semi")
     common = scratch.keep(named.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low <> high").select("anchor"), "common")
     wanted = scratch.keep(named.join(common, "anchor").groupBy("doc").agg(F.collect_set("anchor").alias("anchors")), "wanted")
-    scratch.drop("firsts", "common")
-    wanted = wanted.join(several, "doc", "left")
-    texts = scratch.keep(rows.join(wanted, "doc").withColumn("variant", F.when(F.col("several"), F.col("source")).otherwise(F.lit(0).cast("long"))).drop("several"), "texts")
-    windows = scratch.keep(shared_windows(texts, size), "windows")
-    owners = scratch.keep(windows.groupBy("a", "b").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).filter("owner < last").select("a", "b", "owner"), "owners")
-    places = windows.join(owners, ["a", "b"]).filter("owner < doc").groupBy("doc", "variant").agg(F.collect_set("place").alias("places"))
-    changed = scratch.keep(cut(texts.select("doc", "variant", "source", "text").join(places, ["doc", "variant"]), size), "changed")
-    scratch.drop("several", "wanted", "texts", "windows", "owners")
-    return flagged.select("doc", "source", "n_words", "digest", F.coalesce("copy", F.lit(False)).alias("copy")), changed
+    scratch.drop("known", "firsts", "common")
+    variant = F.when(F.col("several"), F.col("source")).otherwise(F.lit(0).cast("long"))
+    texts = scratch.keep(rows.join(wanted.join(several, "doc", "left"), "doc").withColumn("variant", variant).drop("several"), "texts")
+    scratch.drop("several", "wanted")
+    changed, agreed = remove_shared(texts, scratch, size, fingerprints)
+    if not agreed:
+        changed, _ = remove_shared(texts, scratch, size, exact_fingerprints)
+    scratch.drop("texts")
+    return flagged, changed
+
+
+def remove_shared(texts: DataFrame, scratch: Scratch, size: int, prints: Callable) -> tuple[DataFrame, bool]:
+    """(doc, source, n_removed, kept_text) of rows that lose windows to an earlier document, and whether all runs agree in their words."""
+    windows = scratch.keep(shared_windows(texts, size, prints), "windows")
+    owners = windows.groupBy("a", "b").agg(F.min(F.struct("doc", "variant", "place")).alias("o"), F.max("doc").alias("last")).filter("o.doc < last")
+    owners = scratch.keep(owners.select("a", "b", F.col("o.doc").alias("owner"), F.col("o.variant").alias("owner_variant"), F.col("o.place").alias("owner_place")), "owners")
+    link = F.shiftleft(F.col("place").cast("long"), 32) + F.col("owner_place")
+    matches = windows.join(owners, ["a", "b"]).filter("owner < doc").groupBy("doc", "variant", "owner", "owner_variant").agg(F.collect_set(link).alias("links"))
+    runs = scratch.keep(segments(matches), "runs")
+    scratch.drop("windows", "owners")
+    span = F.struct("place", "n")
+    lost = runs.groupBy("doc", "variant").agg(F.collect_set(span).alias("spans"))
+    owned = runs.select(F.col("owner").alias("doc"), F.col("owner_variant").alias("variant"), F.col("owner_place").alias("place"), "n").groupBy("doc", "variant").agg(F.collect_set(span).alias("owned"))
+    asked = lost.join(owned, ["doc", "variant"], "full").select("doc", "variant", *(F.coalesce(x, F.array().cast("array<struct<place:bigint,n:bigint>>")).alias(x) for x in ("spans", "owned")))
+    found = scratch.keep(cut(texts.select("doc", "variant", "source", "text").join(asked, ["doc", "variant"]), size), f"changed-{prints.__name__}")
+    digests = found.filter("digest is not null").select("doc", "variant", "place", "n", "digest").distinct()
+    theirs = digests.toDF("owner", "owner_variant", "owner_place", "n", "theirs")
+    bad = runs.join(digests, ["doc", "variant", "place", "n"]).join(theirs, ["owner", "owner_variant", "owner_place", "n"]).filter("digest <> theirs")
+    agreed = bad.isEmpty()
+    scratch.drop("runs")
+    return found.filter("kept_text is not null").select("doc", "source", "n_removed", "kept_text"), agreed
 
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = WINDOW) -> DataFrame:
@@ -240,12 +294,16 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = WINDOW) -> DataFrame:
-    """``docs`` with repeats cut out: a text that loses words is its other words joined by a space; others stay as they are."""
+    """``docs`` with repeats cut out: a text that loses words is its other words joined by a space; others stay as they are.
+
+    Columns of ``docs`` may have any names; rows may repeat.
+    """
     all_docs, changed = find_repeats(docs, key, text, size)
     copies = all_docs.filter("copy").select("doc", "source", F.lit("").alias("kept_text"))
-    new = changed.select("doc", "source", "kept_text").unionByName(copies).dropDuplicates(["doc", "source"]).toDF("repeat_doc", "repeat_source", "repeat_text")
-    joined = docs.join(new, (F.col(key).cast("long") == F.col("repeat_doc")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("repeat_source")), "left")
-    return joined.withColumn(text, F.coalesce("repeat_text", text)).select(*docs.columns)
+    new = changed.select("doc", "source", "kept_text").unionByName(copies).dropDuplicates(["doc", "source"])
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).cast("long").alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("source"))
+    joined = whole.join(new, ["doc", "source"], "left")
+    return joined.select(*((F.coalesce("kept_text", F.col("row")[c]) if c == text else F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 SQL = """

@@ -1,9 +1,12 @@
-"""Vectorised word splitting and hashing of Arrow text columns. A word is a run of bytes other than 0x20 and 0x09-0x0D."""
+"""Word splitting and hashing of Arrow text columns. A word is a run of bytes other than 0x20 and 0x09-0x0D."""
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +17,10 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-BASE = 0x9E3779B97F4A7C15 | 1
-CHUNK_BYTES = 1 << 20
+BASE = 0x9E3779B97F4A7C15
+CHUNK_BYTES = 1 << 18
+#: Different words that a worker remembers before it starts anew.
+MOST_WORDS = 400_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -25,10 +30,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    return np.concatenate([[U(1)], np.cumprod(np.full(max(0, n - 1), base, U), dtype=U)])[:n]
-
-
 def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
@@ -62,42 +63,71 @@ def chunks(column: pa.Array | pa.ChunkedArray, most: int = CHUNK_BYTES) -> Itera
         first = last
 
 
+class Lexicon(dict):
+    """Numbers words in the order of their coming, and has 128 bits of BLAKE2 of each."""
+
+    def __init__(self):
+        super().__init__()
+        self.bits = array("Q")
+
+    def __missing__(self, word: bytes) -> int:
+        self.bits.frombytes(blake2b(word, digest_size=16).digest())
+        self[word] = number = len(self)
+        return number
+
+    def numbers(self, rows: list[list[bytes]], n: int) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, chain.from_iterable(rows)), np.int64, n)
+
+
+#: The worker's own, from chunk to chunk.
+LEXICON = Lexicon()
+
+
 @dataclass
 class Words:
-    start: np.ndarray
-    end: np.ndarray
+    """Words of some texts in order: ``row`` numbers the text, ``count`` and ``first`` say how many a text has and from where.
+
+    Equal words have equal ``number``, within one chunk; ``hash`` and ``other`` are independent and the same everywhere.
+    """
+
+    rows: list[list[bytes]]
     row: np.ndarray
     count: np.ndarray
     first: np.ndarray
+    number: np.ndarray
     hash: np.ndarray
+    other: np.ndarray
 
 
 def split(chunk: Chunk, lower: bool = False) -> Words:
-    """Words of a chunk in order; ``row`` numbers the text, ``count`` and ``first`` say how many a text has and from where."""
-    data, rows = LOWER[chunk.data] if lower else chunk.data, len(chunk)
-    solid = ~SPACE[data]
-    filled = chunk.offsets[:-1] < chunk.offsets[1:]
-    before, after = np.zeros_like(solid), np.zeros_like(solid)
-    before[1:], after[:-1] = solid[:-1], solid[1:]
-    before[chunk.offsets[:-1][filled]] = False
-    after[chunk.offsets[1:][filled] - 1] = False
-    start, end = np.flatnonzero(solid & ~before), np.flatnonzero(solid & ~after) + 1
-    row = np.searchsorted(chunk.offsets, start, "right") - 1
-    count = np.bincount(row, minlength=rows)
-    if not len(start):
-        return Words(start, end, row, count, np.zeros(rows, np.int64), np.zeros(0, U))
-    length = end - start
-    at = np.cumsum(length) - length
-    body = data[solid].astype(U)
-    terms = (body + U(1)) * powers(BASE, int(length.max()))[np.arange(len(body)) - np.repeat(at, length)]
-    return Words(start, end, row, count, np.cumsum(count) - count, mix(np.add.reduceat(terms, at) ^ (length.astype(U) << U(32))))
-
-
-def windows(values: np.ndarray, size: int, base: int) -> np.ndarray:
-    """Polynomial fingerprints of each ``size`` consecutive values; the caller drops those that cross rows."""
-    if len(values) < size:
+    global LEXICON
+    if len(LEXICON) > MOST_WORDS:
+        LEXICON = Lexicon()
+    data = chunk.data.tobytes()
+    if lower:
+        data = data.lower()
+    rows = [data[a:b].split() for a, b in pairwise(chunk.offsets.tolist())]
+    count = np.fromiter(map(len, rows), np.int64, len(rows))
+    number = LEXICON.numbers(rows, int(count.sum()))
+    hashes = np.frombuffer(LEXICON.bits, U).reshape(-1, 2)[number] if len(number) else np.zeros((0, 2), U)
+    return Words(rows, np.repeat(np.arange(len(rows)), count), count, np.cumsum(count) - count, number, np.ascontiguousarray(hashes[:, 0]), np.ascontiguousarray(hashes[:, 1]))
+
+
+def windows(values: np.ndarray, size: int, seed: int = BASE) -> np.ndarray:
+    """A hash of each ``size`` consecutive values; the caller drops those that cross rows.
+
+    Spans of 1, 2, 4, ... values are hashed from their halves, and a window from the spans that make it up. No step is
+    linear in the values, so patterns that cancel out in a polynomial do not here.
+    """
+    n = len(values) - size + 1
+    if n < 1:
         return np.zeros(0, U)
-    power = powers(base, len(values))
-    total = np.concatenate([[U(0)], np.cumsum(values * power, dtype=U)])
-    back = powers(pow(base, -1, 1 << 64), len(values) - size + 1)
-    return mix((total[size:] - total[:-size]) * back)
+    span, part, at, total = 1, values, 0, np.full(n, seed, U)
+    while True:
+        if size & span:
+            total = mix(total * U(BASE) + part[at : at + n])
+            at += span
+        if 2 * span > size:
+            return total
+        part = mix(part[:-span] * U(BASE) + mix(part[span:] + U(span)))
+        span *= 2

@@ -29,8 +29,29 @@ def test_words():
         w = words.split(chunk, lower=True)
         for i in range(len(chunk)):
             text = (ODD[chunk.first + i] or "").encode()
-            own = [chunk.data[a:b].tobytes() for a, b in zip(w.start[w.row == i], w.end[w.row == i], strict=True)]
-            assert own == text.split() and w.count[i] == len(own)
+            assert w.rows[i] == text.lower().split() and w.count[i] == len(w.rows[i]) == (w.row == i).sum()
+
+
+def thue_morse(n):
+    """Two texts of 2 ** n letters that every polynomial hash modulo 2 ** 64 takes for one another."""
+    a = "a"
+    for _ in range(n):
+        a += a.translate({97: 98, 98: 97})
+    return a, a.translate({97: 98, 98: 97})
+
+
+def test_hashes_of_patterns():
+    a, b = thue_morse(11)
+    for texts, size in (([a, b], 1), ([" ".join(a), " ".join(b)], 2048), ([" ".join(a[:32]), " ".join(b[:32])], 32)):
+        found = [words.split(chunk) for chunk in words.chunks(pa.array(texts), 1)]
+        for values in ([w.hash for w in found], [w.other for w in found]):
+            assert len({int(words.windows(x, size)[0]) for x in values}) == 2
+    x = np.random.default_rng(1).integers(0, 4, 300).astype(np.uint64)
+    for size in (1, 2, 3, 5, 8, 50):
+        by_hash, by_value = {}, {}
+        for i, h in enumerate(words.windows(x, size).tolist()):
+            own = tuple(x[i : i + size].tolist())
+            assert by_hash.setdefault(h, own) == own and by_value.setdefault(own, h) == h
 
 
 def naive_repeats(tokens):
