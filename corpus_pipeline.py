@@ -25,8 +25,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each component at five words and a similarity of 0.8, and every row with a null doc_id."""
-    removed = minhash.near_duplicates(docs.select("doc_id", "text")).filter("not kept").select("doc_id")
-    return docs.join(removed, "doc_id", "left_anti").select(*docs.columns)
+    return minhash.without_near_duplicates(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
