@@ -29,32 +29,22 @@ def spanning(left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
 
 
 def components(links: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:
-    """(node, component) of every node that ``links`` (a, b) touch; component is the smallest node reachable.
+    """(node, component) of every node that ``links`` (a, b) touch with another; component is the smallest node reachable.
 
-    Each round hooks a component onto its smallest neighbour, follows the hooks to their ends by doubling, and keeps
-    the links that still join two components. Rounds at least halve the linked components, so their number is
-    logarithmic. Minima are summed up before the shuffle and the joins are of plain tables, so a hub is no hot spot.
+    Rounds of small-star and large-star: each node's smaller neighbours, then each node's larger ones, are linked to the
+    smallest node around it, until all that is connected hangs on its smallest node. Minima are summed up before the
+    shuffle and the joins are of plain tables, so a hub is no hot spot; the links never grow in number.
     """
-    edges = scratch.keep(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), f"{name}-edges-0")
-    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    labels, k = scratch.keep(nodes.withColumn("component", F.col("node")), f"{name}-labels-0"), 0
-    while not edges.isEmpty():
-        hooks = edges.groupBy(F.col("b").alias("from")).agg(F.min("a").alias("to"))
-        hooks, j = scratch.keep(hooks, f"{name}-hooks-{k}-0"), 0
-        while True:
-            far = hooks.select(F.col("from").alias("mid"), F.col("to").alias("far"))
-            j += 1
-            jumped = scratch.keep(hooks.join(far, F.col("to") == F.col("mid"), "left").select("from", F.coalesce("far", "to").alias("to"), F.col("far").isNotNull().alias("moved")), f"{name}-hooks-{k}-{j}")
-            moved = not jumped.filter("moved").isEmpty()
-            scratch.drop(f"{name}-hooks-{k}-{j - 1}")
-            hooks = jumped.select("from", "to")
-            if not moved:
-                break
-        k += 1
-        new = labels.join(hooks, F.col("component") == F.col("from"), "left").select("node", F.coalesce("to", "component").alias("component"))
-        labels = scratch.keep(new, f"{name}-labels-{k}")
-        left, right = hooks.toDF("a", "to_a"), hooks.toDF("b", "to_b")
-        moved_edges = edges.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("to_a", "a").alias("x"), F.coalesce("to_b", "b").alias("y")).filter("x <> y")
-        edges = scratch.keep(moved_edges.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"{name}-edges-{k}")
-        scratch.drop(f"{name}-labels-{k - 1}", f"{name}-edges-{k - 1}", f"{name}-hooks-{k - 1}-{j}")
-    return labels
+    edges = links.select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).filter("high <> low").distinct()
+    edges, k, before = scratch.keep(edges, f"{name}-0"), 0, None
+    while True:
+        state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("high", "low").cast("decimal(20,0)"))).first())
+        if state == before:
+            return edges.select(F.col("high").alias("node"), F.col("low").alias("component"))
+        least = edges.groupBy(F.col("high").alias("node")).agg(F.min("low").alias("least"))
+        around = edges.join(least, F.col("high") == F.col("node")).select("low", "least").filter("low <> least")
+        star = least.select(F.col("node").alias("high"), F.col("least").alias("low")).union(around.select(F.col("low"), F.col("least"))).distinct()
+        top = star.groupBy(F.col("high").alias("node")).agg(F.min("low").alias("least"))
+        new = star.join(top, F.col("low") == F.col("node"), "left").select("high", F.coalesce("least", "low").alias("low")).distinct()
+        edges, before, k = scratch.keep(new, f"{name}-{k + 1}"), state, k + 1
+        scratch.drop(f"{name}-{k - 1}")

@@ -232,7 +232,13 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(0, 20)] + [(30, 25), (25, 40), (7, 7)]
     got = components.components(spark.createDataFrame(links, "a long, b long"), scratch.Scratch(spark, "t")).collect()
     want = classes(41, links)
-    assert {r.node: r.component for r in got if r.node != 7} == {i: want[i] for x in links for i in x if i != 7}
+    assert {r.node: r.component for r in got} == {i: want[i] for x in links for i in x if i != want[i]}
+    rng = random.Random(4)
+    links = [(rng.randrange(500), rng.randrange(500)) for _ in range(240)] + [(600 + (7 * i) % 90, 600 + (7 * i + 7) % 90) for i in range(80)]
+    got = components.components(spark.createDataFrame(links, "a long, b long"), scratch.Scratch(spark, "t")).collect()
+    want = classes(700, links)
+    assert sorted((r.node, r.component) for r in got) == [(i, w) for i, w in enumerate(want) if i != w]
+    assert components.components(spark.createDataFrame([], "a long, b long"), scratch.Scratch(spark, "t")).count() == 0
 
 
 @pytest.mark.parametrize("width", [2, 5])
