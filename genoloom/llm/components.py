@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from genoloom.llm.scratch import Scratch
@@ -36,15 +36,22 @@ def components(links: DataFrame, scratch: Scratch, name: str = "components") ->
     shuffle and the joins are of plain tables, so a hub is no hot spot; the links never grow in number.
     """
     edges = links.select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).filter("high <> low").distinct()
-    edges, k, before = scratch.keep(edges, f"{name}-0"), 0, None
+    (edges, before), k = noted(edges, scratch, f"{name}-0"), 0
     while True:
-        state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("high", "low").cast("decimal(20,0)"))).first())
-        if state == before:
-            return edges.select(F.col("high").alias("node"), F.col("low").alias("component"))
         least = edges.groupBy(F.col("high").alias("node")).agg(F.min("low").alias("least"))
         around = edges.join(least, F.col("high") == F.col("node")).select("low", "least").filter("low <> least")
-        star = least.select(F.col("node").alias("high"), F.col("least").alias("low")).union(around.select(F.col("low"), F.col("least"))).distinct()
+        star = least.select(F.col("node").alias("high"), F.col("least").alias("low")).union(around)
         top = star.groupBy(F.col("high").alias("node")).agg(F.min("low").alias("least"))
         new = star.join(top, F.col("low") == F.col("node"), "left").select("high", F.coalesce("least", "low").alias("low")).distinct()
-        edges, before, k = scratch.keep(new, f"{name}-{k + 1}"), state, k + 1
+        (edges, now), k = noted(new, scratch, f"{name}-{k + 1}"), k + 1
         scratch.drop(f"{name}-{k - 1}")
+        if now == before:
+            return edges.select(F.col("high").alias("node"), F.col("low").alias("component"))
+        before = now
+
+
+def noted(edges: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, dict]:
+    """Writes links and notes, while they are written, how many they are and what they hash to together."""
+    note = Observation()
+    kept = scratch.keep(edges.observe(note, F.count("*").alias("n"), F.sum(F.xxhash64("high", "low").cast("decimal(20,0)")).alias("hash")), name)
+    return kept, note.get
