@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
-import unicodedata
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
-#: Pre-tokens in each of the two generations that a worker remembers.
-MOST_KNOWN = 250_000
+#: Words that a worker remembers before it starts anew.
+MOST_KNOWN = 400_000
 
 
 class Vocabulary:
@@ -33,25 +36,22 @@ class Vocabulary:
         pattern = next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         self.split = regex.compile(pattern.replace("[^\\s", "[^\\p{White_Space}"))
         self.size = 1 + max(self.strings)
-        self.numbers = list(range(self.size))
-        self.decimals = list(map(str, self.numbers))
+        self.rules = Tokenizer.from_file(path)
         #: pair -> (rank, merged id)
         self.merges = {self.ids[a] * self.size + self.ids[b]: (r, self.ids[a + b]) for r, (a, b) in enumerate(map(tuple, model["merges"]))}
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in plain]
-        self.letters = {**{b: chr(b) for b in plain}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
 
     def pre_tokens(self, word: str) -> list[str | int]:
-        """A word's normalised pre-tokens, and ids of special tokens in it. White space is dropped."""
+        """A word's normalised pre-tokens, as the letters of their bytes, and ids of special tokens in it."""
         if "<|" not in word:
             return self.plain(word)
         parts = filter(None, self.split_special.split(word))
         return [x for part in parts for x in ([self.special[part]] if part in self.special else self.plain(part))]
 
     def plain(self, part: str) -> list[str]:
-        if not part.isascii():
-            part = unicodedata.normalize("NFC", part)
-        part = "".join(c.lower() for c in part) if "\u03a3" in part else part.lower()
+        """Printable ASCII is its own normal form and its own letters; for all else the file's Unicode tables count."""
+        if not (part.isascii() and part.isprintable()):
+            return [x for x, _ in self.rules.pre_tokenizer.pre_tokenize_str(self.rules.normalizer.normalize_str(part))]
+        part = part.lower()
         if part.isalpha():
             return [part]
         if part[:-1].isalpha() and part[-1] in ".,!?;:":
@@ -59,9 +59,8 @@ class Vocabulary:
         return self.split.findall(part)
 
     def spelt(self, piece: str) -> list[int]:
-        """Ids of a pre-token's bytes, the last with the suffix."""
-        letters = piece if piece.isascii() and piece.isprintable() else "".join(self.letters[b] for b in piece.encode())
-        return [*(self.ids[c] for c in letters[:-1]), self.ids[letters[-1] + self.suffix]]
+        """Ids of a pre-token's letters, the last with the suffix."""
+        return [*(self.ids[c] for c in piece[:-1]), self.ids[piece[-1] + self.suffix]]
 
 
 @lru_cache(maxsize=2)
@@ -128,58 +127,84 @@ def merge_all(voc: Vocabulary, pieces: list[str]) -> list[list[int]]:
 class Encoder:
     """Ids of whole texts. ASCII white space ends words, and no pre-token reaches over it.
 
-    Each different word of a slice is split once. Pre-tokens are remembered from slice to slice in two generations of
-    ``most`` entries, so those in use stay and memory is bounded.
+    ``split`` gives a word's pre-tokens and ids of special tokens, ``merge`` the ids of each of some pre-tokens. Each
+    different word, and each different pre-token, is worked out once and remembered from slice to slice; with over
+    ``most`` of them remembered, the next slice starts anew, so memory is bounded.
     """
 
-    def __init__(self, voc: Vocabulary, merge: Callable[[list[str]], Iterable[Iterable[int]]], most: int = MOST_KNOWN):
-        self.voc, self.merge, self.most = voc, merge, most
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
-
-    def learn(self, pieces: set[str]) -> None:
-        if len(self.young) > self.most:
-            self.young, self.old = {}, self.young
-        new = [p for p in pieces if p not in self.young]
-        fresh = [p for p in new if p not in self.old]
-        self.young.update((p, self.old[p]) for p in new if p in self.old)
-        number = self.voc.numbers
-        self.young.update((p, tuple(number[i] for i in ids)) for p, ids in zip(fresh, self.merge(fresh), strict=True))
-
-    def encode(self, texts: list[str | None]) -> Iterator[list[tuple[int, ...]]]:
-        """For each text (null: empty) the ids of its words."""
-        split = [(x or "").encode().split() for x in texts]
-        words = {w: self.voc.pre_tokens(w.decode()) for w in {w for row in split for w in row}}
-        self.learn({p for pieces in words.values() for p in pieces if isinstance(p, str)})
-        known = self.young
-        for w, pieces in words.items():
-            words[w] = known[pieces[0]] if len(pieces) == 1 and isinstance(pieces[0], str) else tuple(i for p in pieces for i in ((p,) if isinstance(p, int) else known[p]))
-        for row in split:
-            yield [words[w] for w in row]
-
-    def digests(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
+    def __init__(self, split: Callable[[str], list[str | int]], merge: Callable[[list[str]], Iterable[Iterable[int]]], most: int = MOST_KNOWN):
+        self.split, self.merge, self.most = split, merge, most
+        self.pieces: dict[str, Iterable[int]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.start, self.ids = array("q", [0]), array("I")
+
+    def learn(self, words: set[bytes]) -> None:
+        fresh = [(w, self.split(w.decode())) for w in words]
+        if len(self.pieces) > self.most:
+            self.pieces = {}
+        new = list({p for _, row in fresh for p in row if isinstance(p, str)}.difference(self.pieces))
+        self.pieces.update(zip(new, self.merge(new), strict=True))
+        known, pieces, ids, start = self.known, self.pieces, self.ids, self.start
+        for word, row in fresh:
+            known[word] = len(known)
+            for p in row:
+                ids.extend(pieces[p]) if isinstance(p, str) else ids.append(p)
+            start.append(len(ids))
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts (null: empty) one after another, and their numbers."""
+        if len(self.known) > self.most:
+            self.forget()
+        rows = [(x or "").encode().split() for x in texts]
+        gc.disable()  # many small tuples come up, none in a cycle
+        try:
+            self.learn(set(chain.from_iterable(rows)).difference(self.known))
+        finally:
+            gc.enable()
+        words = np.fromiter(map(len, rows), np.int64, len(rows))
+        number = np.fromiter(map(self.known.__getitem__, chain.from_iterable(rows)), np.int64, int(words.sum()))
+        start = np.array(self.start, np.int64)
+        size = (start[1:] - start[:-1])[number] if len(number) else number
+        end = np.cumsum(size)
+        at = np.arange(int(size.sum())) + np.repeat(start[number] - (end - size), size)
+        total, last = np.concatenate([[0], end]), np.cumsum(words)
+        return np.array(self.ids, np.dtype("<u4"))[at] if len(at) else np.zeros(0, np.dtype("<u4")), total[last] - total[last - words]
+
+    def rows(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        ids, count = self.encode(texts)
+        yield from np.split(ids, np.cumsum(count)[:-1]) if len(count) else ()
+
+
+class Texts:
+    """The decimal ids and the decoded form of each id, to be joined."""
+
+    def __init__(self, voc: Vocabulary):
+        self.decimal = np.array(list(map(str, range(voc.size))), object)
+        self.string = np.array([voc.strings.get(i, "") for i in range(voc.size)], object)
+
+    def digests(self, ids: np.ndarray) -> tuple[int, str, str]:
         """Number of ids, digest of the ids, digest of the decoded text."""
-        decimal, strings = self.voc.decimals, self.voc.strings
-        for row in self.encode(texts):
-            ids = list(chain.from_iterable(row))
-            yield len(ids), sha(" ".join([decimal[i] for i in ids])), sha(" ".join([strings[i] for i in ids]))
+        return len(ids), sha(" ".join(self.decimal[ids].tolist())), sha(" ".join(self.string[ids].tolist()))
 
-    def decode(self, ids: Iterable[int]) -> str:
-        return " ".join(self.voc.strings[i] for i in ids if i in self.voc.strings)
+    def decode(self, ids: np.ndarray) -> str:
+        return " ".join(self.string[ids].tolist())
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str) -> tuple[Encoder, Texts]:
     """The worker's encoder, which merges by the pair occurrence index."""
     voc = vocabulary(path)
-    return Encoder(voc, lambda pieces: merge_all(voc, pieces))
+    return Encoder(voc.pre_tokens, lambda pieces: merge_all(voc, pieces)), Texts(voc)
 
 
 def sha(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def slices(texts: list, most: int = 8 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: list, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
     """Runs of consecutive texts of about ``most`` characters; a longer text is a run of its own."""
     a = size = 0
     for i, text in enumerate(texts):
@@ -197,7 +222,8 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            got = [x for a, b in slices(texts) for x in encoder(path).digests(texts[a:b])]
+            own, forms = encoder(path)
+            got = [forms.digests(ids) for a, b in slices(texts) for ids in own.rows(texts[a:b])]
             n, ids, decoded = zip(*got, strict=True) if got else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -206,14 +232,19 @@ def digests(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
 
 
 def tokens(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """``docs`` with the ids of each text as an array column ``ids`` and the text they decode to as ``decoded``."""
+    """``docs`` with the ids of each text as an array column ``ids`` and the text they decode to as ``decoded``.
+
+    Columns of these names are replaced. Null text has no ids.
+    """
     docs = docs.drop(*({"ids", "decoded"} & set(docs.columns)))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "ids array<int>, decoded string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(text).to_pylist()
-            ids = [list(chain.from_iterable(row)) for a, b in slices(texts) for row in encoder(path).encode(texts[a:b])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(map(encoder(path).decode, ids), pa.string())], [*batch.schema.names, "ids", "decoded"])
+            own, forms = encoder(path)
+            ids = [x for a, b in slices(texts) for x in own.rows(texts[a:b])]
+            columns = [pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array(map(forms.decode, ids), pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "ids", "decoded"])
 
     return docs.mapInArrow(run, schema)

@@ -12,11 +12,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from genoloom.llm.bpe import Encoder, slices, vocabulary
 from genoloom.llm.scratch import Scratch
 
 CAPACITY, END_ID, SHARD_PIECES = 4096, 2, 2000
+#: Marks a whole word among pre-tokens; pre-tokens in a line.
+WHOLE, LINE = "\0", 64
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -72,19 +75,36 @@ def best_fit(lengths: list[int], capacity: int = CAPACITY) -> tuple[list[int], l
 
 @lru_cache(maxsize=2)
 def library_encoder(path: str) -> Encoder:
-    """The worker's encoder, whose pre-tokens the tokenizers library encodes."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    t.no_truncation()
-    t.no_padding()
-    return Encoder(vocabulary(path), lambda pieces: [x.ids for x in t.encode_batch_fast(pieces, add_special_tokens=False)])
-
+    """The worker's encoder, whose pre-tokens, or whole words beyond printable ASCII, the tokenizers library encodes.
 
-def encode(texts: list[str | None], path: str) -> Iterator[np.ndarray]:
-    for row in library_encoder(path).encode(texts):
-        yield np.fromiter(chain.from_iterable(row), np.dtype("<u4"))
+    Pre-tokens go to the library a line at a time; each ends with the one id that has the end-of-word suffix.
+    """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    voc = vocabulary(path)
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    closes = np.zeros(voc.size, bool)
+    closes[[i for x, i in voc.ids.items() if x.endswith(voc.suffix)]] = True
+
+    def split(word: str) -> list[str | int]:
+        return voc.pre_tokens(word) if word.isascii() and word.isprintable() else [WHOLE + word]
+
+    def merge(pieces: list[str]) -> Iterator[list[int]]:
+        short = [x for x in pieces if x[0] != WHOLE]
+        lines = library.encode_batch_fast([" ".join(short[i : i + LINE]) for i in range(0, len(short), LINE)], add_special_tokens=False)
+        ids = np.array(list(chain.from_iterable(x.ids for x in lines)), np.int64)
+        end = np.flatnonzero(closes[ids]) + 1
+        flat, span = ids.tolist(), zip([0, *end[:-1].tolist()], end.tolist(), strict=False)
+        whole = iter(library.encode_batch_fast([x[1:] for x in pieces if x[0] == WHOLE], add_special_tokens=False))
+        for x in pieces:
+            if x[0] == WHOLE:
+                yield next(whole).ids
+            else:
+                a, b = next(span)
+                yield flat[a:b]
+
+    return Encoder(split, merge)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -95,7 +115,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
             texts, keys = batch.column(1).to_pylist(), batch.column(0)
             for a, b in slices(texts):
                 row, found, own = [], [], []
-                for i, ids in enumerate(encode(texts[a:b], path), a):
+                for i, ids in enumerate(library_encoder(path).rows(texts[a:b]), a):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     for s in range(0, len(ids), capacity):
                         part = ids[s : s + capacity]

@@ -1,4 +1,5 @@
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -171,6 +172,16 @@ def test_bpe_against_the_library(spark):
         want = library.encode(text or "", add_special_tokens=False).ids
         assert r.ids == want and r.decoded == library.decode(want, skip_special_tokens=False)
     assert bpe.digests(docs(spark, []), VOCABULARY).count() == 0
+    rng = random.Random(9)
+    ranges = [(32, 127), (0xA0, 0x250), (0x300, 0x370), (0x370, 0x500), (0x900, 0x980), (0x1100, 0x1200), (0x1E00, 0x2100), (0xAC00, 0xAC40), (0xF900, 0xFB50), (0x1F300, 0x1F700), (9, 32)]
+    fuzz = ["".join(chr(rng.randrange(*rng.choice(ranges))) for _ in range(rng.randrange(1, 12))) for _ in range(4000)]
+    for own in (bpe.encoder(VOCABULARY)[0], packing.library_encoder(VOCABULARY)):
+        for text, ids in zip(fuzz, own.rows(fuzz), strict=True):
+            assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+    got = bpe.digests(docs(spark, texts + fuzz[:300]), VOCABULARY).orderBy("doc_id").collect()
+    for text, r in zip(texts + fuzz[:300], got, strict=True):
+        want = library.encode(text or "", add_special_tokens=False).ids
+        assert tuple(r)[1:] == (len(want), bpe.sha(" ".join(map(str, want))), bpe.sha(library.decode(want, skip_special_tokens=False)))
 
 
 def test_packing(spark):
@@ -181,6 +192,8 @@ def test_packing(spark):
         own = sorted((r for r in rows if r.doc_id == i), key=lambda r: r.start)
         ids = library.encode(text or "", add_special_tokens=False).ids + [2]
         assert [x for r in own for x in r.ids] == ids and {r.doc_tokens for r in own} == {len(ids)}
+    assert [x for _, x in sorted((r.doc_id, r.ids_crc32) for r in rows)] == [x for _, x in sorted((r.doc_id, zlib.crc32(np.array(r.ids, "<u4").tobytes())) for r in rows)]
+    assert packing.pack(docs(spark, []), VOCABULARY).count() == 0
     sequences = {}
     for r in rows:
         sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
@@ -193,6 +206,20 @@ def test_packing(spark):
     assert sum(r.length for r in rows) > 0.9 * 512 * (len(sequences) - 1)
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_best_fit_against_brute_force(seed):
+    rng = random.Random(seed)
+    lengths = [rng.randrange(1, 65) for _ in range(200)]
+    window, offset = packing.best_fit(lengths, 64)
+    left, want = [], {}
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        fit = [x for x in left if x >= lengths[i]]
+        want[i] = min(fit) if fit else 64
+        left.remove(min(fit)) if fit else None
+        left.append(want[i] - lengths[i])
+    assert offset == [64 - want[i] for i in range(len(lengths))] and len(set(window)) == len(left)
+
+
 def test_warc(spark):
     big = "x" * 150 + "\r\n\r\nWARC/1.1\r\n"
     pages = [(3, "http://b.org/x?q=1", big), (1, None, big), (2, "https://www.a.com/", "é" * 80), (4, "http://b.org:8080/", None), (5, "bad\r\nurl", ""), (6, "http://[bad", big), (7, "http://a.com/", "é" * 80)]
