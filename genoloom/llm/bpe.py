@@ -6,7 +6,7 @@ import gc
 import hashlib
 import heapq
 import json
-from array import array
+import re
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -19,6 +19,8 @@ from tokenizers import Tokenizer
 
 #: Words that a worker remembers before it starts anew.
 MOST_KNOWN = 400_000
+#: Marks a whole word among pre-tokens.
+WHOLE = "\0"
 
 
 class Vocabulary:
@@ -34,7 +36,8 @@ class Vocabulary:
         self.strings = {i: s for s, i in [*self.ids.items(), *self.special.items()]}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         pattern = next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
-        self.split = regex.compile(pattern.replace("[^\\s", "[^\\p{White_Space}"))
+        #: The split pattern on lower-case ASCII, besides whole words and line ends.
+        self.split = re.compile(f"{WHOLE}[^\n]*|" + pattern.replace("\\p{L}", "a-z").replace("\\p{N}", "0-9") + "|\n")
         self.size = 1 + max(self.strings)
         self.rules = Tokenizer.from_file(path)
         #: pair -> (rank, merged id)
@@ -48,15 +51,7 @@ class Vocabulary:
         return [x for part in parts for x in ([self.special[part]] if part in self.special else self.plain(part))]
 
     def plain(self, part: str) -> list[str]:
-        """Printable ASCII is its own normal form and its own letters; for all else the file's Unicode tables count."""
-        if not (part.isascii() and part.isprintable()):
-            return [x for x, _ in self.rules.pre_tokenizer.pre_tokenize_str(self.rules.normalizer.normalize_str(part))]
-        part = part.lower()
-        if part.isalpha():
-            return [part]
-        if part[:-1].isalpha() and part[-1] in ".,!?;:":
-            return [part[:-1], part[-1]]
-        return self.split.findall(part)
+        return [x for x, _ in self.rules.pre_tokenizer.pre_tokenize_str(self.rules.normalizer.normalize_str(part))]
 
     def spelt(self, piece: str) -> list[int]:
         """Ids of a pre-token's letters, the last with the suffix."""
@@ -124,60 +119,109 @@ def merge_all(voc: Vocabulary, pieces: list[str]) -> list[list[int]]:
     return out
 
 
+class Numbered(dict):
+    """Numbers keys as they come; ``fresh`` are those that came since it was emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list = []
+
+    def __missing__(self, key) -> int:
+        self[key] = number = len(self)
+        self.fresh.append(key)
+        return number
+
+    def numbers(self, keys: Iterable, n: int) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, keys), np.int64, n)
+
+
+class Runs:
+    """Arrays of numbers one after another."""
+
+    def __init__(self):
+        self.start, self.values = [np.zeros(1, np.int64)], [np.zeros(0, np.int64)]
+
+    def add(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        self.start.append(self.start[-1][-1] + np.cumsum(sizes))
+        self.values.append(values)
+
+    def of(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values of the given runs one after another, and their numbers."""
+        for name in ("start", "values"):
+            setattr(self, name, [np.concatenate(getattr(self, name))])
+        start = self.start[0]
+        size = start[runs + 1] - start[runs]
+        at = np.arange(int(size.sum())) + np.repeat(start[runs] - (np.cumsum(size) - size), size)
+        return self.values[0][at], size
+
+
 class Encoder:
     """Ids of whole texts. ASCII white space ends words, and no pre-token reaches over it.
 
-    ``split`` gives a word's pre-tokens and ids of special tokens, ``merge`` the ids of each of some pre-tokens. Each
-    different word, and each different pre-token, is worked out once and remembered from slice to slice; with over
-    ``most`` of them remembered, the next slice starts anew, so memory is bounded.
+    Each different word, and each different pre-token, is worked out once and remembered from slice to slice; with over
+    ``most`` of them remembered, the next slice starts anew, so memory is bounded. ``merge`` gives the ids of each of some
+    pre-tokens of printable ASCII or, marked by WHOLE, of words with other characters or special tokens.
     """
 
-    def __init__(self, split: Callable[[str], list[str | int]], merge: Callable[[list[str]], Iterable[Iterable[int]]], most: int = MOST_KNOWN):
-        self.split, self.merge, self.most = split, merge, most
-        self.pieces: dict[str, Iterable[int]] = {}
+    def __init__(self, voc: Vocabulary, merge: Callable[[list[str]], Iterable[list[int]]], most: int = MOST_KNOWN):
+        self.voc, self.merge, self.most = voc, merge, most
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.start, self.ids = array("q", [0]), array("I")
+        self.words, self.parts, self.pieces, self.ids = Numbered(), Runs(), Numbered(), Runs()
 
-    def learn(self, words: set[bytes]) -> None:
-        fresh = [(w, self.split(w.decode())) for w in words]
+    def forget_words(self) -> None:
+        """Pre-tokens stay for as long as they are within the bound."""
         if len(self.pieces) > self.most:
-            self.pieces = {}
-        new = list({p for _, row in fresh for p in row if isinstance(p, str)}.difference(self.pieces))
-        self.pieces.update(zip(new, self.merge(new), strict=True))
-        known, pieces, ids, start = self.known, self.pieces, self.ids, self.start
-        for word, row in fresh:
-            known[word] = len(known)
-            for p in row:
-                ids.extend(pieces[p]) if isinstance(p, str) else ids.append(p)
-            start.append(len(ids))
+            self.forget()
+        self.words, self.parts = Numbered(), Runs()
+
+    def learn(self) -> None:
+        """Works out the words that are new, together."""
+        text = b"\n".join(self.words.fresh).decode()
+        words = (w.lower() if w.isascii() and w.isprintable() and "<|" not in w else WHOLE + w for w in text.split("\n"))
+        found = self.voc.split.findall("\n".join(words) + "\n")
+        number = self.pieces.numbers(found, len(found))
+        end = number == self.pieces["\n"]
+        self.parts.add(number[~end], np.diff(np.flatnonzero(end), prepend=-1) - 1)
+        ids = list(self.merge([x for x in self.pieces.fresh if x != "\n"]))
+        sizes = np.fromiter((0 if x == "\n" else -1 for x in self.pieces.fresh), np.int64, len(self.pieces.fresh))
+        sizes[sizes < 0] = list(map(len, ids))
+        self.ids.add(np.fromiter(chain.from_iterable(ids), np.int64), sizes)
+        self.words.fresh, self.pieces.fresh = [], []
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts (null: empty) one after another, and their numbers."""
-        if len(self.known) > self.most:
-            self.forget()
+        if len(self.words) > self.most:
+            self.forget_words()
         rows = [(x or "").encode().split() for x in texts]
-        gc.disable()  # many small tuples come up, none in a cycle
+        count = np.fromiter(map(len, rows), np.int64, len(rows))
+        gc.disable()  # many small lists come up, none in a cycle
         try:
-            self.learn(set(chain.from_iterable(rows)).difference(self.known))
+            number = self.words.numbers(chain.from_iterable(rows), int(count.sum()))
+            if self.words.fresh:
+                self.learn()
         finally:
             gc.enable()
-        words = np.fromiter(map(len, rows), np.int64, len(rows))
-        number = np.fromiter(map(self.known.__getitem__, chain.from_iterable(rows)), np.int64, int(words.sum()))
-        start = np.array(self.start, np.int64)
-        size = (start[1:] - start[:-1])[number] if len(number) else number
-        end = np.cumsum(size)
-        at = np.arange(int(size.sum())) + np.repeat(start[number] - (end - size), size)
-        total, last = np.concatenate([[0], end]), np.cumsum(words)
-        return np.array(self.ids, np.dtype("<u4"))[at] if len(at) else np.zeros(0, np.dtype("<u4")), total[last] - total[last - words]
+        parts, n_parts = self.parts.of(number)
+        ids, n_ids = self.ids.of(parts)
+        total = np.concatenate([[0], np.cumsum(n_ids)])[np.concatenate([[0], np.cumsum(n_parts)])][np.concatenate([[0], np.cumsum(count)])]
+        return ids.astype("<u4"), np.diff(total)
 
     def rows(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         ids, count = self.encode(texts)
         yield from np.split(ids, np.cumsum(count)[:-1]) if len(count) else ()
 
 
+def merged(voc: Vocabulary, pieces: list[str]) -> Iterator[list[int]]:
+    """Ids of each piece, merged by the pair occurrence index, all different pre-tokens together."""
+    rows = [voc.pre_tokens(x[1:]) if x[0] == WHOLE else [x] for x in pieces]
+    different = list({p for row in rows for p in row if isinstance(p, str)})
+    ids = dict(zip(different, merge_all(voc, different), strict=True))
+    for row in rows:
+        yield ids[row[0]] if len(row) == 1 and isinstance(row[0], str) else [i for p in row for i in ((p,) if isinstance(p, int) else ids[p])]
+
+
 class Texts:
     """The decimal ids and the decoded form of each id, to be joined."""
 
@@ -197,7 +241,7 @@ class Texts:
 def encoder(path: str) -> tuple[Encoder, Texts]:
     """The worker's encoder, which merges by the pair occurrence index."""
     voc = vocabulary(path)
-    return Encoder(voc.pre_tokens, lambda pieces: merge_all(voc, pieces)), Texts(voc)
+    return Encoder(voc, lambda pieces: merged(voc, pieces)), Texts(voc)
 
 
 def sha(text: str) -> str:

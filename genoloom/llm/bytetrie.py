@@ -9,11 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genoloom.llm.scratch import Scratch
-
 U = np.uint64
-MOST_HELD = 1 << 22
-BLOCK_SYMBOLS, SLACK = 1 << 24, 4
+MOST_HELD = 1 << 20
 
 
 class Symbols:
@@ -33,14 +30,6 @@ class Symbols:
             code |= self.padded[self.at - j].astype(U) << U(8 * j)
         return code
 
-    def newest_first(self) -> np.ndarray:
-        """Each symbol in the lowest byte, and the ``order`` before it above, the newest in the highest of order + 1 bytes."""
-        wide = self.padded.astype(U)
-        code = wide.copy()
-        for j in range(1, self.order + 1):
-            code[j:] |= wide[:-j] << U(8 * (self.order + 1 - j))
-        return code[self.at]
-
 
 def count_codes(rows: DataFrame, prepare: Callable[[pa.Array, int], Iterator[tuple[int, Symbols]]], order: int, label: str, text: str) -> DataFrame:
     """(label, code, n) over all ``rows``; each task sums what it reads before the shuffle."""
@@ -91,79 +80,6 @@ def frequent_contexts(grams: DataFrame, order: int, share: float) -> DataFrame:
     return counts.withColumn("context", F.shiftrightunsigned("code", 8)).join(kept, ["label", "depth", "context"], "left_semi").select("label", "depth", "code", "n")
 
 
-def candidate_contexts(rows: DataFrame, prepare: Callable[[pa.Array, int], Iterator[tuple[int, Symbols]]], order: int, share: float, scratch: Scratch, text: str) -> tuple[list[np.ndarray], np.ndarray, int]:
-    """Sorted contexts of each depth that may make up ``share`` of all symbols, the byte values that occur, and the number of symbols.
-
-    Tasks look at blocks of BLOCK_SYMBOLS or less and send what makes up ``share / SLACK`` of a block or more. A block
-    that doesn't send a context holds less than that, so the sum with this much for each such block is an upper bound:
-    no frequent context is missed, and a context is returned only if it makes up ``share * (1 - 1 / SLACK)``. So there
-    are at most ``order / (share * (1 - 1 / SLACK))``, whatever the corpus.
-    """
-
-    def block(held: list[np.ndarray]) -> pa.RecordBatch:
-        codes = np.sort(np.concatenate(held))
-        depth, context, n = [np.zeros(1, np.int64)], [np.zeros(1, U)], [np.array([len(codes)])]
-        for k in range(1, order + 1):
-            prefix = codes >> U(8 * (order + 1 - k))
-            first = np.flatnonzero(np.concatenate([[True], prefix[1:] != prefix[:-1]]))
-            count = np.diff(first, append=len(codes))
-            often = count >= share / SLACK * len(codes)
-            depth.append(np.full(int(often.sum()), k))
-            context.append(prefix[first[often]])
-            n.append(count[often])
-        seen = np.flatnonzero(np.bincount((codes & U(255)).astype(np.uint8), minlength=256)).astype(U)
-        depth.append(np.full(len(seen), -1))
-        context.append(seen)
-        n.append(np.ones(len(seen), np.int64))
-        depth, context, n = (np.concatenate(x) for x in (depth, context, n))
-        return pa.RecordBatch.from_arrays([pa.array(depth.astype(np.int32)), pa.array(context.view(np.int64)), pa.array(n), pa.array(np.full(len(n), len(codes)))], ["depth", "context", "n", "size"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        for batch in batches:
-            for _, symbols in prepare(batch.column(0), order):
-                held.append(symbols.newest_first())
-                if sum(map(len, held)) >= BLOCK_SYMBOLS:
-                    yield block(held)
-                    held = []
-        if sum(map(len, held)):
-            yield block(held)
-
-    sums = rows.select(text).mapInArrow(run, "depth int, context long, n long, size long").groupBy("depth", "context").agg(F.sum("n").alias("n"), F.sum("size").alias("size"))
-    sums = scratch.keep(sums, "contexts")
-    whole = (sums.filter("depth = 0").agg(F.sum("n")).first()[0]) or 0
-    most = F.col("n") + share / SLACK * (whole - F.col("size"))
-    found = sums.filter((F.col("depth") < 0) | ((F.col("depth") > 0) & (most >= share * whole))).select("depth", "context").toArrow()
-    scratch.drop("contexts")
-    depth, context = found["depth"].to_numpy(), found["context"].to_numpy().view(U)
-    depths = [np.zeros(1, U)]
-    for k in range(1, order + 1):
-        newest, code = context[depth == k], np.zeros(int((depth == k).sum()), U)
-        for j in range(k):
-            code |= ((newest >> U(8 * (k - 1 - j))) & U(255)) << U(8 * j)
-        depths.append(np.sort(code))
-    return depths, np.sort(context[depth == -1]).astype(np.int64), whole
-
-
-def count_states(rows: DataFrame, prepare: Callable[[pa.Array, int], Iterator[tuple[int, Symbols]]], trie: Trie, text: str) -> DataFrame:
-    """(cell, n): how often each symbol follows each node as the longest stored suffix; cell is node * width + number."""
-    shared = rows.sparkSession.sparkContext.broadcast(trie)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = shared.value
-        total = np.zeros(t.nodes * t.width, np.int64)
-        for batch in batches:
-            for _, symbols in prepare(batch.column(0), t.depth):
-                state, own = t.states(symbols)
-                np.add.at(total, state * t.width + own, 1)
-        cell = np.flatnonzero(total)
-        for a in range(0, len(cell), 1 << 16):
-            b = cell[a : a + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(total[b])], ["cell", "n"])
-
-    return rows.select(text).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-
-
 class Trie:
     """Contexts as nodes, the empty one 0; a child adds one older symbol, so a node's parent is its suffix.
 

@@ -14,12 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from genoloom.llm.bpe import Encoder, slices, vocabulary
+from genoloom.llm.bpe import WHOLE, Encoder, slices, vocabulary
 from genoloom.llm.scratch import Scratch
 
 CAPACITY, END_ID, SHARD_PIECES = 4096, 2, 2000
-#: Marks a whole word among pre-tokens; pre-tokens in a line.
-WHOLE, LINE = "\0", 64
+#: Pre-tokens that go to the library in a line.
+LINE = 1024
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -87,9 +87,6 @@ def library_encoder(path: str) -> Encoder:
     closes = np.zeros(voc.size, bool)
     closes[[i for x, i in voc.ids.items() if x.endswith(voc.suffix)]] = True
 
-    def split(word: str) -> list[str | int]:
-        return voc.pre_tokens(word) if word.isascii() and word.isprintable() else [WHOLE + word]
-
     def merge(pieces: list[str]) -> Iterator[list[int]]:
         short = [x for x in pieces if x[0] != WHOLE]
         lines = library.encode_batch_fast([" ".join(short[i : i + LINE]) for i in range(0, len(short), LINE)], add_special_tokens=False)
@@ -104,7 +101,7 @@ def library_encoder(path: str) -> Encoder:
                 a, b = next(span)
                 yield flat[a:b]
 
-    return Encoder(split, merge)
+    return Encoder(voc, merge)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -125,11 +125,50 @@ def test_pst_base_and_distribution(spark):
         own = pst.tokens(texts[i])
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(c[w] > 0 for w in own), n)
         assert r.base_score == pytest.approx(sum(np.log10((c[w] + 1) / (n + v + 1)) for w in own)) and r.score < 0
-    model = pst.train(df, share=0.001)
-    chance = 10.0 ** model.log.astype(float)
-    others = 256 - (model.trie.width - 1)
-    assert np.allclose(chance[:, 1:].sum(1) + others * chance[:, 0], 1, atol=1e-4)
-    assert pst.score(docs(spark, []), held, model).count() == 0
+    assert pst.score(docs(spark, []), held).count() == 0
+
+
+def brute_tree(texts, order, support):
+    """Probability of each word by a suffix tree kept in dictionaries."""
+    total, following = Counter(), Counter()
+    spelt = lambda w: [255] if w == pst.END_WORD else [*w, 32]
+    led = lambda w: [32] * order + spelt(w)
+    for w, n in Counter(w for t in texts for w in pst.tokens(t)).items():
+        x = led(w)
+        for i in range(order, len(x)):
+            for k in range(order + 1):
+                total[tuple(x[i - k : i])] += n
+                following[tuple(x[i - k : i]), x[i]] += n
+
+    def chance(context, symbol):
+        if not context:
+            return (following[(), symbol] + 0.5) / (total[()] + 128)
+        before = chance(context[1:], symbol)
+        return (following[context, symbol] + pst.PRIOR * before) / (total[context] + pst.PRIOR)
+
+    kept = {()}
+    symbols = {s for _, s in following}
+    for c in [c for c, n in total.items() if c and n >= support]:
+        share = {s: following[c, s] / total[c] for s in symbols if following[c, s]}
+        if sum(x * np.log2(x / chance(c[1:], s)) for s, x in share.items()) >= pst.DIVERGENCE:
+            kept |= {c[i:] for i in range(len(c))}
+
+    def log(w):
+        x = led(w)
+        return sum(np.log10(chance(next(tuple(x[i - k : i]) for k in range(order, -1, -1) if tuple(x[i - k : i]) in kept), x[i])) for i in range(order, len(x)))
+
+    return log
+
+
+@pytest.mark.parametrize("order, support", [(3, 8), (6, 2)])
+def test_pst_against_brute_force(spark, monkeypatch, order, support):
+    monkeypatch.setattr(pst, "TASK_WORDS", 50)
+    texts = [" ".join(prose(i, 40, 60)) + " banana Bandana " + "é" * (i % 3) for i in range(50)] + ["unheard quixotry é ", "\xff", *ODD]
+    df = docs(spark, texts).repartition(3)
+    held = df["doc_id"].between(45, 53)
+    log = brute_tree([t for i, t in enumerate(texts) if not 45 <= i <= 53], order, support)
+    for r in pst.score(df, held, order=order, support=support, block_bytes=2000).collect():
+        assert r.score == pytest.approx(sum(map(log, pst.tokens(texts[r.doc_id]))), rel=1e-9)
 
 
 def brute_removed(texts, size):
@@ -309,52 +348,6 @@ def test_trie_sums():
     assert bytetrie.sum_by_row(np.arange(5.0), np.array([2, 0, 3])).tolist() == [1, 0, 9]
 
 
-def test_pst_contexts_are_counted_exactly(spark, monkeypatch):
-    monkeypatch.setattr(bytetrie, "BLOCK_SYMBOLS", 3000)
-    texts = [" ".join(prose(i, 60, 25)) for i in range(60)] + ODD
-    share, order, total, following = 0.004, 3, Counter(), Counter()
-    for text in texts:
-        body = b"".join(x + b" " for x in pst.tokens(text)[:-1]) + b"\xff"
-        led = b"\xff" * order + body
-        for i in range(len(body)):
-            for k in range(order + 1):
-                total[led[i + order - k : i + order]] += 1
-                following[led[i + order - k : i + order], led[i + order]] += 1
-    rows = docs(spark, texts).repartition(3)
-    depths, seen, whole = bytetrie.candidate_contexts(rows, pst.prepare, order, share, scratch.Scratch(spark, "t"), "text")
-    assert whole == total[b""] and seen.tolist() == sorted({s for _, s in following})
-    for k in range(1, order + 1):
-        found = {int(x).to_bytes(8, "little")[:k][::-1] for x in depths[k]}
-        assert {c for c, n in total.items() if len(c) == k and n >= share * whole} <= found
-        assert all(total[c] >= 0.75 * share * whole for c in found)
-    model = pst.train(rows, order=order, share=share)
-    node = {b"": 0}
-    for k in range(1, order + 1):
-        node |= {int(x).to_bytes(8, "little")[:k][::-1]: int(model.trie.first[k]) + i for i, x in enumerate(model.trie.depths[k])}
-    assert all(total[c] >= share * whole for c in node) and len(node) > 20
-    for context, at in node.items():
-        for symbol in (97, 119, 32, 255):
-            chance = (following[b"", symbol] + 0.5) / (whole + 128)
-            for k in range(1, len(context) + 1):
-                suffix = context[len(context) - k :]
-                chance = (following[suffix, symbol] + 8 * chance) / (total[suffix] + 8)
-            assert model.log[at, model.trie.symbol[symbol]] == pytest.approx(np.log10(chance), abs=1e-4)
-
-
-def test_pst_support_is_absolute(spark):
-    rare = "quixotry zymurgy jabberwock vexillology"
-    texts = [" ".join(prose(i, 3000, 5000)) for i in range(70)]
-    texts = [f"{rare} {t}" if i < 9 else t for i, t in enumerate(texts)] + [rare, f"{rare} quaxotry é", *ODD]
-    df = docs(spark, texts)
-    held = df["doc_id"].between(70, 73)
-    learned = df.filter(~held)
-    whole = sum(len(b" ".join(pst.tokens(t)[:-1])) + 2 for i, t in enumerate(texts) if not 70 <= i < 74)
-    assert pst.SHARE * whole > 12 > pst.SUPPORT
-    got = {r.doc_id: r.score for r in pst.score(df, held, block_bytes=300_000).collect()}
-    want = pst.train(learned, share=pst.SUPPORT / whole).score(pa.array(texts))
-    assert [got[i] for i in range(len(texts))] == pytest.approx(want.tolist(), rel=1e-4)
-
-
 def test_rotation_of_a_hot_dialogue(spark):
     n = 20_000
     rows = spark.range(n).selectExpr("cast(null as long) AS conv_id", "64 * id AS turn", "concat('p', id % 4) AS role", "'x' AS text")
