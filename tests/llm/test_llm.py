@@ -129,16 +129,23 @@ def test_pst_base_and_distribution(spark):
 
 
 def brute_tree(texts, order, support):
-    """Probability of each word by a suffix tree kept in dictionaries."""
+    """log10 probability of a text by a suffix tree kept in dictionaries."""
+
+    def symbols(text):
+        before = b""
+        for w in pst.tokens(text):
+            spelt = b"\xff" if w == pst.END_WORD else w + b" "
+            for i, s in enumerate(spelt):
+                seen = before[-3:] + b" " + spelt[:i] if i < 2 else spelt[:i]
+                yield (*[32] * order, *seen)[-order:], s
+            before = w
+
     total, following = Counter(), Counter()
-    spelt = lambda w: [255] if w == pst.END_WORD else [*w, 32]
-    led = lambda w: [32] * order + spelt(w)
-    for w, n in Counter(w for t in texts for w in pst.tokens(t)).items():
-        x = led(w)
-        for i in range(order, len(x)):
+    for t in texts:
+        for c, s in symbols(t):
             for k in range(order + 1):
-                total[tuple(x[i - k : i])] += n
-                following[tuple(x[i - k : i]), x[i]] += n
+                total[c[order - k :]] += 1
+                following[c[order - k :], s] += 1
 
     def chance(context, symbol):
         if not context:
@@ -146,29 +153,23 @@ def brute_tree(texts, order, support):
         before = chance(context[1:], symbol)
         return (following[context, symbol] + pst.PRIOR * before) / (total[context] + pst.PRIOR)
 
-    kept = {()}
-    symbols = {s for _, s in following}
+    kept, seen = {()}, {s for _, s in following}
     for c in [c for c, n in total.items() if c and n >= support]:
-        share = {s: following[c, s] / total[c] for s in symbols if following[c, s]}
+        share = {s: following[c, s] / total[c] for s in seen if following[c, s]}
         if sum(x * np.log2(x / chance(c[1:], s)) for s, x in share.items()) >= pst.DIVERGENCE:
             kept |= {c[i:] for i in range(len(c))}
-
-    def log(w):
-        x = led(w)
-        return sum(np.log10(chance(next(tuple(x[i - k : i]) for k in range(order, -1, -1) if tuple(x[i - k : i]) in kept), x[i])) for i in range(order, len(x)))
-
-    return log
+    return lambda t: sum(np.log10(chance(next(c[order - k :] for k in range(order, -1, -1) if c[order - k :] in kept), s)) for c, s in symbols(t))
 
 
 @pytest.mark.parametrize("order, support", [(3, 8), (6, 2)])
 def test_pst_against_brute_force(spark, monkeypatch, order, support):
-    monkeypatch.setattr(pst, "TASK_WORDS", 50)
+    monkeypatch.setattr(pst, "SLICE", 2000)
     texts = [" ".join(prose(i, 40, 60)) + " banana Bandana " + "é" * (i % 3) for i in range(50)] + ["unheard quixotry é ", "\xff", *ODD]
     df = docs(spark, texts).repartition(3)
     held = df["doc_id"].between(45, 53)
     log = brute_tree([t for i, t in enumerate(texts) if not 45 <= i <= 53], order, support)
     for r in pst.score(df, held, order=order, support=support, block_bytes=2000).collect():
-        assert r.score == pytest.approx(sum(map(log, pst.tokens(texts[r.doc_id]))), rel=1e-9)
+        assert r.score == pytest.approx(log(texts[r.doc_id]), rel=1e-9)
 
 
 def brute_removed(texts, size):
