@@ -200,8 +200,9 @@ def gene_lookup(spark, sf_dir):
 @query(f"WITH g AS (SELECT t, count(*) AS a FROM ({V.CALLS}) WHERE side = 'F' GROUP BY t), b AS (SELECT t, count(*) AS c FROM ({V.CALLS}) WHERE side = 'O' GROUP BY t) SELECT t, a, round(ln((a / sum(a) OVER ()) / (c / sum(c) OVER ())), 9) AS log_odds FROM g JOIN b USING (t)")
 def gene_log_odds(spark, sf_dir):
     c = V.calls(spark, sf_dir).groupBy("t").agg(F.count_if(F.col("side") == "F").alias("a"), F.count_if(F.col("side") == "O").alias("c"))
-    everything = Window.partitionBy()
-    return c.select("t", "a", F.round(F.ln((F.col("a") / F.sum("a").over(everything)) / (F.col("c") / F.sum("c").over(everything))), 9).alias("log_odds"))
+    whole = F.broadcast(c.agg(F.sum("a").alias("all_a"), F.sum("c").alias("all_c")))
+    ratio = F.try_divide(F.try_divide("a", "all_a"), F.try_divide("c", "all_c"))
+    return c.join(whole).select("t", "a", F.round(F.when(ratio > 0, F.ln(ratio)), 9).alias("log_odds"))
 
 
 @query(f"SELECT t, side, count(*) AS n FROM ({V.CALLS}) GROUP BY GROUPING SETS ((t, side), (t), ())")
@@ -262,13 +263,6 @@ def sample_calls(spark, sf_dir):
     return V.calls(spark, sf_dir).withColumn("rn", F.row_number().over(order)).filter("rn <= 10").drop("rn")
 
 
-@query()
-def genotype_draw(spark, sf_dir):
-    """Diploid genotypes by a seeded uniform of the id: 0|1 and 1|0 at a quarter each, else 1|1."""
-    u = F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1 << 20)) / (1 << 20)
-    return V.calls(spark, sf_dir).select("id", F.when(u < 0.25, "0|1").when(u < 0.5, "1|0").otherwise("1|1").alias("gt"))
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

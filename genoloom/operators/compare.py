@@ -14,9 +14,13 @@ def similar(a: DataFrame, b: DataFrame, keys: list[str], r: float) -> DataFrame:
 
 
 def matched(a: DataFrame, b: DataFrame, keys: list[str], id: str, r: float | None, how: str) -> DataFrame:
-    """Rows of ``a`` with (left_semi) or without (left_anti) a partner: similar by ``r``, or any overlap if null."""
+    """Rows of ``a`` with (left_semi) or without (left_anti) a partner: similar by ``r``, or any overlap if null.
+
+    A row is known by its keys, ends and id together, so ids may repeat.
+    """
     hits = I.overlaps(a, b, keys) if r is None else similar(a, b, keys, r)
-    return a.join(hits.select(F.col(f"a_{id}").alias(id)).distinct(), id, how)
+    row = [*dict.fromkeys([*keys, "s", "e", id])]
+    return a.join(hits.select(*(F.col(f"a_{c}").alias(c) for c in row)).distinct(), row, how)
 
 
 def score(a: DataFrame, b: DataFrame, type: str, keys: list[str], id: str, r: float) -> DataFrame:

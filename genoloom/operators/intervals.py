@@ -5,15 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BIN = 256
+#: Coordinates of a range that is merged by itself.
+SPAN = 1 << 16
+#: Width of the finest bins, how much wider each next level is, and levels: the coarsest bins hold whole contigs.
+BIN, LEVEL, LEVELS = 512, 64, 5
 
 
 def merge(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Joins overlapping and adjacent intervals of a key."""
+    """Joins overlapping and adjacent intervals of a key.
+
+    Intervals are first joined within ranges of SPAN coordinates (by their starts), each range a group of its own, so a
+    hot key is spread along its coordinate; then the islands of all ranges are joined over the borders.
+    """
+    ranged = df.select(*keys, "s", "e").withColumn("range", F.floor(F.col("s") / SPAN))
+    return islands(islands(ranged, [*keys, "range"]).drop("range"), keys)
+
+
+def islands(df: DataFrame, keys: list[str]) -> DataFrame:
     order = Window.partitionBy(*keys).orderBy("s", "e")
     reach = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum(F.when(reach.isNull() | (F.col("s") > F.col("reach") + 1), 1).otherwise(0)).over(order)
-    return df.select(*keys, "s", "e").distinct().withColumn("reach", reach).withColumn("island", island).groupBy(*keys, "island").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("island")
+    island = F.sum(F.when(F.col("reach").isNull() | (F.col("s") > F.col("reach") + 1), 1).otherwise(0)).over(order)
+    return df.withColumn("reach", reach).withColumn("island", island).groupBy(*keys, "island").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("island")
 
 
 def depth(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -29,7 +41,7 @@ def depth(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def combine(left: DataFrame, right: DataFrame, keys: list[str], keep: Column) -> DataFrame:
     """Set algebra of two tables: ``keep`` decides on the boolean columns ``a`` and ``b`` of each segment."""
-    marks = merge(left, keys).withColumn("side", F.lit(1)).unionByName(merge(right, keys).withColumn("side", F.lit(2)))
+    marks = left.select(*keys, "s", "e").withColumn("side", F.lit(1)).unionByName(right.select(*keys, "s", "e").withColumn("side", F.lit(2)))
     deltas = marks.select(*keys, F.explode(F.array(F.struct(F.col("s").alias("at"), F.lit(1).alias("d")), F.struct((F.col("e") + 1).alias("at"), F.lit(-1).alias("d")))).alias("x"), "side")
     side = [F.sum(F.when(F.col("side") == i, F.col("x.d")).otherwise(0)).alias(f"d{i}") for i in (1, 2)]
     order = Window.partitionBy(*keys).orderBy("s")
@@ -56,19 +68,31 @@ def complement(df: DataFrame, limits: DataFrame, keys: list[str]) -> DataFrame:
 def overlaps(left: DataFrame, right: DataFrame, keys: list[str], bin_width: int = BIN) -> DataFrame:
     """Pairs of equal keys that overlap, columns of the left as ``a_*``, of the right as ``b_*``.
 
-    Both sides are dealt over the bins they touch, so a hot key is spread along its coordinate; a pair counts only in
-    the bin of the larger start, so none is doubled.
+    An interval lies on the level whose bins, each LEVEL times as wide as those below, are at least as long as it is, so
+    it touches two bins at most, however long it is. Pairs meet on the coarser of their two levels: an interval is
+    dealt to its bins on its own level and on each coarser one, and a pair counts in the bin of the larger start on the
+    level of the longer interval. So a hot key is spread along its coordinate, and no pair is doubled.
     """
+
     def dealt(df: DataFrame, p: str) -> DataFrame:
         named = df.select(*(F.col(c).alias(f"{p}_{c}") for c in df.columns))
-        return named.withColumn("bin", F.explode(F.sequence(F.floor(F.col(f"{p}_s") / bin_width), F.floor(F.col(f"{p}_e") / bin_width))))
-
-    a, b = dealt(left, "a"), dealt(right, "b").withColumnRenamed("bin", "b_bin")
-    same = [F.col(f"a_{k}") == F.col(f"b_{k}") for k in keys]
-    on = (F.col("bin") == F.col("b_bin")) & (F.col("a_s") <= F.col("b_e")) & (F.col("a_e") >= F.col("b_s")) & (F.floor(F.greatest("a_s", "b_s") / bin_width) == F.col("bin"))
-    for x in same:
-        on = on & x
-    return a.join(b, on).drop("bin", "b_bin")
+        widths = [bin_width * LEVEL**i for i in range(LEVELS)]
+        length = F.col(f"{p}_e") - F.col(f"{p}_s") + 1
+        own = F.lit(LEVELS - 1)
+        for i in range(LEVELS - 2, -1, -1):
+            own = F.when(length <= widths[i], i).otherwise(own)
+        named = named.withColumn(f"{p}_level", own)
+        width = F.element_at(F.array(*map(F.lit, widths)), F.col(f"{p}_at") + 1)
+        named = named.withColumn(f"{p}_at", F.explode(F.sequence(F.col(f"{p}_level"), F.lit(LEVELS - 1)))).withColumn("width", width)
+        return named.withColumn(f"{p}_bin", F.explode(F.sequence(F.floor(F.col(f"{p}_s") / F.col("width")), F.floor(F.col(f"{p}_e") / F.col("width")))))
+
+    a, b = dealt(left, "a"), dealt(right, "b").drop("width")
+    on = (F.col("a_at") == F.col("b_at")) & (F.col("a_bin") == F.col("b_bin"))
+    for k in keys:
+        on = on & (F.col(f"a_{k}") == F.col(f"b_{k}"))
+    once = (F.col("a_at") == F.greatest("a_level", "b_level")) & (F.floor(F.greatest("a_s", "b_s") / F.col("width")) == F.col("a_bin"))
+    pairs = a.join(b, on & (F.col("a_s") <= F.col("b_e")) & (F.col("a_e") >= F.col("b_s")) & once)
+    return pairs.drop("width", "a_level", "b_level", "a_at", "b_at", "a_bin", "b_bin")
 
 
 def jaccard(a_s: Column, a_e: Column, b_s: Column, b_e: Column) -> Column:

@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def closure(edges: DataFrame) -> DataFrame:
-    """(ancestor, node, depth), each node its own ancestor at depth 0."""
-    spark = edges.sparkSession
-    edges.createOrReplaceTempView("genoloom_edges")
-    return spark.sql("""
-        WITH RECURSIVE c(ancestor, node, depth) AS (
-          SELECT n, n, 0 FROM (SELECT parent AS n FROM genoloom_edges UNION SELECT child FROM genoloom_edges)
-          UNION ALL SELECT c.ancestor, e.child, c.depth + 1 FROM c JOIN genoloom_edges e ON e.parent = c.node)
-        SELECT * FROM c""")
+def closure(edges: DataFrame, depth: int = 10_000) -> DataFrame:
+    """(ancestor, node, depth), each node its own ancestor at depth 0. A tree deeper than ``depth``, or a cycle, is an error."""
+    return edges.sparkSession.sql(
+        f"""
+        WITH RECURSIVE c(ancestor, node, depth) MAX RECURSION LEVEL {depth} AS (
+          SELECT n, n, 0 FROM (SELECT parent AS n FROM {{edges}} UNION SELECT child FROM {{edges}})
+          UNION ALL SELECT c.ancestor, e.child, c.depth + 1 FROM c JOIN {{edges}} e ON e.parent = c.node)
+        SELECT * FROM c""",
+        edges=edges,
+    )
 
 
 def frequency(edges: DataFrame) -> DataFrame:
