@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 #: Words that a worker remembers before it starts anew.
-MOST_KNOWN = 400_000
+MOST_KNOWN = 200_000
 #: Marks a whole word among pre-tokens.
 WHOLE = "\0"
 

@@ -20,7 +20,7 @@ LOWER[65:91] += 32
 BASE = 0x9E3779B97F4A7C15
 CHUNK_BYTES = 1 << 18
 #: Different words that a worker remembers before it starts anew.
-MOST_WORDS = 400_000
+MOST_WORDS = 100_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
