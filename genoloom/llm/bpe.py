@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 #: Words that a worker remembers before it starts anew.
-MOST_KNOWN = 200_000
+MOST_KNOWN = 300_000
 #: Marks a whole word among pre-tokens.
 WHOLE = "\0"
 
@@ -159,8 +159,8 @@ class Encoder:
     """Ids of whole texts. ASCII white space ends words, and no pre-token reaches over it.
 
     Each different word, and each different pre-token, is worked out once and remembered from slice to slice; with over
-    ``most`` of them remembered, the next slice starts anew, so memory is bounded. ``merge`` gives the ids of each of some
-    pre-tokens of printable ASCII or, marked by WHOLE, of words with other characters or special tokens.
+    ``most`` words, or twice as many pre-tokens, remembered, the next slice starts anew, so memory is bounded. ``merge``
+    gives the ids of each of some pre-tokens of printable ASCII or, marked by WHOLE, of words with other characters or special tokens.
     """
 
     def __init__(self, voc: Vocabulary, merge: Callable[[list[str]], Iterable[list[int]]], most: int = MOST_KNOWN):
@@ -172,7 +172,7 @@ class Encoder:
 
     def forget_words(self) -> None:
         """Pre-tokens stay for as long as they are within the bound."""
-        if len(self.pieces) > self.most:
+        if len(self.pieces) > 2 * self.most:
             self.forget()
         self.words, self.parts = Numbered(), Runs()
 
