@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genoloom.llm import bpe, chat, embeddings, langid, minhash, packing, pst, quality, recompression, warc
+from genoloom.llm import bpe, chat, embeddings, langid, minhash, packing, pst, quality, recompression, tokenfiles, warc
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +62,10 @@ def op10_odd_sketch_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
+def op11_seekable_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.round_trip(table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -68,7 +73,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_warc_index_merge, op2_perspective_rotation, op3_suffix_array_quality, op4_ppm_language_id, op5_pst_scoring, op6_recompression_dedup, op7_pair_index_bpe, op8_inverted_multi_index, op9_best_fit_packing, op10_odd_sketch_minhash, pipeline]
+    own = [op1_warc_index_merge, op2_perspective_rotation, op3_suffix_array_quality, op4_ppm_language_id, op5_pst_scoring, op6_recompression_dedup, op7_pair_index_bpe, op8_inverted_multi_index, op9_best_fit_packing, op10_odd_sketch_minhash, op11_seekable_token_files, pipeline]
     return {f.__name__: f for f in own}
 
 
