@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genoloom.llm import bpe, chat, embeddings, langid, minhash, packing, pst, quality, recompression, tokenfiles, warc
+from genoloom.llm import bpe, chat, collocations, embeddings, langid, minhash, packing, pst, quality, recompression, repair, tokenfiles, warc
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -66,6 +66,14 @@ def op11_seekable_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.round_trip(table(spark, sf_dir, "documents"), BYTE_VOCABULARY)
 
 
+def op12_cost_layer_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.audited(table(spark, sf_dir, "conversations"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -73,7 +81,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_warc_index_merge, op2_perspective_rotation, op3_suffix_array_quality, op4_ppm_language_id, op5_pst_scoring, op6_recompression_dedup, op7_pair_index_bpe, op8_inverted_multi_index, op9_best_fit_packing, op10_odd_sketch_minhash, op11_seekable_token_files, pipeline]
+    own = [op1_warc_index_merge, op2_perspective_rotation, op3_suffix_array_quality, op4_ppm_language_id, op5_pst_scoring, op6_recompression_dedup, op7_pair_index_bpe, op8_inverted_multi_index, op9_best_fit_packing, op10_odd_sketch_minhash, op11_seekable_token_files, op12_cost_layer_repair, op13_phrase_collocations, pipeline]
     return {f.__name__: f for f in own}
 
 
@@ -110,5 +118,5 @@ FROM d JOIN r ON r.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc_index_merge": warc.SQL, "op2_perspective_rotation": chat.SQL, "op3_suffix_array_quality": quality.SQL,
-        "op6_recompression_dedup": recompression.SQL, "op8_inverted_multi_index": SQL8, "op10_odd_sketch_minhash": SQL10,
+        "op6_recompression_dedup": recompression.SQL, "op8_inverted_multi_index": SQL8, "op10_odd_sketch_minhash": SQL10, "op13_phrase_collocations": collocations.SQL,
     }
