@@ -28,6 +28,8 @@ SPLIT_BYTES = 1 << 20
 CLEAN = bytes(10 if b in b".,;:!?\x0a\x0b\x0c\x0d" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 COUNTS = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("block", pa.int64()), ("n", pa.int64())])
 COUNTS_DDL = "lang string, gram string, block long, n long"
+#: What comes of a bucket: sums (gram, n) of block ALL, and for each block that asked the pairs among its own that are frequent.
+ANSWERS_DDL = COUNTS_DDL + ", pairs array<string>"
 #: The block of a row that is a count over all blocks.
 ALL = -1
 
@@ -147,13 +149,13 @@ def short_grams(pieces: DataFrame) -> DataFrame:
 
 
 def long_grams(pieces: DataFrame, frequent: DataFrame, longest: int) -> DataFrame:
-    """COUNTS of each block's phrases of three words and more all of whose pairs are ``frequent`` (lang, gram, block)."""
+    """COUNTS of each block's phrases of three words and more all of whose pairs are ``frequent`` (lang, block, pairs)."""
 
     def run(own: pa.Table, known: pa.Table) -> pa.Table:
         out = []
         for lang, block in by_language(own) if len(known) else ():
             number = block.numbers_of
-            pairs = [tuple(map(bytes, x.encode().split(b" "))) for x in known.filter(pc.equal(known["lang"], lang))["gram"].to_pylist()]
+            pairs = [tuple(map(bytes, x.encode().split(b" "))) for x in chain.from_iterable(known.filter(pc.equal(known["lang"], lang))["pairs"].to_pylist())]
             code = np.array([number[a] * len(block.names) + number[b] for a, b in pairs], np.int64)
             pair = block.pairs()
             good = np.isin(pair, code)
@@ -171,16 +173,16 @@ def long_grams(pieces: DataFrame, frequent: DataFrame, longest: int) -> DataFram
                 out.append(counts(lang, ALL, block.spelt(first, size), n))
         return pa.Table.from_batches(out, COUNTS)
 
-    left, right = pieces.select("lang", "piece", "n", "block"), frequent.select("lang", "gram", "block")
+    left, right = pieces.select("lang", "piece", "n", "block"), frequent.select("lang", "pairs", "block")
     return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(run, COUNTS_DDL)
 
 
 def counted(grams: DataFrame, buckets: int, least: int, answer: bool) -> DataFrame:
-    """Sums of ``grams`` (COUNTS) over all blocks, for the empty phrase and phrases of ``least`` or more, as rows of block ALL.
+    """Sums of ``grams`` (COUNTS) over all blocks, for the empty phrase and phrases of ``least`` or more, by ANSWERS_DDL.
 
     Phrases are dealt into hash buckets, and duckdb sums each bucket up, on disk where it outgrows COUNT_MEMORY. With
-    ``answer`` a row of a block is also its request for what comes of its phrase: each such pair's request is answered by
-    the pair's row of that block.
+    ``answer`` a row of a block is also its request for what comes of its phrase: a block's requests of a bucket are
+    answered by one row with those of its pairs that are frequent.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,13 +193,12 @@ def counted(grams: DataFrame, buckets: int, least: int, answer: bool) -> DataFra
             db.execute("CREATE TABLE r AS SELECT * FROM rows")
             db.unregister("rows")
             db.execute(f"CREATE TABLE f AS SELECT lang, gram, sum(n)::BIGINT AS n FROM r GROUP BY lang, gram HAVING sum(n) >= {least} OR gram = ''")
-            out = f"SELECT lang, gram, {ALL}::BIGINT AS block, n FROM f"
+            yield from db.sql(f"SELECT lang, gram, {ALL}::BIGINT AS block, n, NULL::VARCHAR[] AS pairs FROM f").to_arrow_reader(1 << 16)
             if answer:
-                out += " UNION ALL SELECT lang, gram, block, n FROM r SEMI JOIN f USING (lang, gram) WHERE contains(gram, ' ')"
-            yield from db.execute(out).to_arrow_reader(1 << 16)
+                yield from db.sql("SELECT lang, NULL::VARCHAR AS gram, block, 0::BIGINT AS n, list(gram) AS pairs FROM r SEMI JOIN f USING (lang, gram) WHERE contains(gram, ' ') GROUP BY lang, block").to_arrow_reader(64)
             db.close()
 
-    return grams.repartition(buckets, "lang", "gram").mapInArrow(run, COUNTS_DDL)
+    return grams.repartition(buckets, "lang", "gram").mapInArrow(run, ANSWERS_DDL)
 
 
 def frequencies(docs: DataFrame, scratch: Scratch, least: int = LEAST, longest: int = LONGEST, block_bytes: int = BLOCK_BYTES, lang: str = "lang", text: str = "text") -> DataFrame:
