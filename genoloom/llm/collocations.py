@@ -12,24 +12,29 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from genoloom.llm.bpe import Numbered
 from genoloom.llm.scratch import Scratch
+from genoloom.llm.words import BASE, mix
 
 LEAST, LONGEST, TOP, UNKNOWN = 100, 5, 2000, "und"
 #: Bytes of a block of pieces, distinct pieces that a task counts before it passes them on, memory of a bucket's counts.
 BLOCK_BYTES, MOST_PIECES, COUNT_MEMORY = 16 << 20, 200_000, "256MB"
+#: Hash buckets for each task that sums them up.
+SPREAD = 4
 #: Bytes of pieces whose words are split at once.
 SPLIT_BYTES = 1 << 20
 #: Lower-cases A-Z and makes every separator a line end.
 CLEAN = bytes(10 if b in b".,;:!?\x0a\x0b\x0c\x0d" else b + 32 if 65 <= b <= 90 else b for b in range(256))
-COUNTS = pa.schema([("lang", pa.string()), ("gram", pa.string()), ("block", pa.int64()), ("n", pa.int64())])
-COUNTS_DDL = "lang string, gram string, block long, n long"
+#: What a block sends to a bucket: its phrases there and how often each stands in it.
+MESSAGES = pa.schema([("bucket", pa.int64()), ("lang", pa.string()), ("block", pa.int64()), ("grams", pa.list_(pa.string())), ("n", pa.list_(pa.int64()))])
+MESSAGES_DDL = "bucket long, lang string, block long, grams array<string>, n array<long>"
 #: What comes of a bucket: sums (gram, n) of block ALL, and for each block that asked the pairs among its own that are frequent.
-ANSWERS_DDL = COUNTS_DDL + ", pairs array<string>"
+ANSWERS_DDL = "lang string, gram string, block long, n long, pairs array<string>"
 #: The block of a row that is a count over all blocks.
 ALL = -1
 
@@ -85,6 +90,7 @@ class Block:
             a = b
         self.numbers_of = names
         self.names = pa.array(list(names), pa.binary()).cast(pa.string())
+        self.hashes = np.fromiter(map(xxhash.xxh64_intdigest, names), np.uint64, len(names))
         self.word = np.concatenate([np.zeros(0, np.int64), *numbers])
         size = np.concatenate([np.zeros(0, np.int64), *sizes])
         self.weight = np.repeat(n, size)
@@ -106,8 +112,22 @@ class Block:
         return pc.binary_join_element_wise(*(self.names.take(pa.array(self.word[at + i])) for i in range(size)), " ")
 
 
-def counts(lang: str, block: int, grams: pa.Array, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), grams, pa.array(np.full(len(grams), block)), pa.array(n, pa.int64())], schema=COUNTS)
+def messages(lang: str, block: int, own: Block, first: np.ndarray, n: np.ndarray, size: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """The phrases of ``size`` words that begin at ``first``, one message a bucket: dealt by a hash of their words."""
+    hashes = np.full(len(first), xxhash.xxh64_intdigest(lang), np.uint64)
+    for i in range(size):
+        hashes = mix(hashes * np.uint64(BASE) + own.hashes[own.word[first + i]])
+    bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+    by = np.argsort(bucket, kind="stable")
+    bucket, first, n = bucket[by], first[by], n[by]
+    cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    # some messages at a time, so that not all phrases of a block are spelt at once
+    for i in range(0, len(cuts), 16):
+        a, b = cuts[i], cuts[i + 16] if i + 16 < len(cuts) else len(first)
+        own_cuts = cuts[i : i + 16]
+        ends = pa.array(np.append(own_cuts, b) - a, pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, x) for x in (own.spelt(first[a:b], size) if size else pa.array([""] * (b - a)), pa.array(n[a:b], pa.int64()))]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[own_cuts]), pa.array([lang] * len(own_cuts), pa.string()), pa.array(np.full(len(own_cuts), block)), *lists], schema=MESSAGES)
 
 
 def by_language(table: pa.Table) -> Iterator[tuple[str, Block]]:
@@ -116,19 +136,18 @@ def by_language(table: pa.Table) -> Iterator[tuple[str, Block]]:
         yield lang, Block(own["piece"].combine_chunks(), own["n"].to_numpy())
 
 
-def short_grams(pieces: DataFrame) -> DataFrame:
-    """COUNTS of each block's words and pairs; the empty phrase has the number of words."""
+def short_grams(pieces: DataFrame, buckets: int) -> DataFrame:
+    """MESSAGES of each block's words and pairs; the empty phrase has the number of words."""
 
     def emit(block: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, own in by_language(pa.Table.from_batches(held)):
-            words = np.bincount(own.word, own.weight, len(own.names)).astype(np.int64)
-            yield counts(lang, block, pa.array([""]), np.array([own.weight.sum()]))
-            yield counts(lang, block, own.names, words)
+            first, n, _ = own.summed(own.word, np.arange(len(own.word)))
+            yield from messages(lang, block, own, np.zeros(1, np.int64), np.array([own.weight.sum()]), 0, buckets)
+            yield from messages(lang, block, own, first, n, 1, buckets)
             pairs = own.pairs()
             at = np.flatnonzero(pairs >= 0)
             first, n, _ = own.summed(pairs[at], at)
-            for i in range(0, len(first), 1 << 16):
-                yield counts(lang, block, own.spelt(first[i : i + (1 << 16)], 2), n[i : i + (1 << 16)])
+            yield from messages(lang, block, own, first, n, 2, buckets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -145,11 +164,11 @@ def short_grams(pieces: DataFrame) -> DataFrame:
         if held:
             yield from emit(held[0].column(3)[0].as_py(), held)
 
-    return pieces.select("lang", "piece", "n", "block").mapInArrow(run, COUNTS_DDL)
+    return pieces.select("lang", "piece", "n", "block").mapInArrow(run, MESSAGES_DDL)
 
 
-def long_grams(pieces: DataFrame, frequent: DataFrame, longest: int) -> DataFrame:
-    """COUNTS of each block's phrases of three words and more all of whose pairs are ``frequent`` (lang, block, pairs)."""
+def long_grams(pieces: DataFrame, frequent: DataFrame, longest: int, buckets: int) -> DataFrame:
+    """MESSAGES of each block's phrases of three words and more all of whose pairs are ``frequent`` (lang, block, pairs)."""
 
     def run(own: pa.Table, known: pa.Table) -> pa.Table:
         out = []
@@ -170,27 +189,27 @@ def long_grams(pieces: DataFrame, frequent: DataFrame, longest: int) -> DataFram
                 last = block.word[at + size - 1]
                 _, group = np.unique(group, return_inverse=True)
                 first, n, group = block.summed(group * len(block.names) + last, at)
-                out.append(counts(lang, ALL, block.spelt(first, size), n))
-        return pa.Table.from_batches(out, COUNTS)
+                out += messages(lang, ALL, block, first, n, size, buckets)
+        return pa.Table.from_batches(out, MESSAGES)
 
     left, right = pieces.select("lang", "piece", "n", "block"), frequent.select("lang", "pairs", "block")
-    return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(run, COUNTS_DDL)
+    return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(run, MESSAGES_DDL)
 
 
-def counted(grams: DataFrame, buckets: int, least: int, answer: bool) -> DataFrame:
-    """Sums of ``grams`` (COUNTS) over all blocks, for the empty phrase and phrases of ``least`` or more, by ANSWERS_DDL.
+def counted(sent: DataFrame, buckets: int, least: int, answer: bool) -> DataFrame:
+    """Sums of what was ``sent`` (MESSAGES) over all blocks, for the empty phrase and phrases of ``least`` or more, by ANSWERS_DDL.
 
-    Phrases are dealt into hash buckets, and duckdb sums each bucket up, on disk where it outgrows COUNT_MEMORY. With
-    ``answer`` a row of a block is also its request for what comes of its phrase: a block's requests of a bucket are
-    answered by one row with those of its pairs that are frequent.
+    A message's bucket is the hash of its phrases. Duckdb sums each bucket up, on disk where it outgrows COUNT_MEMORY.
+    With ``answer`` a message is also a request for what comes of its phrases: a block's requests of a bucket are answered
+    by one row with those of its pairs that are frequent.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # scratch of this task alone, beside Spark's own spills; nothing else reads it
         with tempfile.TemporaryDirectory(dir=(os.environ.get("SPARK_LOCAL_DIRS") or "").split(",")[0] or None) as folder:
             db = duckdb.connect(f"{folder}/bucket.db", config={"memory_limit": COUNT_MEMORY, "threads": 1, "temp_directory": f"{folder}/spill", "preserve_insertion_order": False})
-            db.register("rows", pa.RecordBatchReader.from_batches(COUNTS, (pa.RecordBatch.from_arrays(b.columns, schema=COUNTS) for b in batches)))
-            db.execute("CREATE TABLE r AS SELECT * FROM rows")
+            db.register("rows", pa.RecordBatchReader.from_batches(MESSAGES, (pa.RecordBatch.from_arrays(b.columns, schema=MESSAGES) for b in batches)))
+            db.execute("CREATE TABLE r AS SELECT lang, block, unnest(grams) AS gram, unnest(n) AS n FROM rows")
             db.unregister("rows")
             db.execute(f"CREATE TABLE f AS SELECT lang, gram, sum(n)::BIGINT AS n FROM r GROUP BY lang, gram HAVING sum(n) >= {least} OR gram = ''")
             yield from db.sql(f"SELECT lang, gram, {ALL}::BIGINT AS block, n, NULL::VARCHAR[] AS pairs FROM f").to_arrow_reader(1 << 16)
@@ -198,7 +217,7 @@ def counted(grams: DataFrame, buckets: int, least: int, answer: bool) -> DataFra
                 yield from db.sql("SELECT lang, NULL::VARCHAR AS gram, block, 0::BIGINT AS n, list(gram) AS pairs FROM r SEMI JOIN f USING (lang, gram) WHERE contains(gram, ' ') GROUP BY lang, block").to_arrow_reader(64)
             db.close()
 
-    return grams.repartition(buckets, "lang", "gram").mapInArrow(run, ANSWERS_DDL)
+    return sent.repartition(buckets, "bucket").mapInArrow(run, ANSWERS_DDL)
 
 
 def frequencies(docs: DataFrame, scratch: Scratch, least: int = LEAST, longest: int = LONGEST, block_bytes: int = BLOCK_BYTES, lang: str = "lang", text: str = "text") -> DataFrame:
@@ -210,8 +229,8 @@ def frequencies(docs: DataFrame, scratch: Scratch, least: int = LEAST, longest:
     pieces = scratch.keep(distinct_pieces(docs, block_bytes, lang, text), "pieces")
     size = pieces.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // block_bytes))
-    short = scratch.keep(counted(short_grams(pieces), buckets, least, True), "short")
-    long = scratch.keep(counted(long_grams(pieces, short.filter(f"block <> {ALL}"), longest), buckets, least, False), "long")
+    short = scratch.keep(counted(short_grams(pieces, SPREAD * buckets), buckets, least, True), "short")
+    long = scratch.keep(counted(long_grams(pieces, short.filter(f"block <> {ALL}"), longest, SPREAD * buckets), buckets, least, False), "long")
     scratch.drop("pieces")
     return short.filter(f"block = {ALL}").union(long).select("lang", "gram", "n")
 
