@@ -97,18 +97,18 @@ def similarity_join(spark, sf_dir):
 
 @query(f"WITH c AS ({V.CALLS}) SELECT * FROM c a WHERE side = 'F' AND EXISTS (SELECT 1 FROM c b WHERE b.side = 'O' AND a.t = b.t AND a.k = b.k AND a.s <= b.e AND a.e >= b.s AND {SIMILAR} >= 0.5)")
 def callset_semi(spark, sf_dir):
-    return P.matched(*sides(spark, sf_dir), ["t", "k"], "id", 0.5, "left_semi")
+    return P.matched(*sides(spark, sf_dir), ["t", "k"], 0.5, "left_semi")
 
 
 @query(f"WITH c AS ({V.CALLS}) SELECT * FROM c a WHERE side = 'F' AND NOT EXISTS (SELECT 1 FROM c b WHERE b.side = 'O' AND a.t = b.t AND a.k = b.k AND a.s <= b.e AND a.e >= b.s AND {SIMILAR} >= 0.5)")
 def callset_anti(spark, sf_dir):
-    return P.matched(*sides(spark, sf_dir), ["t", "k"], "id", 0.5, "left_anti")
+    return P.matched(*sides(spark, sf_dir), ["t", "k"], 0.5, "left_anti")
 
 
 @query(f"WITH c AS ({V.CALLS}), g AS ({V.GENE}) SELECT * FROM c WHERE EXISTS (SELECT 1 FROM g WHERE g.s % 25 = k AND c.s <= g.e AND c.e >= g.s)")
 def callset_gene_semi(spark, sf_dir):
     g = V.gene(spark, sf_dir).select((F.col("s") % 25).alias("k"), "s", "e")
-    return P.matched(V.calls(spark, sf_dir), g, ["k"], "id", None, "left_semi")
+    return P.matched(V.calls(spark, sf_dir), g, ["k"], None, "left_semi")
 
 
 @query(f"""WITH c AS ({V.CALLS}), a AS (SELECT * FROM c WHERE side = 'F'), b AS (SELECT * FROM c WHERE side = 'O'),
@@ -256,10 +256,10 @@ def clone_alleles(spark, sf_dir):
     return T.allele_map(V.tree(spark, sf_dir), parts)
 
 
-@query()
+@query(f"SELECT id, t, side, k, s, e FROM ({V.CALLS}) QUALIFY row_number() OVER (PARTITION BY k ORDER BY md5('7:' || id), id) <= 10")
 def sample_calls(spark, sf_dir):
     """Ten calls of each contig in the order of a seeded hash, the same whatever the partitions."""
-    order = Window.partitionBy("k").orderBy(F.xxhash64(F.lit(7), "id"))
+    order = Window.partitionBy("k").orderBy(F.md5(F.concat(F.lit("7:"), F.col("id").cast("string"))), "id")
     return V.calls(spark, sf_dir).withColumn("rn", F.row_number().over(order)).filter("rn <= 10").drop("rn")
 
 

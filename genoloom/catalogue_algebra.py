@@ -177,11 +177,39 @@ def call_conflicts(spark, sf_dir):
     return S.conflicts(V.calls(spark, sf_dir), ["k", "t"])
 
 
-@query(f"WITH c AS ({V.CALLS}) SELECT id, k, s, e FROM c b WHERE NOT EXISTS (SELECT 1 FROM c a WHERE a.k = b.k AND a.id < b.id AND a.s <= b.e AND a.e >= b.s)")
+#: SQL: of each k the calls that stay when they go one by one in the order r and none may overlap one that stayed.
+GREEDY = """WITH RECURSIVE c AS ({calls}), o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY {order}) AS r FROM (SELECT *, count(*) OVER (PARTITION BY k, t) AS often FROM c)),
+g AS (
+  SELECT DISTINCT k, 0::BIGINT AS r, []::STRUCT(id BIGINT, s BIGINT, e BIGINT)[] AS stay FROM o
+  UNION ALL
+  SELECT o.k, o.r, CASE WHEN len(list_filter(g.stay, lambda x: x.s <= o.e AND x.e >= o.s)) > 0 THEN g.stay ELSE list_append(g.stay, {{'id': o.id, 's': o.s, 'e': o.e}}) END
+  FROM g JOIN o ON o.k = g.k AND o.r = g.r + 1)
+SELECT k, unnest({stay}, recursive := true) FROM (SELECT k, arg_max(stay, r) AS stay FROM g GROUP BY k)"""
+
+
+@query("SELECT id, k, s, e FROM (" + GREEDY.format(calls=V.CALLS, order="often, md5(id::VARCHAR), id", stay="stay") + ")")
 def conflicts_removed(spark, sf_dir):
     return S.without_conflicts(V.calls(spark, sf_dir), ["k"]).select("id", "k", "s", "e")
 
 
+@query("SELECT id, k, s, e FROM (" + GREEDY.format(calls=V.CALLS, order="md5('x' || id), id", stay="stay[1:12]") + ")")
+def first_disjoint_events(spark, sf_dir):
+    return S.first_disjoint(V.calls(spark, sf_dir), ["k"], F.md5(F.concat(F.lit("x"), F.col("id").cast("string"))), 12).select("id", "k", "s", "e")
+
+
+@query(f"""WITH c AS ({V.CALLS}), g AS ({GENES}), h AS (SELECT DISTINCT c.k, c.id, g.symbol, min(struct_pack(s := g.s, e := g.e, symbol := g.symbol)) OVER (PARTITION BY c.k, c.id) AS first FROM c JOIN g ON g.k = c.k AND c.s <= g.e AND c.e >= g.s),
+d AS (SELECT k, symbol, count(*) AS n, min(id) AS least, min(id) FILTER (WHERE first.symbol = symbol) AS chooser FROM h GROUP BY ALL)
+SELECT g.k, g.s, g.e, coalesce(chooser, least) AS id, d.symbol FROM d JOIN g USING (k, symbol) WHERE n = 1 OR chooser IS NOT NULL
+UNION ALL SELECT k, s, e, id, NULL FROM c WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.k = c.k AND c.s <= g.e AND c.e >= g.s)""")
+def events_split_over_genes(spark, sf_dir):
+    return S.split_over_genes(V.calls(spark, sf_dir), genes(spark, sf_dir), ["k"])
+
+
+@query(f"WITH d AS ({V.CALLS}), p AS (SELECT k, s AS x FROM d UNION SELECT k, e + 1 FROM d), w AS (SELECT k, x AS s, lead(x) OVER (PARTITION BY k ORDER BY x) - 1 AS e FROM p) SELECT w.k, w.s, w.e, count(*) AS depth, count(DISTINCT t) > 1 AS mixed FROM w JOIN d ON d.k = w.k AND d.s <= w.e AND d.e >= w.s GROUP BY ALL HAVING count(*) > 1")
+def overlap_flags(spark, sf_dir):
+    return I.overlapping(V.calls(spark, sf_dir), ["k"], "t")
+
+
 @query(f"WITH c AS ({V.CALLS}), g AS ({GENES}) SELECT id, c.k, least(c.s, coalesce(min(g.s), c.s)) AS s, greatest(c.e, coalesce(max(g.e), c.e)) AS e FROM c LEFT JOIN g ON g.k = c.k AND c.s <= g.e AND c.e >= g.s GROUP BY id, c.k, c.s, c.e")
 def events_to_gene_bounds(spark, sf_dir):
     return S.extended(V.calls(spark, sf_dir), genes(spark, sf_dir), ["k"])
@@ -200,7 +228,7 @@ def nearest_sample(spark, sf_dir):
     a, b = sides(spark, sf_dir)
     sample = (F.col("k") % 5).alias("sample")
     n = a.groupBy("t", sample).agg(F.count("*").alias("n"))
-    ok = P.matched(a, b, ["t", "k"], "id", 0.5, "left_semi").groupBy("t", sample).agg(F.count("*").alias("ok"))
+    ok = P.matched(a, b, ["t", "k"], 0.5, "left_semi").groupBy("t", sample).agg(F.count("*").alias("ok"))
     return n.join(ok, ["t", "sample"], "left").groupBy("sample").agg(F.round(F.sum(F.coalesce("ok", F.lit(0)) / F.col("n")) / 5, 9).alias("mean"))
 
 
@@ -217,10 +245,10 @@ def split_and_repeat(spark, sf_dir):
     return V.table(spark, sf_dir, "part").select("p_partkey", X.split_at(F.col("p_name"), F.array(F.lit(3), F.lit(7))).alias("pieces"), F.repeat("p_brand", F.lit(2)).alias("twice"))
 
 
-@query("SELECT doc_id, list_transform(range(1, len(x)), lambda i: (list_sum(list_transform(x[1:i], lambda p: length(p))) + (i - 1) * 2)::INTEGER) AS places FROM (SELECT doc_id, string_split(left(text, 400), 'an') AS x FROM documents WHERE text IS NOT NULL)")
+@query("SELECT doc_id, list_transform(range(1, len(x)), lambda i: (list_sum(list_transform(x[1:i], lambda p: length(p))) + (i - 1) * 2)::INTEGER) AS places FROM (SELECT doc_id, string_split(text, 'an') AS x FROM documents WHERE text IS NOT NULL)")
 def literal_positions(spark, sf_dir):
     d = V.table(spark, sf_dir, "documents").filter("text is not null")
-    return d.select("doc_id", X.positions(F.left("text", F.lit(400)), "an").alias("places"))
+    return d.select("doc_id", X.positions(F.col("text"), "an").alias("places"))
 
 
 @query("SELECT o_orderkey AS id, CASE WHEN n >= 1000000000000 THEN (n // 1000000000000) || 'TB' WHEN n >= 1000000000 THEN (n // 1000000000) || 'GB' WHEN n >= 1000000 THEN (n // 1000000) || 'MB' WHEN n >= 1000 THEN (n // 1000) || 'KB' ELSE n || 'B' END AS pretty, round(50 / (1 + o_orderkey % 9) * 2 * 100)::BIGINT AS expected FROM (SELECT o_orderkey, o_custkey * o_custkey * o_custkey AS n FROM orders)")

@@ -19,8 +19,7 @@ CAST(floor(o_totalprice / 10) AS BIGINT) + o_orderkey % 400 AS e, o_orderkey % 2
 
 
 def call_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    V.table(spark, sf_dir, "orders").createOrReplaceTempView("orders_of_calls")
-    rows = spark.sql(CALLS.replace("FROM orders", "FROM orders_of_calls"))
+    rows = spark.sql(CALLS.replace("FROM orders", "FROM {orders}"), orders=V.table(spark, sf_dir, "orders"))
     info = F.concat(F.lit("CIEND=1,2;SVTYPE="), "svtype", F.when(F.col("n") % 5 == 0, F.concat(F.lit(";SVLEN=-"), (F.col("e") - F.col("pos")).cast("string"))).otherwise(F.concat(F.lit(";END="), F.col("e").cast("string"))), F.lit(";AF=0.25,0.5"))
     return rows.withColumn("info", info).withColumn("end", F.col("e")).withColumn("samples", F.array(F.concat_ws("|", F.col("a").cast("string"), F.col("b").cast("string")), F.concat_ws("/", F.col("b").cast("string"), F.lit("."))))
 
@@ -167,8 +166,7 @@ SEQUENCES = "SELECT 'c' || p_partkey AS name, repeat(translate(upper(replace(p_n
 
 def fasta_file(spark: SparkSession, sf_dir: str) -> str:
     path = shared_folder(spark, "fasta")
-    V.table(spark, sf_dir, "part").createOrReplaceTempView("part_of_sequences")
-    T.write_fasta(spark.sql(SEQUENCES.replace("FROM part", "FROM part_of_sequences").replace("::INTEGER", "")), path)
+    T.write_fasta(spark.sql(SEQUENCES.replace("FROM part", "FROM {part}").replace("::INTEGER", ""), part=V.table(spark, sf_dir, "part")), path)
     return path
 
 
@@ -200,11 +198,10 @@ def fastq_read(spark, sf_dir):
     return fastq_files(spark, sf_dir).select("id", "seq", "plus", "qual")
 
 
-@query("SELECT 0::BIGINT AS unpaired")
+@query("SELECT n AS record, 2::BIGINT AS mates FROM (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS n FROM supplier) WHERE left(md5('7:' || n), 5) < '66666'")
 def fastq_sample_pairs(spark, sf_dir):
-    """Records of a seeded sample of both mates whose mate is not in it: none."""
-    ids = T.sampled(fastq_files(spark, sf_dir), 0.4).groupBy("record").agg(F.count("*").alias("n"))
-    return ids.agg(F.count_if(F.col("n") != 2).alias("unpaired"))
+    """Records of a seeded sample with the number of their mates in it."""
+    return T.sampled(fastq_files(spark, sf_dir), 0.4).groupBy("record").agg(F.count("*").alias("mates"))
 
 
 @query(f"SELECT id, t, k, s, e FROM ({V.CALLS})")

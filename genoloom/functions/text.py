@@ -17,10 +17,15 @@ def split_at(text: Column, places: Column) -> Column:
 
 
 def positions(text: Column, literal: str) -> Column:
-    """0-based places of a literal, none overlapping another."""
+    """0-based places of a literal, none overlapping another: one fold over the lengths of what lies between them."""
     parts = F.split(text, f"\\Q{literal}\\E", -1)
-    lengths = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: F.length(p))
-    return F.transform(lengths, lambda x, i: F.aggregate(F.slice(lengths, F.lit(1), i + 1), F.lit(0), lambda a, b: a + b) + i * len(literal))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("places"))
+
+    def step(done: Column, part: Column) -> Column:
+        at = done["at"] + F.length(part)
+        return F.struct((at + len(literal)).alias("at"), F.array_append(done["places"], at).alias("places"))
+
+    return F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), start, step)["places"]
 
 
 def pretty_size(size: Column) -> Column:
@@ -40,6 +45,18 @@ def duplication(info: Column) -> Column:
     return F.struct(info_value(info, "DUP_TYPE").alias("type"), info_value(info, "ICN").cast("int").alias("copies"), F.transform(F.split(info_value(info, "DUP_POS"), ","), lambda x: x.cast("long")).alias("positions"))
 
 
+def inversion(info: Column) -> Column:
+    """Type of an inversion's INFO: PERFECT or COMPLEX."""
+    return F.struct(info_value(info, "INV_TYPE").alias("type"))
+
+
+def set_duplication(info: Column, kind: Column, copies: Column, places: Column) -> Column:
+    """INFO with a duplication's entries in place of those it has, behind all others."""
+    kept = F.filter(F.split(info, ";"), lambda t: (t != "") & ~F.rlike(t, F.lit("^(DUP_TYPE|ICN|DUP_POS)=")))
+    own = [F.concat(F.lit(f"{k}="), v) for k, v in (("DUP_POS", F.array_join(F.transform(places, lambda x: x.cast("string")), ",")), ("DUP_TYPE", kind), ("ICN", copies.cast("string")))]
+    return F.array_join(F.concat(kept, F.array(*own)), ";")
+
+
 def translocation(info: Column) -> Column:
     return F.struct(info_value(info, "TRA_TYPE").alias("type"), info_value(info, "CHR2").alias("contig"), info_value(info, "POS2").cast("long").alias("s"), info_value(info, "END2").cast("long").alias("e"))
 

@@ -43,3 +43,19 @@ def mask_genotype(call: Column, loss: Column) -> Column:
 
 def contig_order(chrom: Column) -> Column:
     return F.lpad(chrom, 100, "0")
+
+
+def genotype(call: Column, clone: int) -> Column:
+    """Alleles of a clone of ``a|b`` genotypes joined by tabs, as numbers; a missing one is 0, of an unknown clone null."""
+    own = F.get(F.split(call, "\t"), F.lit(clone))
+    return F.transform(F.split(own, "[|/]"), lambda x: F.coalesce(x.try_cast("int"), F.lit(0)))
+
+
+def set_genotypes(alleles: Column) -> Column:
+    """The genotype column of an array of clones' alleles."""
+    return F.array_join(F.transform(alleles, lambda x: F.array_join(F.transform(x, lambda a: a.cast("string")), "|")), "\t")
+
+
+def repeated_genotype(call: Column, clones: int) -> Column:
+    """A germline genotype for each of ``clones`` clones."""
+    return F.array_join(F.array_repeat(call, clones), "\t")

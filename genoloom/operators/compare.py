@@ -13,14 +13,22 @@ def similar(a: DataFrame, b: DataFrame, keys: list[str], r: float) -> DataFrame:
     return hits.filter(F.col("j") >= r)
 
 
-def matched(a: DataFrame, b: DataFrame, keys: list[str], id: str, r: float | None, how: str) -> DataFrame:
+def matched(a: DataFrame, b: DataFrame, keys: list[str], r: float | None, how: str) -> DataFrame:
     """Rows of ``a`` with (left_semi) or without (left_anti) a partner: similar by ``r``, or any overlap if null.
 
-    A row is known by its keys, ends and id together, so ids may repeat.
+    Whether a row has a partner hangs on its keys and ends alone, so the hits are joined back by these: ids may repeat or
+    be null. Rows with a null among keys or ends have no partner.
     """
-    hits = I.overlaps(a, b, keys) if r is None else similar(a, b, keys, r)
-    row = [*dict.fromkeys([*keys, "s", "e", id])]
-    return a.join(hits.select(*(F.col(f"a_{c}").alias(c) for c in row)).distinct(), row, how)
+    if r is None:
+        hits = I.touching(a, b, keys)
+    else:
+        hits = similar(a.select(*keys, "s", "e").distinct(), b.select(*keys, "s", "e").distinct(), keys, r)
+        hits = hits.select(*(F.col(f"a_{c}").alias(c) for c in [*keys, "s", "e"])).distinct()
+    hits = hits.select(*(F.col(c).alias(f"hit_{c}") for c in [*keys, "s", "e"]))
+    same = F.lit(True)
+    for c in [*keys, "s", "e"]:
+        same = same & (F.col(c) == F.col(f"hit_{c}"))
+    return a.join(hits, same, how)
 
 
 def score(a: DataFrame, b: DataFrame, type: str, keys: list[str], id: str, r: float) -> DataFrame:

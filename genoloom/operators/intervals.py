@@ -2,23 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-#: Coordinates of a range that is merged by itself.
-SPAN = 1 << 16
+from genoloom.sources.files import by_range
+
 #: Width of the finest bins, how much wider each next level is, and levels: the coarsest bins hold whole contigs.
-BIN, LEVEL, LEVELS = 512, 64, 5
+BIN, LEVEL, LEVELS = 32, 8, 9
 
 
 def merge(df: DataFrame, keys: list[str]) -> DataFrame:
     """Joins overlapping and adjacent intervals of a key.
 
-    Intervals are first joined within ranges of SPAN coordinates (by their starts), each range a group of its own, so a
-    hot key is spread along its coordinate; then the islands of all ranges are joined over the borders.
+    Rows are put into ranges of (keys, s), and a range's rows are joined into islands by themselves; an island that
+    reaches into later ranges meets theirs in a second pass over islands, in which only the furthest reach of the ranges
+    before comes from outside. So a hot key goes through as many tasks as it has ranges, however its intervals lie.
     """
-    ranged = df.select(*keys, "s", "e").withColumn("range", F.floor(F.col("s") / SPAN))
-    return islands(islands(ranged, [*keys, "range"]).drop("range"), keys)
+    local = islands(by_range(df.select(*keys, "s", "e"), [*keys, "s"]), [*keys, "part"])
+    reach = F.max("e").over(order_of([*keys, "part"], "s").rowsBetween(Window.unboundedPreceding, -1))
+    own = carried(local, keys, {"before": F.max("e")}, F.max)
+    reach = F.greatest("before", reach)
+    begins = own.withColumn("begins", F.when(reach.isNull() | (F.col("s") > reach + 1), 1).otherwise(0))
+    number = F.sum("begins").over(order_of([*keys, "part"], "s"))
+    # an island is known by its place among those that begin in its part, and goes by the last part that has a beginning
+    named = begins.withColumn("nth", number)
+    starts = carried(named.drop("before"), keys, {"earlier": F.sum("begins")}, F.sum)
+    return starts.withColumn("island", F.col("nth") + F.coalesce("earlier", F.lit(0))).groupBy(*keys, "island").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("island")
+
+
+def order_of(keys: list[str], at: str) -> WindowSpec:
+    return Window.partitionBy(*keys).orderBy(at)
 
 
 def islands(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -28,25 +43,58 @@ def islands(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumn("reach", reach).withColumn("island", island).groupBy(*keys, "island").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("island")
 
 
-def depth(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Maximal disjoint segments between boundaries with the number of intervals over each (1 or more).
+def carried(df: DataFrame, keys: list[str], values: dict[str, Column], put_together: Callable[[Column], Column], after: dict[str, Column] | None = None) -> DataFrame:
+    """``df`` (with ``part``, its range) and what the ranges before come to for its key: null where there are none.
 
-    A boundary carries how many intervals begin less how many ended; a running sum gives the depth without a join.
+    ``values`` are aggregates of a range, put together over the ranges before by ``put_together``; of those of ``after``
+    the least over the ranges behind is taken. Only keys that reach over a border are sent along, so there are no more rows of that than
+    ranges, and it is broadcast.
     """
-    deltas = df.select(*keys, F.explode(F.array(F.struct(F.col("s").alias("at"), F.lit(1).alias("d")), F.struct((F.col("e") + 1).alias("at"), F.lit(-1).alias("d")))).alias("x"))
-    sums = deltas.groupBy(*keys, F.col("x.at").alias("s")).agg(F.sum("x.d").alias("d"))
-    order = Window.partitionBy(*keys).orderBy("s")
-    return sums.select(*keys, "s", (F.lead("s").over(order) - 1).alias("e"), F.sum("d").over(order).alias("depth")).filter("depth > 0")
+    after = after or {}
+    each = df.groupBy(*keys, "part").agg(*(v.alias(k) for k, v in {**values, **after}.items()))
+    order = order_of(keys, "part")
+    before = [put_together(F.col(k)).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias(k) for k in values]
+    later = [F.min(k).over(order.rowsBetween(1, Window.unboundedFollowing)).alias(k) for k in after]
+    border = each.select(*(F.col(k).alias(f"carry_{k}") for k in [*keys, "part"]), *before, *later, F.count("*").over(Window.partitionBy(*keys)).alias("parts")).filter("parts > 1").drop("parts")
+    same = F.lit(True)
+    for k in [*keys, "part"]:
+        same = same & F.col(k).eqNullSafe(F.col(f"carry_{k}"))
+    return df.join(F.broadcast(border), same, "left").drop(*(f"carry_{k}" for k in [*keys, "part"]))
+
+
+def swept(deltas: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
+    """(keys, s, e, sums): segments between boundaries ``s`` with the running sums of the columns ``sums`` of ``deltas``.
+
+    Deltas of a boundary are summed first. Boundaries lie in ranges of (keys, s); sums run within each, and a row a range
+    carries what the ranges before come to and where the next begins. A last segment without an end is left out.
+    """
+    totals = deltas.groupBy(*keys, "s").agg(*(F.sum(x).alias(x) for x in sums))
+    rows = by_range(totals, [*keys, "s"])
+    order = order_of([*keys, "part"], "s")
+    own = carried(rows, keys, {f"before_{x}": F.sum(x) for x in sums}, F.sum, {"next": F.min("s")})
+    ends = F.coalesce(F.lead("s").over(order), F.col("next")) - 1
+    running = [(F.sum(x).over(order) + F.coalesce(f"before_{x}", F.lit(0))).alias(x) for x in sums]
+    return own.select(*keys, "s", ends.alias("e"), *running).filter("e IS NOT NULL")
+
+
+def boundaries(df: DataFrame, *columns: str, **values: Column) -> DataFrame:
+    """(columns, s, values): each interval's values at its start, and their negatives behind its end."""
+    sides = F.array(F.struct(F.col("s").alias("at"), F.lit(1).alias("sign")), F.struct((F.col("e") + 1).alias("at"), F.lit(-1).alias("sign")))
+    both = df.withColumns(values).select(*columns, *values, F.explode(sides).alias("x"))
+    return both.select(*columns, F.col("x.at").alias("s"), *((F.col(v) * F.col("x.sign")).alias(v) for v in values))
+
+
+def depth(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Maximal disjoint segments between boundaries with the number of intervals over each (1 or more), by running sums."""
+    return swept(boundaries(df, *keys, depth=F.lit(1).cast("long")), keys, ["depth"]).filter("depth > 0")
 
 
 def combine(left: DataFrame, right: DataFrame, keys: list[str], keep: Column) -> DataFrame:
     """Set algebra of two tables: ``keep`` decides on the boolean columns ``a`` and ``b`` of each segment."""
-    marks = left.select(*keys, "s", "e").withColumn("side", F.lit(1)).unionByName(right.select(*keys, "s", "e").withColumn("side", F.lit(2)))
-    deltas = marks.select(*keys, F.explode(F.array(F.struct(F.col("s").alias("at"), F.lit(1).alias("d")), F.struct((F.col("e") + 1).alias("at"), F.lit(-1).alias("d")))).alias("x"), "side")
-    side = [F.sum(F.when(F.col("side") == i, F.col("x.d")).otherwise(0)).alias(f"d{i}") for i in (1, 2)]
-    order = Window.partitionBy(*keys).orderBy("s")
-    swept = deltas.groupBy(*keys, F.col("x.at").alias("s")).agg(*side).select(*keys, "s", (F.lead("s").over(order) - 1).alias("e"), (F.sum("d1").over(order) > 0).alias("a"), (F.sum("d2").over(order) > 0).alias("b"))
-    return merge(swept.filter(keep & F.col("e").isNotNull()), keys)
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    deltas = boundaries(left, *keys, in_a=one, in_b=none).unionByName(boundaries(right, *keys, in_a=none, in_b=one))
+    flagged = swept(deltas, keys, ["in_a", "in_b"]).select(*keys, "s", "e", (F.col("in_a") > 0).alias("a"), (F.col("in_b") > 0).alias("b"))
+    return merge(flagged.filter(keep), keys)
 
 
 def intersect(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -69,30 +117,46 @@ def overlaps(left: DataFrame, right: DataFrame, keys: list[str], bin_width: int
     """Pairs of equal keys that overlap, columns of the left as ``a_*``, of the right as ``b_*``.
 
     An interval lies on the level whose bins, each LEVEL times as wide as those below, are at least as long as it is, so
-    it touches two bins at most, however long it is. Pairs meet on the coarser of their two levels: an interval is
-    dealt to its bins on its own level and on each coarser one, and a pair counts in the bin of the larger start on the
-    level of the longer interval. So a hot key is spread along its coordinate, and no pair is doubled.
+    it touches two bins there at most, however long it is. A pair meets on the coarser of its two levels, in the bin of
+    the larger start: left intervals on their own level meet right ones of that level or a finer one, and right
+    intervals on theirs meet left ones of finer levels. So intervals meet in bins of about their own length, and what is
+    compared stays in proportion to the pairs. Levels that the other side has no interval on are not dealt to: they come
+    from an aggregation of at most LEVELS rows.
     """
+    widths = [bin_width * LEVEL**i for i in range(LEVELS)]
 
-    def dealt(df: DataFrame, p: str) -> DataFrame:
+    def levelled(df: DataFrame, p: str) -> DataFrame:
         named = df.select(*(F.col(c).alias(f"{p}_{c}") for c in df.columns))
-        widths = [bin_width * LEVEL**i for i in range(LEVELS)]
-        length = F.col(f"{p}_e") - F.col(f"{p}_s") + 1
         own = F.lit(LEVELS - 1)
         for i in range(LEVELS - 2, -1, -1):
-            own = F.when(length <= widths[i], i).otherwise(own)
-        named = named.withColumn(f"{p}_level", own)
+            own = F.when(F.col(f"{p}_e") - F.col(f"{p}_s") + 1 <= widths[i], i).otherwise(own)
+        return named.withColumn(f"{p}_level", own)
+
+    def placed(df: DataFrame, p: str, levels: Column) -> DataFrame:
+        at = df.withColumn(f"{p}_at", levels)
+        width = F.element_at(F.array(*map(F.lit, widths)), F.col(f"{p}_at") + 1)
+        return at.withColumn(f"{p}_bin", F.explode(F.sequence(F.floor(F.col(f"{p}_s") / width), F.floor(F.col(f"{p}_e") / width))))
+
+    def met(own: DataFrame, p: str, other: DataFrame, q: str, least: int) -> DataFrame:
+        used = F.broadcast(own.agg(F.collect_set(f"{p}_level").alias("used")))
+        levels = F.filter("used", lambda x: x >= F.col(f"{q}_level") + least)
+        a, b = placed(own, p, F.col(f"{p}_level")), placed(other.join(used), q, F.explode(levels)).drop("used")
+        on = (F.col(f"{p}_at") == F.col(f"{q}_at")) & (F.col(f"{p}_bin") == F.col(f"{q}_bin"))
+        for k in keys:
+            on = on & (F.col(f"{p}_{k}") == F.col(f"{q}_{k}"))
         width = F.element_at(F.array(*map(F.lit, widths)), F.col(f"{p}_at") + 1)
-        named = named.withColumn(f"{p}_at", F.explode(F.sequence(F.col(f"{p}_level"), F.lit(LEVELS - 1)))).withColumn("width", width)
-        return named.withColumn(f"{p}_bin", F.explode(F.sequence(F.floor(F.col(f"{p}_s") / F.col("width")), F.floor(F.col(f"{p}_e") / F.col("width")))))
+        once = F.floor(F.greatest(f"{p}_s", f"{q}_s") / width) == F.col(f"{p}_bin")
+        return a.join(b, on & (F.col(f"{p}_s") <= F.col(f"{q}_e")) & (F.col(f"{p}_e") >= F.col(f"{q}_s")) & once).select(*names)
 
-    a, b = dealt(left, "a"), dealt(right, "b").drop("width")
-    on = (F.col("a_at") == F.col("b_at")) & (F.col("a_bin") == F.col("b_bin"))
-    for k in keys:
-        on = on & (F.col(f"a_{k}") == F.col(f"b_{k}"))
-    once = (F.col("a_at") == F.greatest("a_level", "b_level")) & (F.floor(F.greatest("a_s", "b_s") / F.col("width")) == F.col("a_bin"))
-    pairs = a.join(b, on & (F.col("a_s") <= F.col("b_e")) & (F.col("a_e") >= F.col("b_s")) & once)
-    return pairs.drop("width", "a_level", "b_level", "a_at", "b_at", "a_bin", "b_bin")
+    a, b = levelled(left, "a"), levelled(right, "b")
+    names = [c for c in [*a.columns, *b.columns] if c not in ("a_level", "b_level")]
+    return met(a, "a", b, "b", 0).union(met(b, "b", a, "a", 1))
+
+
+def touching(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, s, e) of ``df``, each once, that overlap any interval of ``other``: only the merged regions of that are met."""
+    hits = overlaps(df.select(*keys, "s", "e").distinct(), merge(other, keys), keys)
+    return hits.select(*(F.col(f"a_{c}").alias(c) for c in [*keys, "s", "e"])).distinct()
 
 
 def jaccard(a_s: Column, a_e: Column, b_s: Column, b_e: Column) -> Column:
@@ -101,12 +165,19 @@ def jaccard(a_s: Column, a_e: Column, b_s: Column, b_e: Column) -> Column:
 
 
 def segments(df: DataFrame, keys: list[str], ids: str) -> DataFrame:
-    """The sweep with the set of ids over each segment."""
+    """The sweep with the set of ids over each segment. Intervals of one id are merged before they meet the segments."""
     cuts = depth(df, keys)
-    hits = overlaps(cuts.select(*keys, "s", "e"), df.select(*keys, "s", "e", ids), keys)
+    hits = overlaps(cuts.select(*keys, "s", "e"), merge(df.filter(F.col(ids).isNotNull()), [*keys, ids]), keys)
     return hits.groupBy(*(F.col(f"a_{c}").alias(c) for c in [*keys, "s", "e"])).agg(F.array_sort(F.collect_set(f"b_{ids}")).alias("ids"))
 
 
+def overlapping(df: DataFrame, keys: list[str], ids: str) -> DataFrame:
+    """Segments under two intervals or more, with their number and whether they are of more than one class."""
+    classes = depth(merge(df.filter(F.col(ids).isNotNull()), [*keys, ids]), keys).withColumnRenamed("depth", "classes")
+    hits = overlaps(depth(df, keys).filter("depth > 1"), classes, keys)
+    return hits.select(*(F.col(f"a_{c}").alias(c) for c in [*keys, "s", "e", "depth"]), (F.col("b_classes") > 1).alias("mixed"))
+
+
 def reflect(outer: DataFrame, inner: DataFrame, keys: list[str]) -> DataFrame:
     """Inner intervals inside an outer one, turned around in it."""
     hits = overlaps(outer, inner, keys).filter("a_s <= b_s and b_e <= a_e")

@@ -9,16 +9,27 @@ from genoloom.operators import intervals as I
 
 
 def weighted_segments(df: DataFrame, keys: list[str], weight: str) -> DataFrame:
-    """Disjoint segments with what lies over each: total, product, density (sum of weight * length / segment length) and n."""
-    hits = I.overlaps(I.depth(df, keys).select(*keys, "s", "e"), df.select(*keys, "s", "e", weight), keys)
-    w, length = F.col(f"b_{weight}"), F.col("b_e") - F.col("b_s") + 1
-    return hits.groupBy(*(F.col(f"a_{c}").alias(c) for c in [*keys, "s", "e"])).agg(F.sum(w).alias("total"), F.product(w).alias("product"), F.sum(w * length / (F.col("a_e") - F.col("a_s") + 1)).alias("density"), F.count("*").alias("n"))
+    """Disjoint segments with what lies over each: total, product, density (sum of weight * length / segment length) and n.
+
+    All four are running sums of what begins and ends at the boundaries: the product by logarithms, as decimals so that
+    what ends takes away just what began, with counts of zeros and of negative weights. Sums of weights that are no
+    multiples of a power of two carry the rounding of a running sum. A null weight adds nothing and multiplies by 1.
+    """
+    w = F.col(weight).cast("double")
+    logs = F.when(w != 0, F.ln(F.abs(w))).otherwise(0.0).cast("decimal(28,18)")
+    marks = {"zeros": w == 0, "negatives": w < 0}
+    counts = {k: F.coalesce(x.cast("long"), F.lit(0)) for k, x in marks.items()}
+    deltas = I.boundaries(df, *keys, n=F.lit(1).cast("long"), total=F.coalesce(w, F.lit(0.0)), area=F.coalesce(w * (F.col("e") - F.col("s") + 1), F.lit(0.0)), logs=F.coalesce(logs, F.lit(0)), **counts)
+    swept = I.swept(deltas, keys, ["n", "total", "area", "logs", *counts]).filter("n > 0")
+    product = F.when(F.col("zeros") > 0, 0.0).otherwise(F.exp(F.col("logs").cast("double")) * (1 - 2 * (F.col("negatives") % 2)))
+    return swept.select(*keys, "s", "e", "total", product.alias("product"), (F.col("area") / (F.col("e") - F.col("s") + 1)).alias("density"), "n")
 
 
 def scaled(segments: DataFrame, method: str, low: float, high: float) -> DataFrame:
     """``weight`` of each segment between ``low`` and about ``high`` by the method add, len, log, mult or add-mult.
 
-    The least value is that over all segments, the largest is 0 at least. add-mult is the product of both scales.
+    The least value is that over all segments, the largest is 0 at least. add-mult is the product of both scales. Where
+    log has no value (a least total of 0 or less, or one as large as the largest), the weight is ``low``.
     """
     if method == "add-mult":
         both = scaled(scaled(segments, "add", low, high).withColumnRenamed("weight", "added"), "mult", low, high)
@@ -27,7 +38,8 @@ def scaled(segments: DataFrame, method: str, low: float, high: float) -> DataFra
     bounds = segments.agg(F.min(u).alias("least"), F.greatest(F.max(u), F.lit(0.0)).alias("most"))
     a, b = F.col("least"), F.col("most")
     if method == "log":
-        weight = (high - low) * F.log10(1 + u / a) / F.log10(1 + b - a) + low
+        scale = F.try_divide(F.log10(1 + F.try_divide(u, a)), F.log10(1 + b - a))
+        weight = (high - low) * F.when(a > 0, F.coalesce(scale, F.lit(0.0))).otherwise(0.0) + low
     elif method == "mult":
         weight = (high - low) / F.when(b == a, 1.0).otherwise(b - a) * (u - a) + low
     else:
@@ -47,16 +59,22 @@ def unweighted(segments: DataFrame, keys: list[str], cutoff: float = 0.0) -> Dat
 
 
 def majority(df: DataFrame, keys: list[str], kind: str, id: str, low: int, high: int) -> DataFrame:
-    """Of each segment the number of different ids over it, kept within [low, high], and the class with most (ties: the last name)."""
-    hits = I.overlaps(I.depth(df, keys).select(*keys, "s", "e"), df.select(*keys, "s", "e", kind, id), keys)
+    """Of each segment the number of different ids over it, kept within [low, high], and the class with most (ties: the last name).
+
+    An id's intervals in a class are merged, so that running sums over a class count different ids; the segments then
+    meet each class over them once, however many intervals lie there.
+    """
+    known = df.filter(F.col(id).isNotNull() & F.col(kind).isNotNull())
+    classes = I.depth(I.merge(known, [*keys, kind, id]), [*keys, kind])
+    hits = I.overlaps(I.depth(df, keys).select(*keys, "s", "e"), classes, keys)
     place = [F.col(f"a_{c}").alias(c) for c in [*keys, "s", "e"]]
-    each = hits.groupBy(*place, F.col(f"b_{kind}").alias(kind)).agg(F.countDistinct(f"b_{id}").alias("n"))
-    return each.groupBy(*keys, "s", "e").agg(F.sum("n").alias("weight"), F.max(F.struct("n", kind))[kind].alias("major")).filter(F.col("weight").between(low, high))
+    return hits.groupBy(*place).agg(F.sum("b_depth").alias("weight"), F.max(F.struct(F.col("b_depth"), F.col(f"b_{kind}").alias("kind")))["kind"].alias("major")).filter(F.col("weight").between(low, high))
 
 
 def enrichment(events: DataFrame, genes: DataFrame, keys: list[str], kind: str, symbol: str) -> DataFrame:
-    """Per key and event class: different genes hit, genes of the key, events, and events that hit one."""
-    hits = I.overlaps(events, genes, keys).groupBy(*(F.col(f"a_{c}").alias(c) for c in [*keys, kind])).agg(F.countDistinct(f"b_{symbol}").alias("hit"))
+    """Per key and event class: different genes hit, genes of the key, events. Genes meet the merged regions of a class, not each event."""
+    regions = I.merge(events, [*keys, kind])
+    hits = I.overlaps(regions, genes.select(*keys, "s", "e", symbol), keys).groupBy(*(F.col(f"a_{c}").alias(c) for c in [*keys, kind])).agg(F.countDistinct(f"b_{symbol}").alias("hit"))
     out = events.groupBy(*keys, kind).agg(F.count("*").alias("events")).join(hits, [*keys, kind], "left")
     return out.join(genes.groupBy(*keys).agg(F.countDistinct(symbol).alias("genes")), keys, "left").select(*keys, kind, F.coalesce("hit", F.lit(0)).alias("hit"), F.coalesce("genes", F.lit(0)).alias("genes"), "events")
 
@@ -64,7 +82,7 @@ def enrichment(events: DataFrame, genes: DataFrame, keys: list[str], kind: str,
 def effects(events: DataFrame, genes: DataFrame, keys: list[str], kind: str, symbol: str, ranks: dict[str, int]) -> DataFrame:
     """(symbol, effect) of genes that events touch; where several classes lie over one segment, the lowest rank counts there."""
     parts = I.segments(events, keys, kind).withColumn("effect", F.array_min(F.transform("ids", lambda x: F.struct(F.coalesce(F.element_at(F.create_map(*(F.lit(v) for kv in ranks.items() for v in kv)), x), F.lit(99)).alias("rank"), x.alias("kind"))))["kind"])
-    hits = I.overlaps(parts.select(*keys, "s", "e", "effect"), genes, keys)
+    hits = I.overlaps(I.merge(parts, [*keys, "effect"]), genes.select(*keys, "s", "e", symbol), keys)
     return hits.select(F.col(f"b_{symbol}").alias(symbol), F.col("a_effect").alias("effect")).distinct()
 
 

@@ -27,6 +27,12 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def by_range(df: DataFrame, order: list[str | Column]) -> DataFrame:
+    """``df`` with its range of ``order`` as ``part``: ranges ascend, and rows that are equal in ``order`` share one."""
+    ranged = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order)
+    return kept(ranged.withColumn("part", F.spark_partition_id()), "ranges")
+
+
 def numbered(df: DataFrame, order: list[str | Column], name: str = "number") -> DataFrame:
     """``df`` with 1-based numbers in the order of all rows.
 
@@ -40,6 +46,15 @@ def numbered(df: DataFrame, order: list[str | Column], name: str = "number") ->
     return ranged.join(F.broadcast(before), "part").withColumn(name, F.col("before") + F.col("row_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("part", "before", "row_id")
 
 
+def running_total(df: DataFrame, order: list[str | Column], value: str, name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over all rows before in the order, 0 for the first: sums of ranges go through one window."""
+    rows = by_range(df, order)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carry = rows.groupBy("part").agg(F.sum(value).alias("own")).select("part", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("carry"))
+    within = F.coalesce(F.sum(value).over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(F.broadcast(carry), "part").withColumn(name, F.col("carry") + within).drop("part", "carry")
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, number, value): all lines with their 0-based numbers in their file. A window holds one block of a file at most."""
     block = Window.partitionBy("file", "start")

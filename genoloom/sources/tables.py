@@ -90,9 +90,9 @@ def write_fasta(sequences: DataFrame, path: str, width: int = 80) -> None:
 
 
 def windows(sequences: DataFrame, size: int) -> DataFrame:
-    """(name, chunk, seq): a contig cut into pieces of ``size``, so that later work spreads over a long one."""
-    cuts = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length("seq") / size).cast("int") - 1)))
-    return sequences.select("name", cuts.alias("chunk"), "seq").select("name", "chunk", F.substring("seq", F.col("chunk") * size + 1, F.lit(size)).alias("seq"))
+    """(name, chunk, seq): a contig cut into pieces of ``size`` in one pass over it. An empty one has one empty piece."""
+    pieces = F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    return sequences.select("name", F.posexplode(F.when(F.length("seq") > 0, pieces).otherwise(F.array(F.lit("")))).alias("chunk", "seq"))
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
@@ -108,4 +108,7 @@ def sampled(records: DataFrame, share: float, seed: int = 7) -> DataFrame:
 
 
 def chosen(number: Column, share: float, seed: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), number), F.lit(1 << 20)) < int(share * (1 << 20))
+    """Whether the first 20 bits of the MD5 of ``seed:number`` are below the share."""
+    if share >= 1:
+        return F.lit(True)
+    return F.left(F.md5(F.concat(F.lit(f"{seed}:"), number.cast("string"))), F.lit(5)) < f"{int(share * (1 << 20)):05x}"

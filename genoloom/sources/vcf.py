@@ -5,11 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genoloom.operators.calls import contig_order, info_value
+from genoloom.functions.text import inversion
+from genoloom.operators.calls import contig_order, info_replace, info_value, reverse_complement
+from genoloom.operators.somatic import merged, split
 from genoloom.sources.files import numbered
 
 #: Columns of the format.
 FIXED = ["chrom", "pos", "id", "ref", "alt", "qual", "filter", "info"]
+#: Declarations of the INFO keys, types and genotype that the library reads and writes.
+DECLARED = [
+    *(f"##INFO=<ID={k},Number={n},Type={t},Description=\"{d}\">" for k, n, t, d in [
+        ("END", 1, "Integer", "Last position"), ("SVLEN", 1, "Integer", "Length"), ("SVTYPE", 1, "String", "Type"), ("DUP_POS", ".", "Integer", "Places of the copies"),
+        ("DUP_TYPE", 1, "String", "Kind of duplication"), ("ICN", 1, "Integer", "Copies"), ("CHR2", 1, "String", "Other contig"), ("SVEX", 1, "Float", "Expected quality"),
+    ]),
+    *(f"##ALT=<ID={x},Description=\"{d}\">" for x, d in [("DEL", "Deletion"), ("DUP", "Duplication"), ("INV", "Inversion"), ("INS", "Insertion"), ("TRA", "Translocation")]),
+    '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">',
+]
 HEADER = "#" + "\t".join(x.upper() for x in FIXED)
 
 
@@ -73,22 +84,98 @@ def pedigree(spark: SparkSession, path: str) -> DataFrame:
     return found.select(F.regexp_extract("value", "Original=([^,>]*)", 1).alias("parent"), F.regexp_extract("value", "Derived=([^,>]*)", 1).alias("child"))
 
 
-def write_calls(calls: DataFrame, path: str, samples: list[str] = (), edges: DataFrame | None = None, prefix: str = "gv_") -> None:
-    """Header, PEDIGREE lines of ``edges`` (parent, child), then the calls by (contig, pos), numbered over all of them.
+def header_lines(spark: SparkSession, reference: str, contigs: DataFrame | None, edges: DataFrame | None, columns: list[str]) -> DataFrame:
+    """(part, at, value): the lines of a header in their order: declarations, contigs by place, pedigree, column names."""
+    top = ["##fileformat=VCFv4.2", f"##reference={reference}", *DECLARED]
+    rows = spark.createDataFrame([(0, i, x) for i, x in enumerate(top)] + [(3, 0, "\t".join(columns))], "part int, at long, value string")
+    if contigs is not None:
+        rows = rows.union(contigs.select(F.lit(1), F.col("place").cast("long"), F.concat(F.lit("##contig=<ID="), "name", F.lit(",length="), F.col("size").cast("string"), F.lit(">"))))
+    if edges is not None:
+        derived = F.concat(F.lit("##PEDIGREE=<Derived="), "child", F.lit(",Original="), "parent", F.lit(">"))
+        rows = rows.union(edges.select(F.lit(2), F.lit(0).cast("long"), derived))
+    return rows
+
 
-    Calls with an empty REF are skipped, the others' REF is cut to its first base. ``samples`` names the columns of the
-    array column ``samples``. Files follow one another by name: the header is the first.
+def write_calls(calls: DataFrame, path: str, samples: list[str] = (), edges: DataFrame | None = None, prefix: str = "gv_", contigs: DataFrame | None = None, reference: str = "") -> None:
+    """Header, then the calls by (contig, pos), numbered over all of them: put together by name, the files are one sorted file.
+
+    The header has a line for each of ``contigs`` (place, name, size) and of ``edges`` (parent, child). Calls with an empty
+    or null REF have a number but no line, the others' REF is cut to its first base; a null QUAL or FILTER is a dot.
+    ``samples`` names the columns of the array column ``samples``. The header is the first file; those of the calls are
+    ranges of their numbers, so their names go in the order of what they hold.
     """
     spark = calls.sparkSession
-    rows = calls.filter("length(ref) > 0").withColumn("ref", F.left("ref", F.lit(1))).withColumn("contig_key", contig_order(F.col("chrom")))
-    rows = numbered(rows, ["contig_key", "pos", "end", "svtype", "info"]).withColumn("id", F.concat(F.lit(prefix), "number"))
-    columns = [F.col(x).cast("string") for x in FIXED] + ([F.lit("GT"), F.array_join("samples", "\t")] if samples else [])
-    head = "\t".join([HEADER, *(["FORMAT", *samples] if samples else [])])
-    top = spark.createDataFrame([("##fileformat=VCFv4.2",)], "value string")
-    if edges is not None:
-        top = top.union(edges.select(F.concat(F.lit("##PEDIGREE=<Derived="), "child", F.lit(",Original="), "parent", F.lit(">"))))
-    top.union(spark.createDataFrame([(head,)], "value string")).coalesce(1).write.text(f"{path}/0-header")
-    rows.sortWithinPartitions("number").select(F.concat_ws("\t", *columns)).write.text(f"{path}/1-calls")
+    columns = [HEADER, *(["FORMAT", *samples] if samples else [])]
+    header_lines(spark, reference, contigs, edges, columns).repartition(1).sortWithinPartitions("part", "at", "value").select("value").write.text(f"{path}/0-header")
+    rows = numbered(calls.withColumn("contig_key", contig_order(F.col("chrom"))), ["contig_key", "pos", "end", "svtype", "info"]).withColumn("id", F.concat(F.lit(prefix), "number"))
+    rows = rows.filter("length(ref) > 0").withColumn("ref", F.left("ref", F.lit(1))).withColumns({x: F.coalesce(F.col(x), F.lit(".")) for x in ("qual", "filter")})
+    fields = [F.col(x).cast("string") for x in FIXED] + ([F.lit("GT"), F.array_join("samples", "\t")] if samples else [])
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.repartitionByRange(parts, "number").sortWithinPartitions("number").select(F.concat_ws("\t", *fields)).write.text(f"{path}/1-calls")
+
+
+def write_merged(normal: DataFrame, somatic: DataFrame, clones: int, path: str, samples: list[str]) -> None:
+    """One file of normal and somatic calls (k, s, e, t, gts), as ``somatic.merged`` has them: a normal one has its genotype in each column."""
+    write_calls(as_calls(merged(normal, somatic, clones)), path, samples)
+
+
+def write_split(somatic: DataFrame, normal: DataFrame, path: str, samples: list[str]) -> None:
+    """The somatic calls that are not normal ones, ids kept apart by ``somatic.split``."""
+    own = somatic.join(split(somatic, normal).select("id"), "id", "left_semi")
+    write_calls(as_calls(own), path, samples)
+
+
+def as_calls(rows: DataFrame) -> DataFrame:
+    """Rows (k, s, e, t, gts) with the columns of a call file."""
+    info = F.concat(F.lit("SVTYPE="), "t", F.lit(";END="), F.col("e").cast("string"))
+    return rows.select(F.col("k").cast("string").alias("chrom"), F.col("s").alias("pos"), F.lit("N").alias("ref"), F.concat(F.lit("<"), "t", F.lit(">")).alias("alt"), F.lit(None).cast("string").alias("qual"), F.lit("PASS").alias("filter"), info.alias("info"), F.col("e").alias("end"), F.col("t").alias("svtype"), F.col("gts").alias("samples"))
+
+
+def with_sequences(calls: DataFrame, chunks: DataFrame, size: int, sexes: tuple[str, str] = ("X", "Y")) -> DataFrame:
+    """Calls once by (chrom, pos, end, svtype) with REF and ALT from the sequence, INFO completed, and genotype ``gt``.
+
+    ``chunks`` (name, chunk, seq) are pieces of ``size`` of the contigs: a call meets just those it lies over, and they are
+    put together in order, so no contig is one row. REF is the sequence from pos (0-based) to end, without end, of a
+    deletion (ALT ``<DEL>``), duplication or inversion (ALT its reverse complement); a part beyond the contig is missing,
+    and without a contig REF is empty. Of calls with a genotype column deletions and insertions get SVLEN + 1 and
+    inversions INV_TYPE, and gt is the first column; others get SVLEN end - pos + 1 and gt ``0|1``. Duplications get
+    DUP_POS, DUP_TYPE and ICN. Where both ``sexes`` have calls, their gt is ``1``. Of equal calls the least id counts.
+    """
+    key = ["chrom", "pos", "end", "svtype"]
+    once = calls.groupBy(*key).agg(F.min(F.struct("id", "ref", "alt", "qual", "filter", "info", "samples")).alias("row")).select(*key, "row.*")
+    place = F.col("chunk") * size
+    wanted = once.filter(F.col("svtype").isin("DEL", "DUP", "INV") & (F.col("end") > F.col("pos")) & (F.col("pos") >= 0)).select(*key, F.explode(F.sequence(F.floor(F.col("pos") / size), F.floor((F.col("end") - 1) / size))).alias("chunk"))
+    begin, stop = F.greatest(F.col("pos") - place, F.lit(0)), F.least(F.col("end") - place, F.lit(size))
+    piece = F.substring("seq", (begin + 1).cast("int"), (stop - begin).cast("int"))
+    met = wanted.join(chunks.select(F.col("name").alias("chrom"), F.col("chunk").cast("long").alias("chunk"), "seq"), ["chrom", "chunk"])
+    found = met.groupBy(*key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk", piece.alias("piece")))), lambda x: x["piece"]), "").alias("found"))
+    rows = once.join(found, key, "left")
+    kind, info, own = F.col("svtype"), F.col("info"), F.size("samples") > 0
+    cut = kind.isin("DEL", "DUP", "INV")
+    longer = info_replace(info, "SVLEN", F.coalesce(info_value(info, "SVLEN").try_cast("long"), F.lit(0)) + 1)
+    length = F.concat(info, F.lit(";SVLEN="), (F.col("end") - F.col("pos") + 1).cast("string"))
+    base = F.when(own & kind.isin("DEL", "INS"), longer).when(own, info).otherwise(length)
+    extra = F.when(kind == "DUP", F.concat(F.lit(";DUP_POS="), F.col("pos").cast("string"), F.lit(";DUP_TYPE=TANDEM;ICN=4"))).when(own & (kind == "INV"), F.lit(";INV_TYPE=PERFECT")).otherwise("")
+    ref = F.when(cut, F.coalesce("found", F.lit(""))).otherwise(F.col("ref"))
+    alt = F.when(kind == "DEL", "<DEL>").when(kind == "INV", reverse_complement(ref)).otherwise(F.col("alt"))
+    seen = once.agg(*((F.count_if(F.col("chrom") == x) > 0).alias(f"has_{i}") for i, x in enumerate(sexes)))
+    gt = F.when(F.col("has_0") & F.col("has_1") & F.col("chrom").isin(list(sexes)), "1").when(own, F.get("samples", F.lit(0))).otherwise("0|1")
+    return rows.join(F.broadcast(seen)).select(*key, "id", ref.alias("ref"), alt.alias("alt"), "qual", "filter", F.concat(base, extra).alias("info"), gt.alias("gt"))
+
+
+def complex_inversions(calls: DataFrame) -> DataFrame:
+    """(chrom, s, e) of the inversions that are COMPLEX."""
+    return calls.filter((F.col("svtype") == "INV") & (inversion(F.col("info"))["type"] == "COMPLEX")).select("chrom", F.col("pos").alias("s"), F.col("end").alias("e"))
+
+
+def highest_clone(edges: DataFrame) -> DataFrame:
+    """(highest): the largest number behind the last ``_`` of a derived clone's name; null if no name has one."""
+    return edges.agg(F.max(F.element_at(F.split("child", "_"), -1).try_cast("long")).alias("highest"))
+
+
+def any_samples(samples: DataFrame, n: int, seed: int = 7) -> DataFrame:
+    """``n`` of the sample columns (place, sample), chosen by a seeded hash of the name, the same each time."""
+    return samples.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "sample")), "place").limit(n)
 
 
 def renumber(calls: DataFrame, order: list[str], prefix: str) -> DataFrame:

@@ -59,8 +59,8 @@ def test_bed_and_masks(spark, tmp_path):
 def test_matched_rows_with_one_id(spark):
     a = spark.createDataFrame([("c", 1, 10, 1), ("c", 100, 110, 1)], "k string, s long, e long, id long")
     b = spark.createDataFrame([("c", 1, 10, 7)], "k string, s long, e long, id long")
-    assert [r.s for r in P.matched(a, b, ["k"], "id", 0.5, "left_semi").collect()] == [1]
-    assert [r.s for r in P.matched(a, b, ["k"], "id", None, "left_anti").collect()] == [100]
+    assert [r.s for r in P.matched(a, b, ["k"], 0.5, "left_semi").collect()] == [1]
+    assert [r.s for r in P.matched(a, b, ["k"], None, "left_anti").collect()] == [100]
 
 
 def test_overlaps_of_any_length(spark):
@@ -71,9 +71,9 @@ def test_overlaps_of_any_length(spark):
 
 
 def test_merge_over_ranges(spark):
-    spans = [(0, I.SPAN - 1), (I.SPAN, I.SPAN + 5), (I.SPAN + 7, 3 * I.SPAN), (5 * I.SPAN, 5 * I.SPAN), (2 * I.SPAN, 2 * I.SPAN + 9)]
+    spans = [(0, 65536 - 1), (65536, 65536 + 5), (65536 + 7, 3 * 65536), (5 * 65536, 5 * 65536), (2 * 65536, 2 * 65536 + 9)]
     df = spark.createDataFrame([("c", s, e) for s, e in spans], "k string, s long, e long")
-    assert sorted((r.s, r.e) for r in I.merge(df, ["k"]).collect()) == [(0, I.SPAN + 5), (I.SPAN + 7, 3 * I.SPAN), (5 * I.SPAN, 5 * I.SPAN)]
+    assert sorted((r.s, r.e) for r in I.merge(df, ["k"]).collect()) == [(0, 65536 + 5), (65536 + 7, 3 * 65536), (5 * 65536, 5 * 65536)]
 
 
 def test_a_deep_tree(spark):
