@@ -12,6 +12,7 @@ from genoloom.operators import compare as P
 from genoloom.operators import intervals as I
 from genoloom.operators import tree as T
 from genoloom.plans import views as V
+from genoloom.sources.files import numbered, running_total
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -225,19 +226,19 @@ def mean_size(spark, sf_dir):
 @query(f"WITH n AS (SELECT k, sum(e - s) AS l FROM ({V.CALLS}) GROUP BY k) SELECT k, round(l / (SELECT max(l) FROM n), 9) AS ratio FROM n")
 def ratio_to_largest(spark, sf_dir):
     n = V.calls(spark, sf_dir).groupBy("k").agg(F.sum(F.col("e") - F.col("s")).alias("l"))
-    return n.select("k", F.round(F.col("l") / F.max("l").over(Window.partitionBy()), 9).alias("ratio"))
+    return n.join(F.broadcast(n.agg(F.max("l").alias("most")))).select("k", F.round(F.col("l") / F.col("most"), 9).alias("ratio"))
 
 
 @query("SELECT s_name AS chrom, s_suppkey AS len, coalesce(sum(s_suppkey) OVER (ORDER BY s_suppkey DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM supplier")
 def contig_offsets(spark, sf_dir):
-    before = Window.partitionBy().orderBy(F.desc("s_suppkey")).rowsBetween(Window.unboundedPreceding, -1)
-    return V.table(spark, sf_dir, "supplier").select(F.col("s_name").alias("chrom"), F.col("s_suppkey").alias("len"), F.coalesce(F.sum("s_suppkey").over(before), F.lit(0)).alias("start"))
+    lengths = V.table(spark, sf_dir, "supplier").select(F.col("s_name").alias("chrom"), F.col("s_suppkey").alias("len"))
+    return running_total(lengths, [F.desc("len"), F.asc("chrom")], "len", "start")
 
 
 @query("SELECT chrom, row_number() OVER (ORDER BY length(chrom), chrom) AS place FROM (SELECT n_nationkey::VARCHAR AS chrom FROM nation UNION SELECT 'X' UNION SELECT 'MT')")
 def contig_sort(spark, sf_dir):
     names = V.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("chrom")).union(spark.sql("VALUES ('X'), ('MT')"))
-    return names.select("chrom", F.row_number().over(Window.partitionBy().orderBy(C.contig_order(F.col("chrom")))).cast("long").alias("place"))
+    return numbered(names, [C.contig_order(F.col("chrom"))], "place")
 
 
 @query(f"WITH RECURSIVE e AS ({V.TREE}), c AS (SELECT child AS node, child AS ancestor, 0 AS depth FROM e UNION ALL SELECT 0, 0, 0 UNION ALL SELECT c.node, e.parent, c.depth + 1 FROM c JOIN e ON e.child = c.ancestor) SELECT ancestor::INTEGER AS ancestor, node::INTEGER AS node, depth FROM c")

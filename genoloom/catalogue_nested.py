@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genoloom.catalogue import query
+from genoloom.catalogue import SIMILAR, query
 from genoloom.catalogue_effects import HITS, hits, lists
 from genoloom.catalogue_files import CALLS as FILE_CALLS
 from genoloom.catalogue_files import call_rows, vcf_file
@@ -317,3 +317,21 @@ def report_file(spark, sf_dir):
     rna = V.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("symbol"), F.when(F.col("p_size") > 25, "+").otherwise("-").alias("rna"))
     E.write_report(E.calls_beside_expression(found.filter("sample = 'S1'"), found.filter("kind = 'B'"), lists(found), rna), path)
     return spark.read.option("sep", "\t").option("header", True).schema("gene_list string, symbol long, sv string, rna string").csv(path)
+
+
+#: SQL: calls of files that are not from 50 to 300 bases long are left out, and what touches is joined.
+SIZED = f"SELECT DISTINCT svtype AS t, 'F' AS side, chrom AS k, pos AS s, e FROM ({FILE_CALLS}) WHERE n % 2 = 0 AND e - pos + 1 BETWEEN 50 AND 300 UNION ALL SELECT DISTINCT svtype, 'O', chrom, pos, e FROM ({FILE_CALLS}) WHERE n % 3 > 0 AND e - pos + 1 BETWEEN 50 AND 300"
+JOINED = f"SELECT t, side, k, min(s) AS s, max(e) AS e FROM (SELECT *, sum(new) OVER (PARTITION BY t, side, k ORDER BY s, e) AS g FROM (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY t, side, k ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 1 ELSE 0 END AS new FROM ({SIZED}))) GROUP BY t, side, k, g"
+
+
+@query(f"""WITH c AS ({JOINED}), h AS (SELECT a.t, a.k, a.s AS x, b.s AS y FROM c a JOIN c b ON a.t = b.t AND a.k = b.k AND a.s <= b.e AND a.e >= b.s AND {SIMILAR} >= 0.5 WHERE a.side = 'F' AND b.side = 'O'),
+m AS (SELECT t, count(*) FILTER (WHERE side = 'F') AS n_a, count(*) FILTER (WHERE side = 'O') AS n_b FROM c GROUP BY t),
+k AS (SELECT t, count(DISTINCT (k, x)) AS x, count(DISTINCT (k, y)) AS y FROM h GROUP BY t),
+z AS (SELECT m.*, coalesce(coalesce(x, 0) / nullif(n_a, 0), 0) AS p, coalesce(coalesce(y, 0) / nullif(n_b, 0), 0) AS r FROM m LEFT JOIN k USING (t))
+SELECT t AS svtype, n_a, n_b, round(p, 9) AS prec, round(r, 9) AS rec, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 9) AS f1 FROM z""")
+def call_file_metrics(spark, sf_dir):
+    paths = [files.shared_folder(spark, name) for name in ("metrics-a", "metrics-b")]
+    rows = call_rows(spark, sf_dir)
+    for path, keep in zip(paths, ("n % 2 = 0", "n % 3 > 0"), strict=True):
+        vcf.write_calls(rows.filter(keep), path, ["one", "two"])
+    return vcf.metrics(spark, f"{paths[0]}/*", f"{paths[1]}/*", 50, 300, True).drop("j")

@@ -33,13 +33,14 @@ def by_range(df: DataFrame, order: list[str | Column]) -> DataFrame:
     return kept(ranged.withColumn("part", F.spark_partition_id()), "ranges")
 
 
-def numbered(df: DataFrame, order: list[str | Column], name: str = "number") -> DataFrame:
+def numbered(df: DataFrame, order: list[str | Column], name: str = "number", within: list[str | Column] | None = None) -> DataFrame:
     """``df`` with 1-based numbers in the order of all rows.
 
-    Rows are sorted by ranges and numbered within each; only a row count for each range goes through one window.
+    Rows are sorted by ranges and numbered within each; only a row count for each range goes through one window. ``within``
+    is a finer order, of which ``order`` is a shorter form to cut ranges by.
     """
     spark = df.sparkSession
-    ranged = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    ranged = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*(within or order))
     ranged = kept(ranged.withColumn("row_id", F.monotonically_increasing_id()), "numbered").withColumn("part", F.shiftright("row_id", 33))
     sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
     before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from genoloom.functions.text import inversion
 from genoloom.operators.calls import contig_order, info_replace, info_value, reverse_complement
+from genoloom.operators.compare import score
+from genoloom.operators.intervals import merge
 from genoloom.operators.somatic import merged, split
 from genoloom.sources.files import numbered
 
@@ -163,6 +165,19 @@ def with_sequences(calls: DataFrame, chunks: DataFrame, size: int, sexes: tuple[
     return rows.join(F.broadcast(seen)).select(*key, "id", ref.alias("ref"), alt.alias("alt"), "qual", "filter", F.concat(base, extra).alias("info"), gt.alias("gt"))
 
 
+def metrics(spark: SparkSession, first: str, second: str, low: int = 0, high: int = 1 << 62, joined: bool = False, r: float = 0.5) -> DataFrame:
+    """Precision, recall, F1 and covered share of each type of two call files, as ``compare.score`` has them.
+
+    Calls outside [low, high] bases are left out; with ``joined`` those of a type and contig that overlap or touch are one.
+    """
+    sides = []
+    for path in (first, second):
+        rows = call_intervals(read_calls(spark, path), low, high).select("svtype", "chrom", "s", "e")
+        rows = merge(rows, ["svtype", "chrom"]) if joined else rows
+        sides.append(rows.withColumn("id", F.struct("chrom", "s", "e")))
+    return score(*sides, "svtype", ["svtype", "chrom"], "id", r)
+
+
 def complex_inversions(calls: DataFrame) -> DataFrame:
     """(chrom, s, e) of the inversions that are COMPLEX."""
     return calls.filter((F.col("svtype") == "INV") & (inversion(F.col("info"))["type"] == "COMPLEX")).select("chrom", F.col("pos").alias("s"), F.col("end").alias("e"))
