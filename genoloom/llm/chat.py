@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from genoloom.sources.files import numbered
+
 BLOCK = 64
-#: Blocks of a dialogue that are numbered together.
-RANGE = 256
+#: Letters of a text that ranges of messages are cut by.
+PREFIX = 64
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 NO_TURN = 1 << 56
 
@@ -15,42 +17,31 @@ NO_TURN = 1 << 56
 def rotate(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", speaker: str = "role", text: str = "text", block: int = BLOCK) -> DataFrame:
     """For each participant of each dialogue: that speaker rendered as assistant, all others as named users.
 
-    A row is one chunk of a participant's rendering: the messages whose turns share ``turn div block``, so a usual
-    dialogue is one row and a hot one is spread over rows that follow one another by ``chunk`` (0-based, of
-    ``n_chunks``). A chunk is whole in one row by definition: its size is bounded where turns are different, but all
-    messages with a null turn, or with turns of one block, are one row of each participant and pass through one task.
-    Chunks are numbered within ranges of RANGE blocks of turns; only a row for each range of a dialogue, not its blocks
-    or texts, goes through one window (as many as its blocks if its turns lie further apart than a range). ``rendered`` is the text, ``n_messages`` and ``first_message`` place it in the
-    dialogue, ``mask_starts`` and ``mask_ends`` are the character spans (end exclusive, closing marker included) on
-    which the participant is trained.
+    A row is one chunk of a participant's rendering: ``block`` messages in their order, the last of a dialogue fewer, so a
+    usual dialogue is one row and a long one spreads over rows that follow one another by ``chunk`` (0-based, of
+    ``n_chunks``). Messages are numbered by ranges of the whole order, so nothing of a dialogue is gathered but its size
+    and its speakers. ``rendered`` is the text, ``n_messages`` and ``first_message`` place it in the dialogue,
+    ``mask_starts`` and ``mask_ends`` are the character spans (end exclusive, closing marker included) on which the
+    participant is trained.
 
-    Messages are ordered by (turn, speaker, text); equal rows are kept. A null turn comes after all others. A null or
-    empty speaker is named ``unknown``, null text is empty, null ids form one dialogue. Other columns are dropped.
-    No message, no row.
+    Messages are ordered by (turn, speaker, text); equal rows are kept, and those that are equal in these up to PREFIX
+    letters of the text are sorted by one task. A null turn comes after all others. A null or empty speaker is named
+    ``unknown``, null text is empty, null ids form one dialogue. Other columns are dropped. No message, no row.
     """
     rows = messages.select(
         F.col(conv).alias("conv_id"), F.coalesce(F.col(turn), F.lit(NO_TURN)).cast("long").alias("turn"),
         F.coalesce(F.nullif(F.col(speaker), F.lit("")), F.lit("unknown")).alias("speaker"), F.coalesce(F.col(text), F.lit("")).alias("text"),
-    ).withColumn("part", F.floor(F.col("turn") / block))
-    blocks = rows.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "speaker", "text"))).alias("messages"))
-    slim = rows.groupBy(F.col("conv_id").alias("id"), F.col("part").alias("at")).agg(F.count("*").alias("n_messages")).withColumn("range", F.floor(F.col("at") / RANGE))
-    dialogue, within = Window.partitionBy("id"), Window.partitionBy("id", "range").orderBy("at")
-    before = dialogue.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = slim.groupBy("id", "range").agg(F.count("*").alias("blocks"), F.sum("n_messages").alias("messages"))
-    ranges = ranges.select(
-        F.col("id").alias("range_id"), F.col("range").alias("range_at"), F.sum("blocks").over(dialogue).alias("n_chunks"),
-        F.coalesce(F.sum("blocks").over(before), F.lit(0)).alias("chunks_before"), F.coalesce(F.sum("messages").over(before), F.lit(0)).alias("messages_before"),
     )
-    people = rows.select(F.col("conv_id").alias("people_id"), F.col("speaker").alias("participant")).distinct()
-    ranges = ranges.join(people, F.col("range_id").eqNullSafe(F.col("people_id")))
-    numbered = slim.select(
-        "id", "at", "range", "n_messages", (F.row_number().over(within) - 1).alias("nth"),
-        F.coalesce(F.sum("n_messages").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("earlier"),
+    order = [F.asc_nulls_first("conv_id"), F.col("turn"), F.col("speaker")]
+    rows = numbered(rows, [*order, F.left("text", F.lit(PREFIX))], within=[*order, F.col("text")])
+    sizes = rows.groupBy(F.col("conv_id").alias("id")).agg(F.min("number").alias("first"), F.count("*").alias("n"))
+    placed = rows.join(sizes, F.col("conv_id").eqNullSafe(F.col("id"))).withColumn("part", F.floor((F.col("number") - F.col("first")) / block))
+    blocks = placed.groupBy("first", "part").agg(F.any_value("conv_id").alias("conv_id"), F.any_value("n").alias("n"), F.sort_array(F.collect_list(F.struct("number", "speaker", "text"))).alias("messages"))
+    people = placed.select("first", F.col("speaker").alias("participant")).distinct()
+    views = blocks.join(people, "first").select(
+        "conv_id", "participant", F.col("part").alias("chunk"), F.ceil(F.col("n") / block).alias("n_chunks"), (F.col("part") * block).alias("first_message"),
+        F.size("messages").cast("long").alias("n_messages"), "messages",
     )
-    numbered = numbered.join(ranges, F.col("id").eqNullSafe(F.col("range_id")) & (F.col("range") == F.col("range_at"))).select(
-        "id", "at", "participant", "n_messages", (F.col("chunks_before") + F.col("nth")).alias("chunk"), "n_chunks", (F.col("messages_before") + F.col("earlier")).alias("first_message")
-    )
-    views = blocks.join(numbered, blocks["conv_id"].eqNullSafe(numbered["id"]) & (F.col("part") == F.col("at")))
 
     def own(m: Column) -> Column:
         return m["speaker"] == F.col("participant")
@@ -79,8 +70,7 @@ SQL = """
 WITH m AS (
   SELECT conv_id, coalesce(turn, 72057594037927936) AS turn, coalesce(nullif(role, ''), 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
 o AS (
-  SELECT *, turn // 64 AS part,
-    row_number() OVER (PARTITION BY conv_id ORDER BY turn, speaker, text) AS pos FROM m),
+  SELECT *, (pos - 1) // 64 AS part FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, speaker, text) AS pos FROM m)),
 v AS (
   SELECT o.*, p.participant, o.speaker = p.participant AS own,
     CASE WHEN o.speaker = p.participant THEN '<|im_start|>assistant' || chr(10) ELSE '<|im_start|>user name=' || o.speaker || chr(10) END AS head,

@@ -24,8 +24,8 @@ from genoloom.llm.words import BASE, mix
 LEAST, LONGEST, TOP, UNKNOWN = 100, 5, 2000, "und"
 #: Bytes of a block of pieces, distinct pieces that a task counts before it passes them on, memory of a bucket's counts.
 BLOCK_BYTES, MOST_PIECES, COUNT_MEMORY = 16 << 20, 200_000, "256MB"
-#: Hash buckets for each task that sums them up.
-SPREAD = 4
+#: Bytes of pieces for each bucket of phrases: their number follows the text alone, as each block sends a message to each.
+BUCKET_BYTES = 32 << 20
 #: Bytes of pieces whose words are split at once.
 SPLIT_BYTES = 1 << 20
 #: Lower-cases A-Z and makes every separator a line end.
@@ -217,7 +217,7 @@ def counted(sent: DataFrame, buckets: int, least: int, answer: bool) -> DataFram
                 yield from db.sql("SELECT lang, NULL::VARCHAR AS gram, block, 0::BIGINT AS n, list(gram) AS pairs FROM r SEMI JOIN f USING (lang, gram) WHERE contains(gram, ' ') GROUP BY lang, block").to_arrow_reader(64)
             db.close()
 
-    return sent.repartition(buckets, "bucket").mapInArrow(run, ANSWERS_DDL)
+    return sent.repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(run, ANSWERS_DDL)
 
 
 def frequencies(docs: DataFrame, scratch: Scratch, least: int = LEAST, longest: int = LONGEST, block_bytes: int = BLOCK_BYTES, lang: str = "lang", text: str = "text") -> DataFrame:
@@ -228,9 +228,9 @@ def frequencies(docs: DataFrame, scratch: Scratch, least: int = LEAST, longest:
     """
     pieces = scratch.keep(distinct_pieces(docs, block_bytes, lang, text), "pieces")
     size = pieces.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // block_bytes))
-    short = scratch.keep(counted(short_grams(pieces, SPREAD * buckets), buckets, least, True), "short")
-    long = scratch.keep(counted(long_grams(pieces, short.filter(f"block <> {ALL}"), longest, SPREAD * buckets), buckets, least, False), "long")
+    buckets = max(1, -(-size // (BUCKET_BYTES // BLOCK_BYTES * block_bytes)))
+    short = scratch.keep(counted(short_grams(pieces, buckets), buckets, least, True), "short")
+    long = scratch.keep(counted(long_grams(pieces, short.filter(f"block <> {ALL}"), longest, buckets), buckets, least, False), "long")
     scratch.drop("pieces")
     return short.filter(f"block = {ALL}").union(long).select("lang", "gram", "n")
 

@@ -281,9 +281,9 @@ def test_loser_tree(k):
 def test_rotation(spark):
     rows = [(1, 0, "ann", "hi"), (1, 1, "bob", None), (1, 1, "bob", None), (1, None, None, "end"), (None, 70, "ann", "é"), (None, 2, "cy", "b")]
     got = chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
-    assert sorted((r.conv_id or 0, r.participant, r.chunk) for r in got) == [(0, "ann", 0), (0, "ann", 1), (0, "cy", 0), (0, "cy", 1)] + [(1, p, c) for p in ("ann", "bob", "unknown") for c in (0, 1)]
+    assert sorted((r.conv_id or 0, r.participant, r.chunk) for r in got) == [(0, "ann", 0), (0, "cy", 0)] + [(1, p, 0) for p in ("ann", "bob", "unknown")]
     one = next(r for r in got if r.conv_id == 1 and r.participant == "bob" and r.chunk == 0)
-    assert one.rendered == "<|im_start|>user name=ann\nhi<|im_end|>\n" + "<|im_start|>assistant\n<|im_end|>\n" * 2
+    assert one.rendered == "<|im_start|>user name=ann\nhi<|im_end|>\n" + "<|im_start|>assistant\n<|im_end|>\n" * 2 + "<|im_start|>user name=unknown\nend<|im_end|>\n"
     assert [one.rendered[a:b] for a, b in zip(one.mask_starts, one.mask_ends, strict=True)] == ["<|im_end|>\n"] * 2
 
 
@@ -354,9 +354,9 @@ def test_rotation_of_a_hot_dialogue(spark):
     rows = spark.range(n).selectExpr("cast(null as long) AS conv_id", "64 * id AS turn", "concat('p', id % 4) AS role", "'x' AS text")
     rows = rows.union(spark.sql("SELECT 5L, 1L, 'ann', 'y'")).union(spark.sql("SELECT 5L, null, 'bob', 'z'"))
     got = chat.rotate(rows)
-    hot = got.filter("conv_id is null").selectExpr("count(*)", "count(distinct participant, chunk)", "min(chunk)", "max(chunk)", "bool_and(chunk = first_message AND n_messages = 1)", "min(n_chunks)", "max(n_chunks)", "sum(size(mask_starts))").first()
-    assert tuple(hot) == (4 * n, 4 * n, 0, n - 1, True, n, n, n)
-    assert sorted((r.participant, r.chunk, r.n_chunks, r.first_message) for r in got.filter("conv_id = 5").collect()) == [(p, c, 2, c) for p in ("ann", "bob") for c in (0, 1)]
+    hot = got.filter("conv_id is null").selectExpr("count(*)", "count(distinct participant, chunk)", "min(chunk)", "max(chunk)", "bool_and(64 * chunk = first_message AND (n_messages = 64 OR chunk = 312))", "min(n_chunks)", "max(n_chunks)", "sum(size(mask_starts))").first()
+    assert tuple(hot) == (4 * 313, 4 * 313, 0, 312, True, 313, 313, n)
+    assert sorted((r.participant, r.chunk, r.n_chunks, r.n_messages) for r in got.filter("conv_id = 5").collect()) == [(p, 0, 1, 2) for p in ("ann", "bob")]
 
 
 def test_pipeline_near_dedup_keeps_null_ids(spark):
