@@ -17,6 +17,8 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
+from genoloom.llm.words import without
+
 #: Words that a worker remembers before it starts anew.
 MOST_KNOWN = 300_000
 #: Marks a whole word among pre-tokens.
@@ -280,7 +282,7 @@ def tokens(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     Columns of these names are replaced. Null text has no ids.
     """
-    docs = docs.drop(*({"ids", "decoded"} & set(docs.columns)))
+    docs = without(docs, ["ids", "decoded"])
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "ids array<int>, decoded string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

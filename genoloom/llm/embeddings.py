@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,8 @@ from genoloom.llm.components import components, spanning
 from genoloom.llm.scratch import Scratch
 
 COSINE, RECALL = 0.93, 0.999
-#: Rows the codebooks are fitted on at most (smallest hashes first), vectors a cell is to hold, and rows of a block.
+#: Rows the codebooks are fitted on at most (smallest hashes first), vectors a cell is to hold, and rows of a block. A half
+#: has no more centres than rows it is fitted on, so a label of up to SAMPLE ** 2 * CELL_ROWS vectors (1.6e9) has its cells.
 SAMPLE, CELL_ROWS, BLOCK_ROWS = 8192, 24, 512
 
 
@@ -41,7 +43,7 @@ class Index:
     """Two codebooks, whose product is the grid of cells, and how far beyond its best cell a query's traversal goes."""
 
     def __init__(self, sample: np.ndarray, cells: int, cosine: float = COSINE, recall: float = RECALL):
-        size = max(1, min(256, round(np.sqrt(cells))))
+        size = max(1, round(np.sqrt(cells)))
         self.books = [codebook(x, size, seed=i) for i, x in enumerate(halves(sample))]
         self.slack = self.calibrated(sample, cosine, recall)
 
@@ -68,21 +70,32 @@ class Index:
         return float(np.quantile(beyond, recall, method="higher")) + 1e-9
 
     def visits(self, x: np.ndarray) -> Iterator[np.ndarray]:
-        """For each vector its cells in the order of a multi-sequence traversal, until the slack is used up.
-
-        Both halves' centres are sorted by distance; the frontier advances over the grid of sums, nearest first. All
-        sums within the slack are met, so a mask of the sorted grid gives the same cells at once.
-        """
+        """For each vector its cells by a multi-sequence traversal, nearest first, until the slack is used up."""
         a, b = self.distances(x)
-        left, right = a.argsort(1), b.argsort(1)
+        left, right = a.argsort(1, kind="stable"), b.argsort(1, kind="stable")
         for i in range(len(x)):
-            u, v = a[i, left[i]], b[i, right[i]]
-            most = u[0] + v[0] + self.slack
-            u, v = u[: np.searchsorted(u, most - v[0], "right")], v[: np.searchsorted(v, most - u[0], "right")]
-            total = u[:, None] + v[None]
-            p, q = np.nonzero(total <= most)
-            by = np.argsort(total[p, q], kind="stable")
-            yield left[i, p[by]] * len(self.books[1]) + right[i, q[by]]
+            p, q = traversed(a[i, left[i]].tolist(), b[i, right[i]].tolist(), self.slack)
+            yield left[i, p] * len(self.books[1]) + right[i, q]
+
+
+def traversed(u: list[float], v: list[float], slack: float) -> tuple[list[int], list[int]]:
+    """Places (p, q) of the sums u[p] + v[q], from the least to those within ``slack`` of it; u and v ascend.
+
+    The frontier holds places both of whose neighbours before have been taken, so the next sum is on it.
+    """
+    heap, p, q = [(u[0] + v[0], 0, 0)], [], []
+    most, row = u[0] + v[0] + slack, [0] * (len(u) + 1)
+    while heap and heap[0][0] <= most:
+        _, i, j = heapq.heappop(heap)
+        p.append(i)
+        q.append(j)
+        row[i] = j + 1
+        # row[k] counts the places of row k taken; the next of a row is free once the row before is a place further
+        if j + 1 < len(v) and (i == 0 or row[i - 1] > j + 1):
+            heapq.heappush(heap, (u[i] + v[j + 1], i, j + 1))
+        if i + 1 < len(u) and row[i + 1] == j:
+            heapq.heappush(heap, (u[i + 1] + v[j], i + 1, j))
+    return p, q
 
 
 def unit(vectors: pa.Array) -> np.ndarray:
@@ -108,27 +121,29 @@ def near_vectors(df: DataFrame, cosine: float = COSINE, recall: float = RECALL,
     Vectors of different length never link. Equal vectors of a label are searched once and count each other. A row with
     a null key has a null component, counts for nobody and is kept.
 
-    Each vector lies in one cell of the product grid; queries go to the cells of their traversal. A crowded cell is
+    Each vector lies in one cell of the product grid; queries go to the cells of their traversal. A label's grid is as
+    fine as its number of vectors asks for: 4, 16, 64, ... cells, a pair of codebooks each, which all labels of about that
+    size share. A crowded cell is
     split over blocks of BLOCK_ROWS, queries of a block too, so no task holds more, however hot a vector is. A pair that
     either side's traversal meets counts for both.
     """
     spark, scratch = df.sparkSession, Scratch(df.sparkSession, "embeddings")
     rows = df.select(F.col(key).cast("long").alias("vec"), F.col(vector).alias("vector"), F.col(label).alias("label"))
-    distinct = scratch.keep(usable(rows).withColumn("size", F.size("vector")), "distinct")
-    n = distinct.count()
-    sizes = [x[0] for x in distinct.select("size").distinct().orderBy("size").collect()]
-    labels = max(1, distinct.select("label").distinct().count())
+    found = scratch.keep(usable(rows).withColumn("size", F.size("vector")), "usable")
+    counts = found.groupBy("label", "size").agg(F.count("*").alias("n"))
+    counts = counts.select("label", "size", F.greatest(F.lit(0), F.round(F.log(4.0, F.col("n") / CELL_ROWS))).cast("int").alias("fine"))
+    distinct = scratch.keep(found.join(counts, ["label", "size"]), "distinct")
     indexes = {}
-    for size in sizes:
+    for size, levels in distinct.groupBy("size").agg(F.sort_array(F.collect_set("fine"))).collect():
         sample = distinct.filter(F.col("size") == size).orderBy(F.xxhash64("first")).limit(SAMPLE).select("vector").toArrow()["vector"].combine_chunks()
-        indexes[size] = Index(unit(sample), max(1, n // (labels * CELL_ROWS)), cosine, recall)
+        indexes[size] = {fine: Index(unit(sample), 4**fine, cosine, recall) for fine in levels}
     shared = spark.sparkContext.broadcast(indexes)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size = np.asarray(batch.column("size"))
-            for s in np.unique(size):
-                part, index = batch.take(pa.array(np.flatnonzero(size == s))), shared.value[int(s)]
+            size, fine = np.asarray(batch.column("size")).astype(np.int64), np.asarray(batch.column("fine"))
+            for s, k in np.unique(np.stack([size, fine]), axis=1).T.tolist():
+                part, index = batch.take(pa.array(np.flatnonzero((size == s) & (fine == k)))), shared.value[s][k]
                 x = unit(part.column("vector"))
                 cells = pa.array([c.astype(np.int32) for c in index.visits(x)], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column("first"), part.column("label"), part.column("size"), part.column("copies"), part.column("vector"), pa.array(index.cell(x).astype(np.int32)), cells], ["first", "label", "size", "copies", "vector", "cell", "cells"])

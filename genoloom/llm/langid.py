@@ -81,7 +81,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     bits_per_byte. Of equal code lengths the first language by name is taken. Columns of these names are replaced.
     """
     names = ["lang_pred", "score", "bits_per_byte"]
-    docs = docs.drop(*(set(names) & set(docs.columns)))
+    docs = W.without(docs, names)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "lang_pred string, score double, bits_per_byte double"])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

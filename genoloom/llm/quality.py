@@ -125,7 +125,7 @@ def rules(docs: DataFrame, min_repeat: int = MIN_REPEAT, most_percent: int = MOS
     words, not kept. No shuffle: a text is judged where it is read, so no source or group can be hot.
     """
     names = [x.split()[0] for x in COLUMNS.split(", ")]
-    docs = docs.drop(*(set(names) & set(docs.columns)))
+    docs = W.without(docs, names)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), COLUMNS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -284,7 +284,10 @@ def remove_shared(texts: DataFrame, scratch: Scratch, size: int, prints: Callabl
 
 
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = WINDOW) -> DataFrame:
-    """(key, n_words, n_removed, kept_sha256) of every row. Null or empty text has no words."""
+    """(key, n_words, n_removed, kept_sha256) of every row. Null or empty text has no words. Keys are whole numbers.
+
+    A row with a null key owns nothing and loses nothing. Rows that repeat a key are each cut at their own places.
+    """
     all_docs, changed = find_repeats(docs, key, text, size)
     own = changed.select(F.col("doc").alias("d"), F.col("source").alias("s"), "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")).dropDuplicates(["d", "s"])
     return all_docs.join(own, (F.col("doc") == F.col("d")) & (F.col("source") == F.col("s")), "left").select(
@@ -296,7 +299,8 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = WINDOW) -> DataFrame:
     """``docs`` with repeats cut out: a text that loses words is its other words joined by a space; others stay as they are.
 
-    Columns of ``docs`` may have any names; rows may repeat.
+    Columns of ``docs`` may have any names; rows may repeat. Keys are whole numbers; a null key owns and loses nothing, a
+    null text stays null, an empty table stays empty.
     """
     all_docs, changed = find_repeats(docs, key, text, size)
     copies = all_docs.filter("copy").select("doc", "source", F.lit("").alias("kept_text"))

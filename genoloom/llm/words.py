@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
 from itertools import chain, pairwise
@@ -11,6 +11,7 @@ from itertools import chain, pairwise
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 U = np.uint64
 SPACE = np.zeros(256, bool)
@@ -131,3 +132,9 @@ def windows(values: np.ndarray, size: int, seed: int = BASE) -> np.ndarray:
             return total
         part = mix(part[:-span] * U(BASE) + mix(part[span:] + U(span)))
         span *= 2
+
+
+def without(docs: DataFrame, names: Iterable[str]) -> DataFrame:
+    """``docs`` without columns of these names, in whatever case they are written."""
+    taken = {x.lower() for x in names}
+    return docs.select(*(f"`{c}`" for c in docs.columns if c.lower() not in taken))
