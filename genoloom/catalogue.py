@@ -17,9 +17,19 @@ from genoloom.sources.files import numbered, running_total
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 #: SQL that merges a table x(k, s, e).
-MERGED = "(SELECT k, min(s) AS s, max(e) AS e FROM (SELECT *, sum(new) OVER (PARTITION BY k ORDER BY s, e, r) AS g FROM (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY k ORDER BY s, e, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 1 ELSE 0 END AS new FROM (SELECT k, s, e, row_number() OVER (ORDER BY s) AS r FROM {x}))) GROUP BY k, g)"
+MERGED = """
+(SELECT k, min(s) AS s, max(e) AS e FROM (SELECT *, sum(new) OVER (PARTITION BY k ORDER BY s, e, r) AS g
+  FROM (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY k ORDER BY s, e, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 1 ELSE 0 END
+  AS new FROM (SELECT k, s, e, row_number() OVER (ORDER BY s) AS r FROM {x})))
+  GROUP BY k, g)
+"""
 #: SQL of set algebra by points: every coordinate that either side covers.
-POINTS = "WITH c AS ({calls}), a AS (SELECT DISTINCT k, unnest(range(s, e + 1)) AS p FROM c WHERE side = 'F'), b AS (SELECT DISTINCT k, unnest(range(s, e + 1)) AS p FROM c WHERE side = 'O'), x AS ({points}), g AS (SELECT k, p, p - row_number() OVER (PARTITION BY k ORDER BY p) AS island FROM x) SELECT k, min(p) AS s, max(p) AS e FROM g GROUP BY k, island"
+POINTS = """
+WITH c AS ({calls}), a AS (SELECT DISTINCT k, unnest(range(s, e + 1)) AS p
+  FROM c WHERE side = 'F'), b AS (SELECT DISTINCT k, unnest(range(s, e + 1)) AS p
+  FROM c WHERE side = 'O'), x AS ({points}), g AS (SELECT k, p, p - row_number() OVER (PARTITION BY k ORDER BY p) AS island
+  FROM x) SELECT k, min(p) AS s, max(p) AS e FROM g GROUP BY k, island
+"""
 SIMILAR = "greatest(0, least(a.e, b.e) - greatest(a.s, b.s) + 1)::DOUBLE / (greatest(a.e, b.e) - least(a.s, b.s) + 1)"
 
 
@@ -43,12 +53,22 @@ def interval_merge(spark, sf_dir):
     return I.merge(V.dense(spark, sf_dir), ["k"])
 
 
-@query(f"WITH d AS ({V.DENSE}), p AS (SELECT k, s AS x FROM d UNION SELECT k, e + 1 FROM d), w AS (SELECT k, x AS s, lead(x) OVER (PARTITION BY k ORDER BY x) - 1 AS e FROM p) SELECT w.k, w.s, w.e, count(*) AS depth FROM w JOIN d ON d.k = w.k AND d.s <= w.e AND d.e >= w.s GROUP BY ALL")
+@query(f"""
+WITH d AS ({V.DENSE}), p AS (SELECT k, s AS x FROM d UNION SELECT k, e + 1
+  FROM d), w AS (SELECT k, x AS s, lead(x) OVER (PARTITION BY k ORDER BY x) - 1 AS e
+  FROM p) SELECT w.k, w.s, w.e, count(*) AS depth FROM w JOIN d ON d.k = w.k AND d.s <= w.e AND d.e >= w.s
+  GROUP BY ALL
+""")
 def interval_depth(spark, sf_dir):
     return I.depth(V.dense(spark, sf_dir), ["k"])
 
 
-@query(f"WITH d AS ({V.DENSE}), p AS (SELECT k, s AS x FROM d UNION SELECT k, e + 1 FROM d), w AS (SELECT k, x AS s, lead(x) OVER (PARTITION BY k ORDER BY x) - 1 AS e FROM p) SELECT w.k, w.s, w.e, list_sort(list(DISTINCT t)) AS ids FROM w JOIN d ON d.k = w.k AND d.s <= w.e AND d.e >= w.s GROUP BY ALL")
+@query(f"""
+WITH d AS ({V.DENSE}), p AS (SELECT k, s AS x FROM d UNION SELECT k, e + 1
+  FROM d), w AS (SELECT k, x AS s, lead(x) OVER (PARTITION BY k ORDER BY x) - 1 AS e
+  FROM p) SELECT w.k, w.s, w.e, list_sort(list(DISTINCT t)) AS ids FROM w JOIN d ON d.k = w.k AND d.s <= w.e AND d.e >= w.s
+  GROUP BY ALL
+""")
 def interval_segments(spark, sf_dir):
     return I.segments(V.dense(spark, sf_dir), ["k"], "t")
 
@@ -80,28 +100,45 @@ def interval_complement(spark, sf_dir):
     return I.complement(c, c.groupBy("k").agg(F.lit(0).cast("long").alias("s"), F.max("e").alias("e")), ["k"])
 
 
-@query(f"WITH d AS ({V.CALLS}), p AS (SELECT k, s AS x FROM d UNION SELECT k, e + 1 FROM d), w AS (SELECT k, x AS s, lead(x) OVER (PARTITION BY k ORDER BY x) - 1 AS e FROM p) SELECT w.k, w.s, w.e, count(*) AS depth FROM w JOIN d ON d.k = w.k AND d.s <= w.e AND d.e >= w.s GROUP BY ALL HAVING count(*) > 1")
+@query(f"""
+WITH d AS ({V.CALLS}), p AS (SELECT k, s AS x FROM d UNION SELECT k, e + 1
+  FROM d), w AS (SELECT k, x AS s, lead(x) OVER (PARTITION BY k ORDER BY x) - 1 AS e
+  FROM p) SELECT w.k, w.s, w.e, count(*) AS depth FROM w JOIN d ON d.k = w.k AND d.s <= w.e AND d.e >= w.s
+  GROUP BY ALL HAVING count(*) > 1
+""")
 def interval_overlap_detect(spark, sf_dir):
     return I.depth(V.calls(spark, sf_dir), ["k"]).filter("depth > 1")
 
 
-@query(f"WITH c AS ({V.CALLS}) SELECT a.k, a.s AS outer_s, a.e AS outer_e, a.s + a.e - b.e AS s, a.s + a.e - b.s AS e FROM c a JOIN c b ON a.k = b.k AND b.s >= a.s AND b.e <= a.e WHERE a.side = 'F' AND b.side = 'O'")
+@query(f"""
+WITH c AS ({V.CALLS}) SELECT a.k, a.s AS outer_s, a.e AS outer_e, a.s + a.e - b.e AS s, a.s + a.e - b.s AS e
+  FROM c a JOIN c b ON a.k = b.k AND b.s >= a.s AND b.e <= a.e WHERE a.side = 'F' AND b.side = 'O'
+""")
 def interval_reflect(spark, sf_dir):
     return I.reflect(*sides(spark, sf_dir), ["k"])
 
 
-@query(f"WITH d AS ({V.DENSE}) SELECT a.k, a.s AS a_s, a.e AS a_e, b.s AS b_s, b.e AS b_e, round({SIMILAR}, 9) AS j FROM d a JOIN d b ON a.k = b.k AND a.s <= b.e AND a.e >= b.s WHERE a.t = 'R' AND b.t = 'A' AND {SIMILAR} >= 0.5")
+@query(f"""
+WITH d AS ({V.DENSE}) SELECT a.k, a.s AS a_s, a.e AS a_e, b.s AS b_s, b.e AS b_e, round({SIMILAR}, 9) AS j
+  FROM d a JOIN d b ON a.k = b.k AND a.s <= b.e AND a.e >= b.s WHERE a.t = 'R' AND b.t = 'A' AND {SIMILAR} >= 0.5
+""")
 def similarity_join(spark, sf_dir):
     d = V.dense(spark, sf_dir)
     return P.similar(d.filter("t = 'R'"), d.filter("t = 'A'"), ["k"], 0.5).select(F.col("a_k").alias("k"), "a_s", "a_e", "b_s", "b_e", F.round("j", 9).alias("j"))
 
 
-@query(f"WITH c AS ({V.CALLS}) SELECT * FROM c a WHERE side = 'F' AND EXISTS (SELECT 1 FROM c b WHERE b.side = 'O' AND a.t = b.t AND a.k = b.k AND a.s <= b.e AND a.e >= b.s AND {SIMILAR} >= 0.5)")
+@query(f"""
+WITH c AS ({V.CALLS}) SELECT * FROM c a WHERE side = 'F' AND EXISTS (SELECT 1
+  FROM c b WHERE b.side = 'O' AND a.t = b.t AND a.k = b.k AND a.s <= b.e AND a.e >= b.s AND {SIMILAR} >= 0.5)
+""")
 def callset_semi(spark, sf_dir):
     return P.matched(*sides(spark, sf_dir), ["t", "k"], 0.5, "left_semi")
 
 
-@query(f"WITH c AS ({V.CALLS}) SELECT * FROM c a WHERE side = 'F' AND NOT EXISTS (SELECT 1 FROM c b WHERE b.side = 'O' AND a.t = b.t AND a.k = b.k AND a.s <= b.e AND a.e >= b.s AND {SIMILAR} >= 0.5)")
+@query(f"""
+WITH c AS ({V.CALLS}) SELECT * FROM c a WHERE side = 'F' AND NOT EXISTS
+  (SELECT 1 FROM c b WHERE b.side = 'O' AND a.t = b.t AND a.k = b.k AND a.s <= b.e AND a.e >= b.s AND {SIMILAR} >= 0.5)
+""")
 def callset_anti(spark, sf_dir):
     return P.matched(*sides(spark, sf_dir), ["t", "k"], 0.5, "left_anti")
 
@@ -138,7 +175,11 @@ def coarse(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return tuple(x.withColumn("s", F.floor(F.col("s") / 100)).withColumn("e", F.floor(F.col("e") / 100)) for x in sides(spark, sf_dir))
 
 
-@query(f"WITH c AS ({COARSE}), x AS (SELECT k, s, e, CASE WHEN count(*) FILTER (WHERE side = 'F') > 0 THEN max(id) FILTER (WHERE side = 'F') ELSE max(id) END AS id FROM c WHERE side <> 'P' GROUP BY ALL) SELECT id, k, s, e FROM x")
+@query(f"""
+WITH c AS ({COARSE}), x AS (SELECT k, s, e, CASE WHEN count(*) FILTER (WHERE side = 'F') > 0 THEN max(id) FILTER
+  (WHERE side = 'F') ELSE max(id) END AS id FROM c WHERE side <> 'P' GROUP BY ALL)
+  SELECT id, k, s, e FROM x
+""")
 def callset_union(spark, sf_dir):
     return C.call_union(*coarse(spark, sf_dir), "id").select("id", "k", "s", "e")
 
@@ -177,7 +218,12 @@ def edit_distance(spark, sf_dir):
     return V.table(spark, sf_dir, "part").select("p_partkey", F.levenshtein("p_name", "p_type").cast("long").alias("distance"))
 
 
-@query("WITH g AS (SELECT o_orderkey AS id, o_orderkey % 2 AS a, o_custkey % 2 AS b, o_custkey % 25 AS k FROM orders), l AS (SELECT *, k % 5 = 0 AS x, k % 5 = 1 AS y FROM g), m AS (SELECT id, k, CASE WHEN x THEN 0 ELSE a END AS h1, CASE WHEN y THEN 0 ELSE b END AS h2 FROM l) SELECT * FROM m WHERE h1 + h2 > 0")
+@query("""
+WITH g AS (SELECT o_orderkey AS id, o_orderkey % 2 AS a, o_custkey % 2 AS b, o_custkey % 25 AS k
+  FROM orders), l AS (SELECT *, k % 5 = 0 AS x, k % 5 = 1 AS y FROM g), m AS
+  (SELECT id, k, CASE WHEN x THEN 0 ELSE a END AS h1, CASE WHEN y THEN 0 ELSE b END AS h2
+  FROM l) SELECT * FROM m WHERE h1 + h2 > 0
+""")
 def call_filter_mask(spark, sf_dir):
     k = F.col("o_custkey") % 25
     gt, loss = F.array(F.col("o_orderkey") % 2, F.col("o_custkey") % 2), F.array((k % 5 == 0).cast("long"), (k % 5 == 1).cast("long"))
@@ -185,7 +231,11 @@ def call_filter_mask(spark, sf_dir):
     return masked.filter(F.exists("gt", lambda x: x == 1)).select("id", "k", F.col("gt")[0].alias("h1"), F.col("gt")[1].alias("h2"))
 
 
-@query("SELECT o_orderkey AS id, clone, CASE clone WHEN 0 THEN (o_orderkey % 2) || '|' || (o_custkey % 2) WHEN 1 THEN '0|' || (o_orderkey % 2) ELSE (o_custkey % 2) || '|0' END AS gt FROM orders, (VALUES (0), (1), (2)) c(clone) WHERE CASE clone WHEN 0 THEN o_orderkey % 2 + o_custkey % 2 WHEN 1 THEN o_orderkey % 2 ELSE o_custkey % 2 END > 0")
+@query("""
+SELECT o_orderkey AS id, clone, CASE clone WHEN 0 THEN (o_orderkey % 2) || '|' || (o_custkey % 2) WHEN 1 THEN '0|' || (o_orderkey % 2) ELSE (o_custkey
+  % 2) || '|0' END AS gt FROM orders, (VALUES (0), (1), (2)) c(clone) WHERE CASE clone WHEN 0 THEN o_orderkey % 2 + o_custkey % 2 WHEN 1 THEN
+  o_orderkey % 2 ELSE o_custkey % 2 END > 0
+""")
 def clone_unpivot(spark, sf_dir):
     a, b = (F.col("o_orderkey") % 2).cast("string"), (F.col("o_custkey") % 2).cast("string")
     columns = F.array(F.concat(a, F.lit("|"), b), F.concat(F.lit("0|"), a), F.concat(b, F.lit("|0")))
@@ -198,7 +248,12 @@ def gene_lookup(spark, sf_dir):
     return V.gene(spark, sf_dir).join(wanted, "symbol", "left_semi").select("symbol", "chrom", "s", "e")
 
 
-@query(f"WITH g AS (SELECT t, count(*) AS a FROM ({V.CALLS}) WHERE side = 'F' GROUP BY t), b AS (SELECT t, count(*) AS c FROM ({V.CALLS}) WHERE side = 'O' GROUP BY t) SELECT t, a, round(ln((a / sum(a) OVER ()) / (c / sum(c) OVER ())), 9) AS log_odds FROM g JOIN b USING (t)")
+@query(f"""
+WITH g AS (SELECT t, count(*) AS a FROM ({V.CALLS}) WHERE side = 'F' GROUP BY t), b AS
+  (SELECT t, count(*) AS c FROM ({V.CALLS}) WHERE side = 'O' GROUP BY t)
+  SELECT t, a, round(ln((a / sum(a) OVER ()) / (c / sum(c) OVER ())), 9) AS log_odds
+  FROM g JOIN b USING (t)
+""")
 def gene_log_odds(spark, sf_dir):
     c = V.calls(spark, sf_dir).groupBy("t").agg(F.count_if(F.col("side") == "F").alias("a"), F.count_if(F.col("side") == "O").alias("c"))
     whole = F.broadcast(c.agg(F.sum("a").alias("all_a"), F.sum("c").alias("all_c")))
@@ -211,7 +266,11 @@ def effect_groupings(spark, sf_dir):
     return V.calls(spark, sf_dir).groupingSets([["t", "side"], ["t"], []], "t", "side").agg(F.count("*").alias("n"))
 
 
-@query("SELECT DISTINCT p_name AS symbol FROM part WHERE p_size > 25 AND p_name NOT IN (SELECT p_name FROM part WHERE p_size < 2) AND p_name IN (SELECT p_name FROM part WHERE p_retailprice > 950)")
+@query("""
+SELECT DISTINCT p_name AS symbol FROM part WHERE p_size > 25 AND p_name NOT IN
+  (SELECT p_name FROM part WHERE p_size < 2) AND p_name IN (SELECT p_name
+  FROM part WHERE p_retailprice > 950)
+""")
 def expression_sets(spark, sf_dir):
     p = V.table(spark, sf_dir, "part").withColumnRenamed("p_name", "symbol")
     return p.filter("p_size > 25").select("symbol").distinct().join(p.filter("p_size < 2"), "symbol", "left_anti").join(p.filter("p_retailprice > 950"), "symbol", "left_semi")
@@ -229,7 +288,10 @@ def ratio_to_largest(spark, sf_dir):
     return n.join(F.broadcast(n.agg(F.max("l").alias("most")))).select("k", F.round(F.col("l") / F.col("most"), 9).alias("ratio"))
 
 
-@query("SELECT s_name AS chrom, s_suppkey AS len, coalesce(sum(s_suppkey) OVER (ORDER BY s_suppkey DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM supplier")
+@query("""
+SELECT s_name AS chrom, s_suppkey AS len, coalesce(sum(s_suppkey) OVER (ORDER BY s_suppkey DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+  0)::BIGINT AS start FROM supplier
+""")
 def contig_offsets(spark, sf_dir):
     lengths = V.table(spark, sf_dir, "supplier").select(F.col("s_name").alias("chrom"), F.col("s_suppkey").alias("len"))
     return running_total(lengths, [F.desc("len"), F.asc("chrom")], "len", "start")
@@ -241,17 +303,30 @@ def contig_sort(spark, sf_dir):
     return numbered(names, [C.contig_order(F.col("chrom"))], "place")
 
 
-@query(f"WITH RECURSIVE e AS ({V.TREE}), c AS (SELECT child AS node, child AS ancestor, 0 AS depth FROM e UNION ALL SELECT 0, 0, 0 UNION ALL SELECT c.node, e.parent, c.depth + 1 FROM c JOIN e ON e.child = c.ancestor) SELECT ancestor::INTEGER AS ancestor, node::INTEGER AS node, depth FROM c")
+@query(f"""
+WITH RECURSIVE e AS ({V.TREE}), c AS (SELECT child AS node, child AS ancestor, 0 AS depth
+  FROM e UNION ALL SELECT 0, 0, 0 UNION ALL SELECT c.node, e.parent, c.depth + 1
+  FROM c JOIN e ON e.child = c.ancestor) SELECT ancestor::INTEGER AS ancestor, node::INTEGER AS node, depth
+  FROM c
+""")
 def clone_closure(spark, sf_dir):
     return T.closure(V.tree(spark, sf_dir))
 
 
-@query(f"WITH RECURSIVE e AS ({V.TREE}), c AS (SELECT child AS node, child AS ancestor FROM e UNION ALL SELECT 0, 0 UNION ALL SELECT c.node, e.parent FROM c JOIN e ON e.child = c.ancestor) SELECT ancestor::INTEGER AS node, count(*) AS freq FROM c GROUP BY ancestor")
+@query(f"""
+WITH RECURSIVE e AS ({V.TREE}), c AS (SELECT child AS node, child AS ancestor
+  FROM e UNION ALL SELECT 0, 0 UNION ALL SELECT c.node, e.parent FROM c JOIN e ON e.child = c.ancestor)
+  SELECT ancestor::INTEGER AS node, count(*) AS freq FROM c GROUP BY ancestor
+""")
 def clone_frequency(spark, sf_dir):
     return T.frequency(V.tree(spark, sf_dir))
 
 
-@query(f"WITH RECURSIVE e AS ({V.TREE}), c AS (SELECT child AS node, child AS ancestor FROM e UNION ALL SELECT 0, 0 UNION ALL SELECT c.node, e.parent FROM c JOIN e ON e.child = c.ancestor) SELECT DISTINCT c.node::INTEGER AS clone, s_suppkey AS variant FROM c JOIN supplier ON s_nationkey = ancestor")
+@query(f"""
+WITH RECURSIVE e AS ({V.TREE}), c AS (SELECT child AS node, child AS ancestor
+  FROM e UNION ALL SELECT 0, 0 UNION ALL SELECT c.node, e.parent FROM c JOIN e ON e.child = c.ancestor)
+  SELECT DISTINCT c.node::INTEGER AS clone, s_suppkey AS variant FROM c JOIN supplier ON s_nationkey = ancestor
+""")
 def clone_alleles(spark, sf_dir):
     parts = V.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("node"), F.col("s_suppkey").alias("variant"))
     return T.allele_map(V.tree(spark, sf_dir), parts)

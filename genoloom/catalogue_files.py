@@ -46,7 +46,11 @@ def vcf_intervals(spark, sf_dir):
     return vcf.call_intervals(calls, 50, 300).select("chrom", "s", "e", "svtype", F.size("ids").cast("long").alias("rows_of"))
 
 
-@query(f"WITH c AS (SELECT *, CASE WHEN a = 0 THEN 1 WHEN svtype = 'CNV' THEN 0 ELSE 0 END AS x, CASE b WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE 2 END AS y FROM ({CALLS}) WHERE a + b > 0) SELECT DISTINCT chrom, pos, e AS end_pos, CASE WHEN svtype = 'CNV' AND x + y < 2 THEN 'DEL' WHEN svtype = 'CNV' AND x + y > 2 AND x <> 0 AND y <> 0 THEN 'DUP' ELSE svtype END AS svtype FROM c")
+@query(f"""
+WITH c AS (SELECT *, CASE WHEN a = 0 THEN 1 WHEN svtype = 'CNV' THEN 0 ELSE 0 END AS x, CASE b WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE 2 END AS y
+  FROM ({CALLS}) WHERE a + b > 0) SELECT DISTINCT chrom, pos, e AS end_pos, CASE WHEN svtype = 'CNV' AND x + y < 2 THEN 'DEL' WHEN svtype = 'CNV' AND
+  x + y > 2 AND x <> 0 AND y <> 0 THEN 'DUP' ELSE svtype END AS svtype FROM c
+""")
 def vcf_sample_calls(spark, sf_dir):
     calls = vcf.read_calls(spark, f"{vcf_file(spark, sf_dir)}/*")
     return vcf.sample_calls(calls, 0).select("chrom", "pos", F.col("end").alias("end_pos"), "svtype")
@@ -150,7 +154,12 @@ def gene_table(spark: SparkSession, sf_dir: str):
     return T.read_genes(spark, path)
 
 
-@query("WITH p AS (SELECT (p_partkey % 50)::VARCHAR AS symbol, p_brand AS chrom, p_partkey * 3 AS s, p_partkey * 3 + p_size AS e, p_partkey AS r FROM part), m AS (SELECT *, max(e) OVER (PARTITION BY symbol, chrom ORDER BY s, e, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM p), g AS (SELECT *, sum(CASE WHEN s > reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol, chrom ORDER BY s, e, r) AS i FROM m) SELECT symbol, chrom, min(s) AS s, max(e) AS e FROM g GROUP BY symbol, chrom, i")
+@query("""
+WITH p AS (SELECT (p_partkey % 50)::VARCHAR AS symbol, p_brand AS chrom, p_partkey * 3 AS s, p_partkey * 3 + p_size AS e, p_partkey AS r
+  FROM part), m AS (SELECT *, max(e) OVER (PARTITION BY symbol, chrom ORDER BY s, e, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
+  FROM p), g AS (SELECT *, sum(CASE WHEN s > reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol, chrom ORDER BY s, e, r) AS i
+  FROM m) SELECT symbol, chrom, min(s) AS s, max(e) AS e FROM g GROUP BY symbol, chrom, i
+""")
 def gene_merge(spark, sf_dir):
     return gene_table(spark, sf_dir)[0].select("symbol", "chrom", "s", "e")
 
@@ -161,7 +170,10 @@ def exon_list(spark, sf_dir):
 
 
 #: Sequences of part names, as SQL: letters to bases, long enough for several lines.
-SEQUENCES = "SELECT 'c' || p_partkey AS name, repeat(translate(upper(replace(p_name, ' ', '')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACGTACGTACGTACGTACGTACGTAC'), 1 + (p_partkey % 20)::INTEGER) AS seq FROM part"
+SEQUENCES = """
+SELECT 'c' || p_partkey AS name, repeat(translate(upper(replace(p_name, ' ', '')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACGTACGTACGTACGTACGTACGTAC'), 1 +
+  (p_partkey % 20)::INTEGER) AS seq FROM part
+"""
 
 
 def fasta_file(spark: SparkSession, sf_dir: str) -> str:
@@ -180,7 +192,11 @@ def fasta_substring(spark, sf_dir):
     return T.read_fasta(spark, fasta_file(spark, sf_dir)).select("name", F.length("seq").cast("long").alias("size"), F.substring("seq", 11, 20).alias("part"))
 
 
-@query(f"SELECT name, i::INTEGER AS chunk, substr(seq, 64 * i + 1, 64) AS seq FROM (SELECT name, seq, unnest(range(0, greatest(1, (length(seq) + 63) // 64))) AS i FROM ({SEQUENCES}))")
+@query(f"""
+SELECT name, i::INTEGER AS chunk, substr(seq, 64 * i + 1, 64) AS seq FROM
+  (SELECT name, seq, unnest(range(0, greatest(1, (length(seq) + 63) // 64))) AS i
+  FROM ({SEQUENCES}))
+""")
 def fasta_windows(spark, sf_dir):
     return T.windows(T.read_fasta(spark, fasta_file(spark, sf_dir)), 64)
 
@@ -193,7 +209,10 @@ def fastq_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.read_fastq(spark, f"{path}/*")
 
 
-@query("SELECT '@r' || s_suppkey || '/' || m AS id, 'ACGT' AS seq, '+' AS plus, '@' || left(lpad(s_suppkey::VARCHAR, greatest(3, 0), 'I'), 3) AS qual FROM supplier, (VALUES (1), (2)) t(m)")
+@query("""
+SELECT '@r' || s_suppkey || '/' || m AS id, 'ACGT' AS seq, '+' AS plus, '@' || left(lpad(s_suppkey::VARCHAR, greatest(3, 0), 'I'), 3) AS qual
+  FROM supplier, (VALUES (1), (2)) t(m)
+""")
 def fastq_read(spark, sf_dir):
     return fastq_files(spark, sf_dir).select("id", "seq", "plus", "qual")
 

@@ -24,7 +24,11 @@ BASES = "left(repeat(translate(upper(replace(p_name, ' ', '')), 'ABCDEFGHIJKLMNO
 CHUNKS = f"SELECT 'c' || (p_partkey % 25) AS name, p_partkey // 25 AS chunk, {BASES} AS seq FROM part"
 CONTIGS = f"SELECT name, string_agg(seq, '' ORDER BY chunk) AS seq FROM ({CHUNKS}) GROUP BY name"
 #: Calls on these contigs: with a genotype column or without, some beyond the end.
-ON_CONTIGS = "SELECT 'c' || (o_custkey % 26) AS chrom, floor(o_totalprice / 10)::BIGINT % 6000 AS pos, 'v' || (o_orderkey // 3) AS id, ['DEL', 'DUP', 'INV', 'INS'][1 + o_orderkey % 4] AS svtype, o_orderkey % 300 AS size, o_orderkey % 2 = 0 AS own FROM orders"
+ON_CONTIGS = """
+SELECT 'c' || (o_custkey % 26) AS chrom, floor(o_totalprice / 10)::BIGINT % 6000 AS pos, 'v' || (o_orderkey // 3) AS id, ['DEL', 'DUP', 'INV',
+  'INS'][1 + o_orderkey % 4] AS svtype, o_orderkey % 300 AS size, o_orderkey % 2 = 0 AS own
+  FROM orders
+"""
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +78,10 @@ def fasta_block_ranges(spark, sf_dir):
     return fasta.read_ranges(spark, block_file(spark, sf_dir), ranges, 64).select("id", "seq")
 
 
-@query(f"WITH q AS ({CONTIGS}) SELECT name, greatest(64 * i, 100) AS start, substr(seq, greatest(64 * i, 100) + 1, least(64 * i + 64, 1000) - greatest(64 * i, 100)) AS seq FROM q, range(1, 16) r(i) WHERE name = 'c7' AND length(seq) > greatest(64 * i, 100)")
+@query(f"""
+WITH q AS ({CONTIGS}) SELECT name, greatest(64 * i, 100) AS start, substr(seq, greatest(64 * i, 100) + 1, least(64 * i + 64, 1000) - greatest(64 * i,
+  100)) AS seq FROM q, range(1, 16) r(i) WHERE name = 'c7' AND length(seq) > greatest(64 * i, 100)
+""")
 def fasta_block_source(spark, sf_dir):
     spark.dataSource.register(fasta.FastaSource)
     return spark.read.format("fasta_blocks").option("contig", "c7").option("from", "100").option("to", "1000").option("size", "64").load(block_file(spark, sf_dir))
@@ -97,7 +104,11 @@ def genotyped(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return rows.filter("side = 'F'").drop("side"), rows.filter("side = 'O'").drop("side")
 
 
-@query(f"WITH g AS ({GTS}), x AS (SELECT *, row_number() OVER (PARTITION BY k, s, e, t, gt ORDER BY side, id) AS n FROM g WHERE side <> 'P') SELECT k::VARCHAR AS chrom, s AS pos, e AS end_pos, t AS svtype, CASE WHEN side = 'F' THEN [gt, gt, gt] ELSE [gt] END AS samples FROM x WHERE n = 1")
+@query(f"""
+WITH g AS ({GTS}), x AS (SELECT *, row_number() OVER (PARTITION BY k, s, e, t, gt ORDER BY side, id) AS n
+  FROM g WHERE side <> 'P') SELECT k::VARCHAR AS chrom, s AS pos, e AS end_pos, t AS svtype, CASE WHEN side = 'F' THEN [gt, gt, gt] ELSE [gt] END AS
+  samples FROM x WHERE n = 1
+""")
 def merged_call_file(spark, sf_dir):
     path = files.shared_folder(spark, "merged")
     normal, somatic = genotyped(spark, sf_dir)
@@ -105,7 +116,12 @@ def merged_call_file(spark, sf_dir):
     return vcf.read_calls(spark, f"{path}/*").select("chrom", "pos", F.col("end").alias("end_pos"), "svtype", "samples")
 
 
-@query(f"WITH g AS ({GTS}), x AS (SELECT *, row_number() OVER (PARTITION BY k, s, e, t, gt ORDER BY id) AS n FROM g WHERE side = 'O') SELECT k::VARCHAR AS chrom, s AS pos, e AS end_pos, t AS svtype, gt FROM x WHERE n = 1 AND (k, s, e, t, gt) NOT IN (SELECT (k, s, e, t, gt) FROM g WHERE side = 'F')")
+@query(f"""
+WITH g AS ({GTS}), x AS (SELECT *, row_number() OVER (PARTITION BY k, s, e, t, gt ORDER BY id) AS n
+  FROM g WHERE side = 'O') SELECT k::VARCHAR AS chrom, s AS pos, e AS end_pos, t AS svtype, gt
+  FROM x WHERE n = 1 AND (k, s, e, t, gt) NOT IN (SELECT (k, s, e, t, gt)
+  FROM g WHERE side = 'F')
+""")
 def split_call_file(spark, sf_dir):
     path = files.shared_folder(spark, "split")
     normal, somatic = genotyped(spark, sf_dir)
@@ -122,7 +138,10 @@ def weighted_edit_distance(spark, sf_dir):
     return D.weighted_distance(V.table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type"), "p_name", "p_type", "distance", 2, 3, 4, 0.5).select("p_partkey", "distance")
 
 
-UNITS = "SELECT p_brand AS chrom, p_partkey * 3 AS s, p_partkey * 3 + p_size AS e, p_size::DOUBLE AS weight, 'g' || (p_partkey % 7) AS class, [p_name, 'x' || p_partkey] AS ids FROM part"
+UNITS = """
+SELECT p_brand AS chrom, p_partkey * 3 AS s, p_partkey * 3 + p_size AS e, p_size::DOUBLE AS weight, 'g' || (p_partkey % 7) AS class, [p_name, 'x' ||
+  p_partkey] AS ids FROM part
+"""
 
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +168,10 @@ def units_reweighted(spark, sf_dir):
     return P.read_units(spark, path, weights).select("chrom", "place", "s", "e", "weight")
 
 
-@query(f"SELECT class, id, arg_max(weight, (chrom, s, e)) AS weight, arg_max(e - s + 1, (chrom, s, e)) AS length FROM (SELECT *, unnest(ids) AS id FROM ({UNITS})) GROUP BY class, id")
+@query(f"""
+SELECT class, id, arg_max(weight, (chrom, s, e)) AS weight, arg_max(e - s + 1, (chrom, s, e)) AS length
+  FROM (SELECT *, unnest(ids) AS id FROM ({UNITS})) GROUP BY class, id
+""")
 def unit_weights_by_id(spark, sf_dir):
     return P.weights_by_id(units(spark, sf_dir))
 
@@ -252,14 +274,20 @@ def calls_json_lines(spark, sf_dir):
     return P.read_call_json(spark, cut, "id long, t string, k long, s long, e long")
 
 
-@query("SELECT o_orderkey AS id, [o_orderkey % 2, o_custkey % 2]::INTEGER[] AS alleles, (o_custkey % 2) || '|' || (o_orderkey % 2) || chr(9) || '0|1' AS written, '0|1' || chr(9) || '0|1' || chr(9) || '0|1' AS germline FROM orders")
+@query("""
+SELECT o_orderkey AS id, [o_orderkey % 2, o_custkey % 2]::INTEGER[] AS alleles, (o_custkey % 2) || '|' || (o_orderkey % 2) || chr(9) || '0|1' AS
+  written, '0|1' || chr(9) || '0|1' || chr(9) || '0|1' AS germline FROM orders
+""")
 def genotypes(spark, sf_dir):
     a, b = (F.col("o_orderkey") % 2).cast("int"), (F.col("o_custkey") % 2).cast("int")
     call = F.concat(F.lit("./1\t"), a.cast("string"), F.lit("/"), b.cast("string"))
     return V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), C.genotype(call, 1).alias("alleles"), C.set_genotypes(F.array(F.array(b, a), F.array(F.lit(0), F.lit(1)))).alias("written"), C.repeated_genotype(F.lit("0|1"), 3).alias("germline"))
 
 
-@query("SELECT 'c' || (o_custkey % 25) AS chrom, floor(o_totalprice / 10)::BIGINT AS s, floor(o_totalprice / 10)::BIGINT + 9 AS e FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 2 = 0")
+@query("""
+SELECT 'c' || (o_custkey % 25) AS chrom, floor(o_totalprice / 10)::BIGINT AS s, floor(o_totalprice / 10)::BIGINT + 9 AS e
+  FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 2 = 0
+""")
 def complex_inversions(spark, sf_dir):
     o, pos = V.table(spark, sf_dir, "orders"), F.floor(F.col("o_totalprice") / 10)
     info = F.concat(F.lit("SVTYPE=INV;INV_TYPE="), F.when(F.col("o_orderkey") % 2 == 0, "COMPLEX").otherwise("PERFECT"))
@@ -274,7 +302,10 @@ def translocation_info(spark, sf_dir):
     return V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), X.translocation(info).alias("t")).select("id", "t.*")
 
 
-@query("SELECT o_orderkey AS id, 'SVTYPE=DUP;END=' || o_custkey || ';DUP_POS=' || o_custkey || ',' || (o_custkey + 3) || ';DUP_TYPE=DISPERSED;ICN=' || (o_orderkey % 5) AS info FROM orders")
+@query("""
+SELECT o_orderkey AS id, 'SVTYPE=DUP;END=' || o_custkey || ';DUP_POS=' || o_custkey || ',' || (o_custkey + 3) || ';DUP_TYPE=DISPERSED;ICN=' ||
+  (o_orderkey % 5) AS info FROM orders
+""")
 def duplication_set(spark, sf_dir):
     c = F.col("o_custkey")
     info = F.concat(F.lit("SVTYPE=DUP;ICN=9;END="), c.cast("string"), F.lit(";DUP_TYPE=TANDEM"))
@@ -282,7 +313,11 @@ def duplication_set(spark, sf_dir):
 
 
 #: SQL: what no interval of the left side, and what none of the right side, covers of each contig.
-OPEN = "SELECT '{side}' AS side, k, min(p) AS s, max(p) AS e FROM (SELECT k, p, p - row_number() OVER (PARTITION BY k ORDER BY p) AS i FROM (SELECT k, p FROM m EXCEPT SELECT k, unnest(range(s, e + 1)) FROM c WHERE side = '{side}')) GROUP BY k, i"
+OPEN = """
+SELECT '{side}' AS side, k, min(p) AS s, max(p) AS e FROM (SELECT k, p, p - row_number() OVER (PARTITION BY k ORDER BY p) AS i
+  FROM (SELECT k, p FROM m EXCEPT SELECT k, unnest(range(s, e + 1)) FROM c
+  WHERE side = '{side}')) GROUP BY k, i
+"""
 
 
 @query(f"WITH c AS ({V.CALLS}), m AS (SELECT k, unnest(range(0, max(e) + 1)) AS p FROM c GROUP BY k) {OPEN.format(side='F')} UNION ALL {OPEN.format(side='O')}")
@@ -320,8 +355,16 @@ def report_file(spark, sf_dir):
 
 
 #: SQL: calls of files that are not from 50 to 300 bases long are left out, and what touches is joined.
-SIZED = f"SELECT DISTINCT svtype AS t, 'F' AS side, chrom AS k, pos AS s, e FROM ({FILE_CALLS}) WHERE n % 2 = 0 AND e - pos + 1 BETWEEN 50 AND 300 UNION ALL SELECT DISTINCT svtype, 'O', chrom, pos, e FROM ({FILE_CALLS}) WHERE n % 3 > 0 AND e - pos + 1 BETWEEN 50 AND 300"
-JOINED = f"SELECT t, side, k, min(s) AS s, max(e) AS e FROM (SELECT *, sum(new) OVER (PARTITION BY t, side, k ORDER BY s, e) AS g FROM (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY t, side, k ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 1 ELSE 0 END AS new FROM ({SIZED}))) GROUP BY t, side, k, g"
+SIZED = f"""
+SELECT DISTINCT svtype AS t, 'F' AS side, chrom AS k, pos AS s, e FROM ({FILE_CALLS})
+  WHERE n % 2 = 0 AND e - pos + 1 BETWEEN 50 AND 300 UNION ALL SELECT DISTINCT svtype, 'O', chrom, pos, e
+  FROM ({FILE_CALLS}) WHERE n % 3 > 0 AND e - pos + 1 BETWEEN 50 AND 300
+"""
+JOINED = f"""
+SELECT t, side, k, min(s) AS s, max(e) AS e FROM (SELECT *, sum(new) OVER (PARTITION BY t, side, k ORDER BY s, e) AS g
+  FROM (SELECT *, CASE WHEN s > max(e) OVER (PARTITION BY t, side, k ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 1 ELSE 0
+  END AS new FROM ({SIZED}))) GROUP BY t, side, k, g
+"""
 
 
 @query(f"""WITH c AS ({JOINED}), h AS (SELECT a.t, a.k, a.s AS x, b.s AS y FROM c a JOIN c b ON a.t = b.t AND a.k = b.k AND a.s <= b.e AND a.e >= b.s AND {SIMILAR} >= 0.5 WHERE a.side = 'F' AND b.side = 'O'),

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CALLS = "SELECT o_orderkey AS id, o_orderpriority AS t, o_orderstatus AS side, o_custkey % 25 AS k, CAST(floor(o_totalprice / 10) AS BIGINT) AS s, CAST(floor(o_totalprice / 10) AS BIGINT) + 50 + o_orderkey % 400 AS e FROM orders"
+CALLS = """
+SELECT o_orderkey AS id, o_orderpriority AS t, o_orderstatus AS side, o_custkey % 25 AS k, CAST(floor(o_totalprice / 10) AS BIGINT) AS s,
+  CAST(floor(o_totalprice / 10) AS BIGINT) + 50 + o_orderkey % 400 AS e
+  FROM orders
+"""
 DENSE = "SELECT l_suppkey AS k, l_returnflag AS t, l_partkey AS s, l_partkey + CAST(l_quantity AS BIGINT) AS e FROM lineitem"
 GENE = "SELECT p_name AS symbol, p_brand AS chrom, p_partkey AS s, p_partkey + 5 AS e FROM part"
 TREE = "SELECT (n_nationkey - 1) // 2 AS parent, n_nationkey AS child FROM nation WHERE n_nationkey > 0"
