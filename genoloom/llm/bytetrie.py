@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from genoloom.llm.worker import task
+
 U = np.uint64
 MOST_HELD = 1 << 20
 
@@ -62,7 +64,7 @@ def count_codes(rows: DataFrame, prepare: Callable[[pa.Array, int], Iterator[tup
                 b = slice(a, a + (1 << 16))
                 yield pa.RecordBatch.from_arrays([values.take(pa.array(name[b])), pa.array(code[b].view(np.int64)), pa.array(n[b])], ["label", "code", "n"])
 
-    parts = rows.select(F.col(label).cast("string").alias(label), text).mapInArrow(run, "label string, code long, n long")
+    parts = rows.select(F.col(label).cast("string").alias(label), text).mapInArrow(task("counts", run), "label string, code long, n long")
     return parts.groupBy("label", "code").agg(F.sum("n").alias("n"))
 
 

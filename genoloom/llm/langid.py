@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from genoloom.llm import words as W
 from genoloom.llm.bytetrie import Symbols, Trie, count_codes, frequent_contexts, sum_by_row
+from genoloom.llm.worker import task
 
 ORDER, SHARE, MOST_BITS = 4, 1e-5, 6.5
 UNKNOWN = "und"
@@ -98,7 +99,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             rate = pa.array(least[:, 0] / np.maximum(size, 1), mask=~known)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(named, pa.string()), pa.array(score), rate], [*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(task("langid", run), schema)
 
 
 def in_fold(key: str, folds: int, fold: int):

@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 
 from genoloom.llm.bpe import WHOLE, Encoder, slices, vocabulary
 from genoloom.llm.scratch import Scratch
+from genoloom.llm.worker import hold, task
 
 CAPACITY, END_ID, SHARD_PIECES = 4096, 2, 2000
 #: Pre-tokens that go to the library in a line.
@@ -73,6 +74,11 @@ def best_fit(lengths: list[int], capacity: int = CAPACITY) -> tuple[list[int], l
     return windows, offset
 
 
+def forget() -> None:
+    library_encoder.cache_clear()
+    vocabulary.cache_clear()
+
+
 @lru_cache(maxsize=2)
 def library_encoder(path: str) -> Encoder:
     """The worker's encoder, whose pre-tokens, or whole words beyond printable ASCII, the tokenizers library encodes.
@@ -80,6 +86,7 @@ def library_encoder(path: str) -> Encoder:
     Pre-tokens go to the library a line at a time; each ends with the one id that has the end-of-word suffix.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    hold("packing", forget)
     voc = vocabulary(path)
     library = Tokenizer.from_file(path)
     library.no_truncation()
@@ -123,7 +130,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
                 yield pa.RecordBatch.from_arrays([*columns, *([pa.array(own, pa.list_(pa.int64()))] if with_ids else [])], [key, "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if with_ids else [])])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, {PIECES}" + ", ids array<long>" * with_ids)
+    return docs.select(key, text).mapInArrow(task("packing", run), f"`{key}` {kind}, {PIECES}" + ", ids array<long>" * with_ids)
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, shard_pieces: int = SHARD_PIECES, with_ids: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:

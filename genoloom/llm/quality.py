@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from genoloom.llm import words as W
+from genoloom.llm.worker import task
 
 MIN_WORDS = 20
 BASE_WINDOW, BASE_PERCENT = 8, 30
@@ -133,7 +134,7 @@ def rules(docs: DataFrame, min_repeat: int = MIN_REPEAT, most_percent: int = MOS
             got = judge(batch.column(text), min_repeat, most_percent, longest)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(got[n]) for n in names)], [*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(task("quality", run), schema)
 
 
 SQL = """

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from genoloom.llm import words as W
 from genoloom.llm.scratch import Scratch
+from genoloom.llm.worker import task
 
 WINDOW = 50
 #: Rounds: runs are named before the first round of pairs and once more half-way.
@@ -151,7 +152,7 @@ def describe(docs: DataFrame, size: int) -> DataFrame:
                 keys = [batch.column(x).slice(chunk.first, len(chunk)) for x in ("doc", "source")]
                 yield pa.RecordBatch.from_arrays([*keys, pa.array(w.count), digest, found], ["doc", "source", "n_words", "digest", "anchors"])
 
-    return docs.mapInArrow(run, "doc long, source long, n_words long, digest string, anchors array<long>")
+    return docs.mapInArrow(task("recompression", run), "doc long, source long, n_words long, digest string, anchors array<long>")
 
 
 def shared_windows(docs: DataFrame, size: int, prints: Callable) -> DataFrame:
@@ -173,7 +174,7 @@ def shared_windows(docs: DataFrame, size: int, prints: Callable) -> DataFrame:
                 doc, variant = (batch.column(x).take(pa.array(chunk.first + row)) for x in ("doc", "variant"))
                 yield pa.RecordBatch.from_arrays([pa.array(W.signed(a)), pa.array(W.signed(b)), doc, variant, pa.array((at - w.first[row]).astype(np.int32))], ["a", "b", "doc", "variant", "place"])
 
-    return docs.mapInArrow(run, "a long, b long, doc long, variant long, place int")
+    return docs.mapInArrow(task("recompression", run), "a long, b long, doc long, variant long, place int")
 
 
 def segments(matches: DataFrame) -> DataFrame:
@@ -190,7 +191,7 @@ def segments(matches: DataFrame) -> DataFrame:
             key = [batch.column(x).take(pa.array(own[new])) for x in ("doc", "variant", "owner", "owner_variant")]
             yield pa.RecordBatch.from_arrays([key[0], key[1], pa.array(place[new]), key[2], key[3], pa.array(other[new]), pa.array(np.diff(new, append=len(own)))], SEGMENT)
 
-    return matches.mapInArrow(run, ", ".join(f"{x} long" for x in SEGMENT))
+    return matches.mapInArrow(task("recompression", run), ", ".join(f"{x} long" for x in SEGMENT))
 
 
 def cut(docs: DataFrame, size: int) -> DataFrame:
@@ -217,7 +218,7 @@ def cut(docs: DataFrame, size: int) -> DataFrame:
             columns = list(zip(*out, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k == "string" else pa.int64()) for c, k in zip(columns, kinds, strict=True)], names)
 
-    return docs.select("doc", "variant", "source", "text", "spans", "owned").mapInArrow(run, CUT)
+    return docs.select("doc", "variant", "source", "text", "spans", "owned").mapInArrow(task("recompression", run), CUT)
 
 
 def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
