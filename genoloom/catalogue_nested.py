@@ -95,40 +95,64 @@ def vcf_file_order(spark, sf_dir):
     return files.numbered(lines, ["file", "number"], "place").select("place", f[0].alias("chrom"), f[1].cast("long").alias("pos"), F.regexp_extract(f[7], "SVTYPE=([^;]*)", 1).alias("svtype"))
 
 
-GTS = f"SELECT id, t, k, s // 50 AS s, e // 50 AS e, side, (id % 2) || '|' || (id // 2 % 2) AS gt FROM ({V.CALLS})"
+GTS = f"SELECT id, t, k, s // 50 AS s, e // 50 AS e, side, (id % 2) || '|' || (id // 2 % 2) AS gt, (id // 4 % 2) || '|0' AS gt2 FROM ({V.CALLS})"
 
 
-def genotyped(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    n = F.col("id")
-    rows = V.calls(spark, sf_dir).withColumn("s", F.floor(F.col("s") / 50)).withColumn("e", F.floor(F.col("e") / 50)).withColumn("gts", F.array(F.concat((n % 2).cast("string"), F.lit("|"), (F.floor(n / 2) % 2).cast("string"))))
-    return rows.filter("side = 'F'").drop("side"), rows.filter("side = 'O'").drop("side")
+def two_files(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """A normal file of one sample, and a somatic one of it and two clones."""
+    n, paths = F.col("id"), []
+    gt = F.concat((n % 2).cast("string"), F.lit("|"), (F.floor(n / 2) % 2).cast("string"))
+    end = F.floor(F.col("e") / 50)
+    info = F.concat(F.lit("SVTYPE="), "t", F.lit(";END="), end.cast("string"), F.lit(";N="), n.cast("string"))
+    rows = V.calls(spark, sf_dir).select("side", F.col("k").cast("string").alias("chrom"), F.floor(F.col("s") / 50).alias("pos"), end.alias("end"), F.col("t").alias("svtype"), F.lit("N").alias("ref"), F.lit("<X>").alias("alt"), F.lit(".").alias("qual"), F.lit("PASS").alias("filter"), info.alias("info"), gt.alias("gt"), F.concat((F.floor(n / 4) % 2).cast("string"), F.lit("|0")).alias("gt2"))
+    edges = spark.createDataFrame([("S_0", "S_1"), ("S_1", "S_2")], "parent string, child string")
+    for side, samples, columns in (("F", ["S_0"], ["gt"]), ("O", ["S_0", "S_1", "S_2"], ["gt", "gt2", "gt"])):
+        paths.append(files.shared_folder(spark, f"side-{side}"))
+        vcf.write_calls(rows.filter(F.col("side") == side).withColumn("samples", F.array(*columns)), paths[-1], samples, edges)
+    return f"{paths[0]}/*", f"{paths[1]}/*"
 
 
-@query(f"""
-WITH g AS ({GTS}), x AS (SELECT *, row_number() OVER (PARTITION BY k, s, e, t, gt ORDER BY side, id) AS n
-  FROM g WHERE side <> 'P') SELECT k::VARCHAR AS chrom, s AS pos, e AS end_pos, t AS svtype, CASE WHEN side = 'F' THEN [gt, gt, gt] ELSE [gt] END AS
-  samples FROM x WHERE n = 1
-""")
+@query(f"""WITH g AS ({GTS}), x AS (SELECT *, gt2 AS second, row_number() OVER (PARTITION BY k, s, e, t, gt ORDER BY side, id) AS n, min(gt2) OVER (PARTITION BY side, k, s, e, t, gt) = max(gt2) OVER (PARTITION BY side, k, s, e, t, gt) AS sure FROM g WHERE side <> 'P')
+SELECT k::VARCHAR AS chrom, s AS pos, e AS end_pos, t AS svtype, gt AS first, CASE WHEN side = 'F' THEN gt WHEN sure THEN second END AS second, 3::BIGINT AS columns FROM x WHERE n = 1""")
 def merged_call_file(spark, sf_dir):
-    path = files.shared_folder(spark, "merged")
-    normal, somatic = genotyped(spark, sf_dir)
-    vcf.write_merged(normal, somatic, 2, path, ["root", "one", "two"])
-    return vcf.read_calls(spark, f"{path}/*").select("chrom", "pos", F.col("end").alias("end_pos"), "svtype", "samples")
-
-
-@query(f"""
-WITH g AS ({GTS}), x AS (SELECT *, row_number() OVER (PARTITION BY k, s, e, t, gt ORDER BY id) AS n
-  FROM g WHERE side = 'O') SELECT k::VARCHAR AS chrom, s AS pos, e AS end_pos, t AS svtype, gt
-  FROM x WHERE n = 1 AND (k, s, e, t, gt) NOT IN (SELECT (k, s, e, t, gt)
-  FROM g WHERE side = 'F')
-""")
+    """Where calls of one side that are alike differ in a clone's genotype, any of them may stand for them."""
+    path, (normal, somatic) = files.shared_folder(spark, "merged"), two_files(spark, sf_dir)
+    vcf.merge_files(spark, normal, somatic, path)
+    found = vcf.read_calls(spark, f"{path}/*").withColumn("first", F.col("samples")[0]).withColumn("second", F.col("samples")[1])
+    alike = vcf.read_calls(spark, somatic).groupBy("chrom", "pos", "end", "svtype", F.col("samples")[0].alias("first")).agg((F.min(F.col("samples")[1]) == F.max(F.col("samples")[1])).alias("sure"))
+    own = vcf.read_calls(spark, normal).select("chrom", "pos", "end", "svtype", F.col("samples")[0].alias("first")).distinct().withColumn("normal", F.lit(True))
+    key = ["chrom", "pos", "end", "svtype", "first"]
+    second = F.when(F.coalesce("normal", "sure"), F.col("second"))
+    return found.join(alike, key, "left").join(own, key, "left").select("chrom", "pos", F.col("end").alias("end_pos"), "svtype", "first", second.alias("second"), F.size("samples").cast("long").alias("columns"))
+
+
+@query(f"WITH g AS ({GTS}), x AS (SELECT *, row_number() OVER (PARTITION BY k, s, e, t, gt ORDER BY id) AS n FROM g WHERE side = 'O') SELECT k::VARCHAR AS chrom, s AS pos, e AS end_pos, t AS svtype, gt FROM x WHERE n = 1 AND (k, s, e, t, gt) NOT IN (SELECT (k, s, e, t, gt) FROM g WHERE side = 'F')")
 def split_call_file(spark, sf_dir):
-    path = files.shared_folder(spark, "split")
-    normal, somatic = genotyped(spark, sf_dir)
-    vcf.write_split(somatic, normal, path, ["one"])
+    path, (normal, somatic) = files.shared_folder(spark, "split"), two_files(spark, sf_dir)
+    vcf.split_files(spark, normal, somatic, path)
     return vcf.read_calls(spark, f"{path}/*").select("chrom", "pos", F.col("end").alias("end_pos"), "svtype", F.col("samples")[0].alias("gt"))
 
 
+@query("SELECT 'c' || s_nationkey AS chrom, s_suppkey AS s, s_suppkey + 9 AS e FROM supplier WHERE s_suppkey % 3 > 0")
+def exclude_regions(spark, sf_dir):
+    """Lines of regions, of which each third lacks its end."""
+    path, n = files.shared_folder(spark, "exclude"), F.col("s_suppkey")
+    V.table(spark, sf_dir, "supplier").select(F.concat(F.lit("c"), F.col("s_nationkey").cast("string"), F.lit(","), n.cast("string"), F.lit(", "), F.when(n % 3 > 0, (n + 9).cast("string")).otherwise("x"))).write.text(path)
+    return T.read_exclude(spark, path)
+
+
+@query(f"SELECT chrom, pos AS s, e, 2.5::DOUBLE AS weight, 'svs' AS class, [svtype] AS ids FROM ({FILE_CALLS})")
+def calls_as_units(spark, sf_dir):
+    return C.as_units(vcf.read_calls(spark, f"{vcf_file(spark, sf_dir)}/*"), 2.5, "svs")
+
+
+@query(f"SELECT chrom, pos, e AS end_pos, svtype, 'SVTYPE=' || svtype || ';END=' || e || ';SVLEN=' || (e - pos) AS info FROM ({FILE_CALLS})")
+def positions_as_calls(spark, sf_dir):
+    """Calls of a file as positions by type, and back."""
+    found = C.as_calls(C.positions_by_type(vcf.read_calls(spark, f"{vcf_file(spark, sf_dir)}/*")))
+    return found.select("chrom", "pos", F.col("end").alias("end_pos"), "svtype", "info")
+
+
 @query("""WITH RECURSIVE d AS (
   SELECT p_partkey, p_name AS a, p_type AS b, 0 AS i, list_transform(range(0, length(p_type) + 1), lambda j: 3.0::DOUBLE * j) AS r FROM part
   UNION ALL SELECT p_partkey, a, b, i + 1, list_transform(range(1, length(b) + 2), lambda j: list_min(list_transform(range(1, j + 1), lambda k: 3.0::DOUBLE * (j - k)

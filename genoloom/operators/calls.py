@@ -59,3 +59,19 @@ def set_genotypes(alleles: Column) -> Column:
 def repeated_genotype(call: Column, clones: int) -> Column:
     """A germline genotype for each of ``clones`` clones."""
     return F.array_join(F.array_repeat(call, clones), "\t")
+
+
+def as_units(calls: DataFrame, weight: float, label: str) -> DataFrame:
+    """Calls (chrom, pos, end, svtype) as weighted units of class ``label`` whose id is the type."""
+    return calls.select("chrom", F.col("pos").alias("s"), F.col("end").alias("e"), F.lit(weight).alias("weight"), F.lit(label).alias("class"), F.array("svtype").alias("ids"))
+
+
+def positions_by_type(calls: DataFrame) -> DataFrame:
+    """(chrom, svtype, s, e) of calls."""
+    return calls.select("chrom", "svtype", F.col("pos").alias("s"), F.col("end").alias("e"))
+
+
+def as_calls(positions: DataFrame) -> DataFrame:
+    """Positions (chrom, svtype, s, e) as calls with INFO."""
+    info = F.concat(F.lit("SVTYPE="), "svtype", F.lit(";END="), F.col("e").cast("string"), F.lit(";SVLEN="), (F.col("e") - F.col("s")).cast("string"))
+    return positions.select("chrom", F.col("s").alias("pos"), F.col("e").alias("end"), "svtype", info.alias("info"))

@@ -58,6 +58,13 @@ def read_clone_tree(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     return edges, nodes.select("clone", "alive", F.col("depth")[F.col("clone")].alias("depth"), F.col("freq")[F.col("clone")].alias("freq"))
 
 
+def read_exclude(spark: SparkSession, path: str) -> DataFrame:
+    """(chrom, s, e) of lines ``contig,start,end``; lines without a contig or two whole numbers are dropped."""
+    f = spark.read.text(path).select(F.transform(F.split("value", ","), lambda x: F.trim(x)).alias("f"))
+    rows = f.select(F.get("f", F.lit(0)).alias("chrom"), F.get("f", F.lit(1)).try_cast("long").alias("s"), F.get("f", F.lit(2)).try_cast("long").alias("e"))
+    return rows.filter("chrom <> '' AND s IS NOT NULL AND e IS NOT NULL")
+
+
 def read_gene_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).filter("value <> ''").select(F.col("value").alias("symbol"))
 

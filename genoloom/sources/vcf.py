@@ -10,7 +10,7 @@ from genoloom.operators.calls import contig_order, info_replace, info_value, rev
 from genoloom.operators.compare import score
 from genoloom.operators.intervals import merge
 from genoloom.operators.somatic import merged, split
-from genoloom.sources.files import numbered
+from genoloom.sources.files import lines, numbered
 
 #: Columns of the format.
 FIXED = ["chrom", "pos", "id", "ref", "alt", "qual", "filter", "info"]
@@ -116,21 +116,47 @@ def write_calls(calls: DataFrame, path: str, samples: list[str] = (), edges: Dat
     rows.repartitionByRange(parts, "number").sortWithinPartitions("number").select(F.concat_ws("\t", *fields)).write.text(f"{path}/1-calls")
 
 
-def write_merged(normal: DataFrame, somatic: DataFrame, clones: int, path: str, samples: list[str]) -> None:
-    """One file of normal and somatic calls (k, s, e, t, gts), as ``somatic.merged`` has them: a normal one has its genotype in each column."""
-    write_calls(as_calls(merged(normal, somatic, clones)), path, samples)
+def kept_header(spark: SparkSession, path: str) -> DataFrame:
+    """(part, at, value): the header lines of a file, or of files that follow one another by name, in their order."""
+    rows = lines(spark, path).filter(F.col("value").startswith("#"))
+    return rows.groupBy("value").agg(F.min(F.struct("file", "number")).alias("at")).select("at", "value")
 
 
-def write_split(somatic: DataFrame, normal: DataFrame, path: str, samples: list[str]) -> None:
-    """The somatic calls that are not normal ones, ids kept apart by ``somatic.split``."""
-    own = somatic.join(split(somatic, normal).select("id"), "id", "left_semi")
-    write_calls(as_calls(own), path, samples)
+def write_lines(spark: SparkSession, header: str, rows: DataFrame, path: str) -> None:
+    """The header of the files ``header`` and ``rows`` (FIXED, format, gts, contig_key) by (contig, pos); ids stay."""
+    kept_header(spark, header).repartition(1).sortWithinPartitions("at").select("value").write.text(f"{path}/0-header")
+    fields = [F.coalesce(F.col(x).cast("string"), F.lit(".")) for x in [*FIXED, "format"]]
+    order = ["contig_key", "pos", "end", "svtype", "id"]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.withColumn("contig_key", contig_order(F.col("chrom")))
+    rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(F.concat_ws("\t", *fields, F.array_join("gts", "\t"))).write.text(f"{path}/1-calls")
+
+
+KEY = ["chrom", "pos", "end", "svtype"]
 
 
-def as_calls(rows: DataFrame) -> DataFrame:
-    """Rows (k, s, e, t, gts) with the columns of a call file."""
-    info = F.concat(F.lit("SVTYPE="), "t", F.lit(";END="), F.col("e").cast("string"))
-    return rows.select(F.col("k").cast("string").alias("chrom"), F.col("s").alias("pos"), F.lit("N").alias("ref"), F.concat(F.lit("<"), "t", F.lit(">")).alias("alt"), F.lit(None).cast("string").alias("qual"), F.lit("PASS").alias("filter"), info.alias("info"), F.col("e").alias("end"), F.col("t").alias("svtype"), F.col("gts").alias("samples"))
+def merge_files(spark: SparkSession, normal: str, somatic: str, path: str) -> None:
+    """One file of the calls of a normal and a somatic file, sorted, under the header of the somatic one.
+
+    Calls are the same by contig, position, end, type and first genotype; a normal one wins and has its genotype in the
+    column of each clone of the pedigree and of the root. A normal sample that the pedigree does not know is an error.
+    """
+    edges, sample = pedigree(spark, somatic), header_samples(spark, normal).orderBy(F.desc("place")).select("sample").first()
+    known = edges.select(F.col("parent").alias("sample")).union(edges.select("child")).filter(F.col("sample") == (sample[0] if sample else ""))
+    if not known.limit(1).count():
+        raise ValueError("the sample of the normal file is not in the pedigree of the somatic one")
+    sides = [read_calls(spark, x).withColumnRenamed("samples", "gts") for x in (normal, somatic)]
+    write_lines(spark, somatic, merged(*sides, highest_clone(edges).first()[0] or 0, KEY), path)
+
+
+def split_files(spark: SparkSession, normal: str, somatic: str, path: str) -> None:
+    """The calls of a somatic file that are not in a normal one, each once (the least id), sorted, under the somatic header."""
+    sides = [read_calls(spark, x).withColumnRenamed("samples", "gts") for x in (normal, somatic)]
+    own = split(sides[1], sides[0], KEY).select("id", *KEY, "gt").withColumnsRenamed({x: f"own_{x}" for x in ["id", *KEY, "gt"]})
+    same = F.lit(True)
+    for x in ["id", *KEY]:
+        same = same & (F.col(x) == F.col(f"own_{x}"))
+    write_lines(spark, somatic, sides[1].join(own, same & F.get("gts", F.lit(0)).eqNullSafe(F.col("own_gt")), "left_semi"), path)
 
 
 def with_sequences(calls: DataFrame, chunks: DataFrame, size: int, sexes: tuple[str, str] = ("X", "Y")) -> DataFrame:

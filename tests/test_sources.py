@@ -93,3 +93,45 @@ def test_nearest_length_ties(spark):
     given = spark.createDataFrame([(8,), (12,), (6,)], "n long")
     assert sorted(map(tuple, S.nearest_length(wanted, given, "id", "n").collect())) == [(1, 12), (2, 6), (3, None), (4, 8)]
     assert [r.nearest for r in S.nearest_length(wanted, given.filter("false"), "id", "n").collect()] == [None] * 4
+
+
+def call_file(tmp_path, name, samples, rows):
+    head = ["##fileformat=VCFv4.2", "##PEDIGREE=<Derived=S_1,Original=S_0>", "##PEDIGREE=<Derived=S_2,Original=S_1>", "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t" + "\t".join(samples)]
+    return written(tmp_path, name, "\n".join(head + [f"{c}\t{p}\t{i}\tN\t<{t}>\t.\tPASS\tSVTYPE={t};END={e}\tGT\t" + "\t".join(g) for c, p, e, i, t, g in rows]) + "\n")
+
+
+def test_merged_and_split_files(spark, tmp_path):
+    normal = call_file(tmp_path, "n.vcf", ["S_0"], [("2", 5, 9, "a", "DEL", ["0|1"]), ("10", 5, 9, "b", "DEL", ["1|1"]), ("2", 5, 9, "c", "DEL", ["0|1"])])
+    somatic = call_file(tmp_path, "s.vcf", ["S_0", "S_1", "S_2"], [("2", 5, 9, "x", "DEL", ["0|1", "1|1", "0|0"]), ("2", 5, 9, "y", "DUP", ["0|1", "1|1", "0|0"]), ("X", 1, 2, "z", "DEL", ["0|0", "1|0", "0|1"]), ("X", 1, 2, "w", "DEL", ["0|0", "1|0", "0|1"])])
+
+    def body(folder):
+        lines = [x for part in ("0-header", "1-calls") for f in sorted((tmp_path / folder / part).glob("part-*")) for x in f.read_text().splitlines()]
+        assert [x[:5] for x in lines if x[0] == "#"] == ["##fil", "##PED", "##PED", "#CHRO"]
+        return [(x.split("\t")[2], x.split("\t")[9:]) for x in lines if x[0] != "#"]
+
+    vcf.merge_files(spark, normal, somatic, f"file://{tmp_path}/m")
+    assert body("m") == [("a", ["0|1"] * 3), ("y", ["0|1", "1|1", "0|0"]), ("w", ["0|0", "1|0", "0|1"]), ("b", ["1|1"] * 3)]
+    vcf.split_files(spark, normal, somatic, f"file://{tmp_path}/d")
+    assert [i for i, _ in body("d")] == ["y", "w"]
+    other = call_file(tmp_path, "o.vcf", ["T_0"], [])
+    try:
+        vcf.merge_files(spark, other, somatic, f"file://{tmp_path}/e")
+    except ValueError as e:
+        assert "pedigree" in str(e)
+    else:
+        raise AssertionError("a stranger's file was merged")
+
+
+def test_sequences_of_calls(spark, tmp_path):
+    seq = "ACGTTGCAAC" * 5
+    chunks = spark.createDataFrame([("X", i, seq[8 * i : 8 * i + 8]) for i in range(7)], "name string, chunk int, seq string")
+    rows = [("X", 6, "d", "DEL", 19, "SVTYPE=DEL;END=19;SVLEN=13", ["1|0"]), ("X", 6, "e", "DEL", 19, "SVTYPE=DEL;END=19;SVLEN=13", ["0|0"]), ("X", 3, "i", "INV", 8, "SVTYPE=INV;END=8", []), ("Y", 1, "u", "DUP", 5, "SVTYPE=DUP;END=5", []), ("X", 45, "o", "DEL", 60, "SVTYPE=DEL;END=60", [])]
+    calls = spark.createDataFrame([(c, p, i, "N", ".", None, None, info, e, t, s) for c, p, i, t, e, info, s in rows], "chrom string, pos long, id string, ref string, alt string, qual string, filter string, info string, end long, svtype string, samples array<string>")
+    got = {r.id: r for r in vcf.with_sequences(calls, chunks, 8).collect()}
+    assert set(got) == {"d", "i", "u", "o"} and {r.gt for r in got.values()} == {"1"}
+    assert (got["d"].ref, got["d"].alt, got["d"].info) == (seq[6:19], "<DEL>", "SVTYPE=DEL;END=19;SVLEN=14")
+    assert (got["i"].ref, got["i"].alt, got["i"].info) == ("TTGCA", "TGCAA", "SVTYPE=INV;END=8;SVLEN=6")
+    assert got["u"].ref == "" and got["u"].info == "SVTYPE=DUP;END=5;SVLEN=5;DUP_POS=1;DUP_TYPE=TANDEM;ICN=4"
+    assert got["o"].ref == seq[45:]
+    alone = {r.id: r.gt for r in vcf.with_sequences(calls.filter("chrom = 'X'"), chunks, 8).collect()}
+    assert alone == {"d": "1|0", "i": "0|1", "o": "0|1"}
