@@ -206,7 +206,8 @@ def counted(sent: DataFrame, buckets: int, least: int, answer: bool) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # scratch of this task alone, beside Spark's own spills; nothing else reads it
-        with tempfile.TemporaryDirectory(dir=(os.environ.get("SPARK_LOCAL_DIRS") or "").split(",")[0] or None) as folder:
+        own = (os.environ.get("SPARK_LOCAL_DIRS") or "").split(",")[0]
+        with tempfile.TemporaryDirectory(dir=own if os.path.isdir(own) else None) as folder:
             db = duckdb.connect(f"{folder}/bucket.db", config={"memory_limit": COUNT_MEMORY, "threads": 1, "temp_directory": f"{folder}/spill", "preserve_insertion_order": False})
             db.register("rows", pa.RecordBatchReader.from_batches(MESSAGES, (pa.RecordBatch.from_arrays(b.columns, schema=MESSAGES) for b in batches)))
             db.execute("CREATE TABLE r AS SELECT lang, block, unnest(grams) AS gram, unnest(n) AS n FROM rows")

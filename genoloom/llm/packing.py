@@ -10,17 +10,17 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
-from genoloom.llm.bpe import WHOLE, Encoder, slices, vocabulary
+from genoloom.llm.bpe import WHOLE, Encoder, vocabulary
 from genoloom.llm.scratch import Scratch
 from genoloom.llm.worker import hold, task
 
 CAPACITY, END_ID, SHARD_PIECES = 4096, 2, 2000
-#: Pre-tokens that go to the library in a line.
-LINE = 1024
+#: Pre-tokens that go to the library in a line, words that a worker remembers, and bytes of texts that are encoded at once.
+LINE, MOST_KNOWN, SLICE_BYTES = 1024, 200_000, 2 << 20
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -88,7 +88,7 @@ def library_encoder(path: str) -> Encoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     hold("packing", forget)
     voc = vocabulary(path)
-    library = Tokenizer.from_file(path)
+    library = voc.rules
     library.no_truncation()
     library.no_padding()
     closes = np.zeros(voc.size, bool)
@@ -108,7 +108,17 @@ def library_encoder(path: str) -> Encoder:
                 a, b = next(span)
                 yield flat[a:b]
 
-    return Encoder(voc, merge)
+    return Encoder(voc, merge, MOST_KNOWN)
+
+
+def spans(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Runs of consecutive texts of about ``most`` bytes; a longer text is a run of its own. Only a run is unpacked at once."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+        yield a, b
+        a = b
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -116,10 +126,10 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, keys = batch.column(1).to_pylist(), batch.column(0)
-            for a, b in slices(texts):
+            texts, keys = batch.column(1), batch.column(0)
+            for a, b in spans(texts):
                 row, found, own = [], [], []
-                for i, ids in enumerate(library_encoder(path).rows(texts[a:b]), a):
+                for i, ids in enumerate(library_encoder(path).rows(texts.slice(a, b - a).to_pylist()), a):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     for s in range(0, len(ids), capacity):
                         part = ids[s : s + capacity]
