@@ -17,7 +17,7 @@ from genoloom.llm.scratch import Scratch
 #: Symbols of a context at most, occurrences it needs, bits it must add, and observations its suffix counts as.
 ORDER, SUPPORT, DIVERGENCE, PRIOR = 6, 8, 0.01, 8.0
 #: Symbols of a word that see the word before, and how many bytes of it.
-HEAD, TAIL = 2, 3
+HEAD, TAIL = 3, 3
 #: Characters of texts that are counted together, units of a block, and bytes of a block of texts.
 SLICE, BLOCK_UNITS, BLOCK_BYTES = 8 << 20, 300_000, 12 << 20
 SPACE, END_BYTE, END_WORD = 32, b"\xff", b" "

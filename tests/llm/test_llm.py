@@ -136,7 +136,7 @@ def brute_tree(texts, order, support):
         for w in pst.tokens(text):
             spelt = b"\xff" if w == pst.END_WORD else w + b" "
             for i, s in enumerate(spelt):
-                seen = before[-3:] + b" " + spelt[:i] if i < 2 else spelt[:i]
+                seen = before[-pst.TAIL :] + b" " + spelt[:i] if i < pst.HEAD else spelt[:i]
                 yield (*[32] * order, *seen)[-order:], s
             before = w
 
