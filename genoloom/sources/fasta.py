@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from genoloom.sources.files import qualified
+
 #: Bases of a block: a multiple of the line width, small enough that a block's text fits the format's 64 KB.
 SIZE, WIDTH = 60_000, 80
 #: The format's header (gzip, deflate, extra field of 6 bytes named BC with the size less 1) and its end.
@@ -66,6 +68,7 @@ def write_blocks(chunks: DataFrame, folder: str, size: int = SIZE, width: int =
     """
     if size % width:
         raise ValueError("a block must be of whole lines")
+    folder = qualified(chunks.sparkSession, folder)
     run_id, parts = f"{time.time_ns():020d}", int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,6 +115,7 @@ def read_ranges(spark: SparkSession, folder: str, ranges: DataFrame, size: int =
     the pieces are put together in order. What lies beyond a contig is missing; an empty range, or one of an unknown
     contig, has an empty seq. Ids are unique.
     """
+    folder = qualified(spark, folder)
     clean = ranges.select("id", "name", F.greatest(F.col("s"), F.lit(0)).alias("s"), "e")
     asked = clean.filter("e > s").withColumn("block", F.explode(F.sequence(F.floor(F.col("s") / size), F.floor((F.col("e") - 1) / size))))
     met = asked.join(index(spark, folder), ["name", "block"])
