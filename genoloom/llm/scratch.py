@@ -3,21 +3,11 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; on one machine, where it is unset, a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="genoloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+from genoloom.sources.files import shared_root
 
 
 class Scratch:

@@ -34,6 +34,7 @@ from tokenizers import Tokenizer, pre_tokenizers
 
 from genoloom.llm.bpe import Numbered, Runs, slices
 from genoloom.llm.scratch import Scratch
+from genoloom.sources.files import qualified
 
 END_ID, FRAME_IDS, SHARD_IDS, PART_BYTES = 2, 1 << 17, 1 << 22, 64 << 20
 #: Fixed values of the seekable layout: marks of skippable frames (the index, the seek table) and the closing mark.
@@ -251,6 +252,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID, frame_i
     decides. Null text is empty and has the end id alone. Other columns are not read. No rows, no files. The manifest is
     evaluated each time it is read: write it before use.
     """
+    folder = qualified(docs.sparkSession, folder)
     kind = docs.schema[key].dataType.simpleString()
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))
@@ -296,6 +298,7 @@ def read(manifest: DataFrame, folder: str, kind: str = "long", with_ids: bool =
     ``start`` counts the ids of all documents before it: those of earlier files come from one window over the manifest
     (a row a file), the others from the file's index. Frames are decompressed one at a time and checked.
     """
+    folder = qualified(manifest.sparkSession, folder)
     before = F.coalesce(F.sum("ids").over(Window.orderBy("part", "nth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     files = manifest.select("file", before.alias("before")).repartition(max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "file")
     rows_at_once = 4096
@@ -321,6 +324,7 @@ def read_documents(files: DataFrame, wanted: DataFrame, folder: str, kind: str =
     ``wanted`` (key) goes to each file whose keys reach around it; ``files`` is the manifest. Keys that are null or not
     there have no row, keys of several documents one each.
     """
+    folder = qualified(files.sparkSession, folder)
     spans = bounds(files, folder, kind)
     asked = wanted.select(F.col(key).alias("k")).filter("k IS NOT NULL").distinct().join(spans, F.col("k").between(F.col("low"), F.col("high"))).groupBy("file").agg(F.collect_list("k").alias("keys"))
 
