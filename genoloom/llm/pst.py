@@ -6,11 +6,12 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from genoloom.llm.bpe import Numbered, slices
+from genoloom.llm.bpe import Numbered
 from genoloom.llm.bytetrie import Symbols
 from genoloom.llm.scratch import Scratch
 
@@ -18,8 +19,8 @@ from genoloom.llm.scratch import Scratch
 ORDER, SUPPORT, DIVERGENCE, PRIOR = 6, 8, 0.01, 8.0
 #: Symbols of a word that see the word before, and how many bytes of it.
 HEAD, TAIL = 3, 3
-#: Characters of texts that are counted together, units of a block, and bytes of a block of texts.
-SLICE, BLOCK_UNITS, BLOCK_BYTES = 8 << 20, 300_000, 12 << 20
+#: Units of a block, and bytes of a block of texts.
+BLOCK_UNITS, BLOCK_BYTES = 300_000, 16 << 20
 SPACE, END_BYTE, END_WORD = 32, b"\xff", b" "
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -46,7 +47,7 @@ class Units:
         head = np.array([heads.setdefault(END_BYTE if w == END_WORD else (w + b" ")[:HEAD], len(heads)) for w in self.words])
         before = np.concatenate([[0], self.word[:-1]])
         before[np.cumsum(self.count) - self.count] = 0
-        pair, self.head = np.unique(tail[before] * len(heads) + head[self.word], return_inverse=True)
+        self.head, pair = pd.factorize(tail[before] * len(heads) + head[self.word])
         names, ends = list(tails), list(heads)
         self.heads = [names[x // len(heads)] + b" " + ends[x % len(heads)] for x in pair.tolist()]
 
@@ -69,22 +70,6 @@ def unit_codes(units: list[bytes], head: np.ndarray, order: int) -> tuple[np.nda
     return codes[chosen], own[chosen]
 
 
-def counted(rows: DataFrame) -> DataFrame:
-    """(unit, head, c) of ``rows`` (text, held_out); c leaves out rows that are held out. Tasks add up before the shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, held = batch.column(0).to_pylist(), np.asarray(batch.column(1).to_numpy(zero_copy_only=False), bool)
-            for a, b in slices(texts, SLICE):
-                units = Units(texts[a:b])
-                learned = np.repeat(~held[a:b], units.count)
-                names, head = units.all()
-                n = np.concatenate([np.bincount(units.word[learned], minlength=len(units.words))[1:], np.bincount(units.head[learned], minlength=len(units.heads))])
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(head), pa.array(n)], ["unit", "head", "n"])
-
-    return rows.select("text", "held_out").mapInArrow(run, "unit binary, head boolean, n long").groupBy("unit", "head").agg(F.sum("n").alias("c"))
-
-
 def suffix(column: str, symbols: int) -> Column:
     return F.col(column).bitwiseAND(F.lit((1 << (8 * symbols)) - 1))
 
@@ -169,20 +154,13 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
 
     The tree's symbols are bytes. The context of one of a word's first HEAD symbols reaches back over the space before it
     into the last TAIL bytes of the word before, that of a later one to the start of its word, and either over ``order``
-    symbols at most. So a text is scored by its words and their heads: these are counted where texts are read, the tree
-    is made of the counted ones, and then texts, dealt by a hash of the whole row into blocks of about ``block_bytes``,
-    ask once for each that they have. A word, however frequent, has a row for each block at most, and neither the
+    symbols at most. So a text is scored by its words and their heads: texts are dealt by a hash of the whole row into
+    blocks of about ``block_bytes``, each block counts its own, the tree is made of all of them, and each block gets what
+    becomes of those that it counted. A word, however frequent, has a row for each block at most, and neither the
     vocabulary nor the tree is ever gathered in one place.
     """
     scratch = Scratch(docs.sparkSession, "pst")
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    vocabulary = scratch.keep(counted(rows), "vocabulary")
-    n, v = vocabulary.filter("not head").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    grams = scratch.keep(code_counts(vocabulary, order), "grams")
-    logs = likelihoods(grams, scratch, order, support)
-    scored = scratch.keep(unit_logs(vocabulary, logs, order), "scored")
-    scratch.drop("vocabulary", "grams", *(f"{x}-{k}" for k in range(order + 1) for x in ("counts", "level", "kept", "found")))
-    scratch.clean()
     size = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("key", "text"), F.lit(max(1, -(-size // block_bytes)))))
 
@@ -192,8 +170,21 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
         return table.take(pa.array(sorted(range(len(texts)), key=texts.__getitem__), pa.int64()))
 
     def asked(key: tuple, table: pa.Table) -> pa.Table:
-        units, head = Units(in_order(table)["text"].to_pylist()).all()
-        return pa.table({"block": pa.array(np.full(len(units), key[0].as_py())), "at": pa.array(np.arange(len(units), dtype=np.int32)), "unit": pa.array(units, pa.binary()), "head": pa.array(head)})
+        table = in_order(table)
+        units = Units(table["text"].to_pylist())
+        names, head = units.all()
+        learned = np.repeat(~np.asarray(table["held_out"].to_numpy(zero_copy_only=False), bool), units.count)
+        n = np.concatenate([np.bincount(units.word[learned], minlength=len(units.words))[1:], np.bincount(units.head[learned], minlength=len(units.heads))])
+        return pa.table({"block": pa.array(np.full(len(names), key[0].as_py())), "at": pa.array(np.arange(len(names), dtype=np.int32)), "unit": pa.array(names, pa.binary()), "head": pa.array(head), "n": pa.array(n)})
+
+    requests = scratch.keep(dealt.groupBy("block").applyInArrow(asked, "block long, at int, unit binary, head boolean, n long"), "requests")
+    vocabulary = scratch.keep(requests.groupBy("unit", "head").agg(F.sum("n").alias("c")), "vocabulary")
+    n, v = vocabulary.filter("not head").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    grams = scratch.keep(code_counts(vocabulary, order), "grams")
+    logs = likelihoods(grams, scratch, order, support)
+    scored = scratch.keep(unit_logs(vocabulary, logs, order), "scored")
+    scratch.drop("vocabulary", "grams", *(f"{x}-{k}" for k in range(order + 1) for x in ("counts", "level", "kept", "found")))
+    scratch.clean()
 
     def run(texts: pa.Table, sent: pa.Table) -> pa.Table:
         texts = in_order(texts)
@@ -205,6 +196,6 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
         sums = [np.add.reduceat(x, first) if len(first) else x for x in (c[word] > 0, base[word], log[word] + log[words + units.head])]
         return pa.table({"key": texts["key"], "held_out": texts["held_out"], "n_tokens": pa.array(units.count), "n_known": pa.array(sums[0].astype(np.int64)), "train_tokens": pa.array(np.full(len(first), n)), "base_score": pa.array(sums[1]), "score": pa.array(sums[2])})
 
-    sent = dealt.groupBy("block").applyInArrow(asked, "block long, at int, unit binary, head boolean").join(scored, ["unit", "head"]).select("block", "at", "c", "log")
+    sent = requests.join(scored, ["unit", "head"]).select("block", "at", "c", "log")
     schema = f"key {rows.schema['key'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return dealt.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(run, schema).withColumnRenamed("key", key)

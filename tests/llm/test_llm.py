@@ -162,8 +162,7 @@ def brute_tree(texts, order, support):
 
 
 @pytest.mark.parametrize("order, support", [(3, 8), (6, 2)])
-def test_pst_against_brute_force(spark, monkeypatch, order, support):
-    monkeypatch.setattr(pst, "SLICE", 2000)
+def test_pst_against_brute_force(spark, order, support):
     texts = [" ".join(prose(i, 40, 60)) + " banana Bandana " + "é" * (i % 3) for i in range(50)] + ["unheard quixotry é ", "\xff", *ODD]
     df = docs(spark, texts).repartition(3)
     held = df["doc_id"].between(45, 53)
