@@ -177,13 +177,17 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
         n = np.concatenate([np.bincount(units.word[learned], minlength=len(units.words))[1:], np.bincount(units.head[learned], minlength=len(units.heads))])
         return pa.table({"block": pa.array(np.full(len(names), key[0].as_py())), "at": pa.array(np.arange(len(names), dtype=np.int32)), "unit": pa.array(names, pa.binary()), "head": pa.array(head), "n": pa.array(n)})
 
-    requests = scratch.keep(dealt.groupBy("block").applyInArrow(asked, "block long, at int, unit binary, head boolean, n long"), "requests")
+    requests = scratch.keep(dealt.groupBy("block").applyInArrow(asked, "block long, at int, unit binary, head boolean, n long"), "requests", "zstd")
+    scratch.clean()
     vocabulary = scratch.keep(requests.groupBy("unit", "head").agg(F.sum("n").alias("c")), "vocabulary")
+    scratch.clean()
     n, v = vocabulary.filter("not head").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     grams = scratch.keep(code_counts(vocabulary, order), "grams")
     logs = likelihoods(grams, scratch, order, support)
+    scratch.drop("grams", *(f"{x}-{k}" for k in range(order + 1) for x in ("counts", "level", "kept")))
+    scratch.clean()
     scored = scratch.keep(unit_logs(vocabulary, logs, order), "scored")
-    scratch.drop("vocabulary", "grams", *(f"{x}-{k}" for k in range(order + 1) for x in ("counts", "level", "kept", "found")))
+    scratch.drop("vocabulary", f"found-{order}")
     scratch.clean()
 
     def run(texts: pa.Table, sent: pa.Table) -> pa.Table:
