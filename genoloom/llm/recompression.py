@@ -252,11 +252,9 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     common = scratch.keep(named.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low <> high").select("anchor"), "common")
     wanted = scratch.keep(named.join(common, "anchor").groupBy("doc").agg(F.collect_set("anchor").alias("anchors")), "wanted")
     scratch.drop("known", "firsts", "common")
-    scratch.clean()
     variant = F.when(F.col("several"), F.col("source")).otherwise(F.lit(0).cast("long"))
     texts = scratch.keep(rows.join(wanted.join(several, "doc", "left"), "doc").withColumn("variant", variant).drop("several"), "texts")
     scratch.drop("several", "wanted")
-    scratch.clean()
     changed, agreed = remove_shared(texts, scratch, size, fingerprints)
     if not agreed:
         changed, _ = remove_shared(texts, scratch, size, exact_fingerprints)
@@ -269,12 +267,10 @@ def remove_shared(texts: DataFrame, scratch: Scratch, size: int, prints: Callabl
     windows = scratch.keep(shared_windows(texts, size, prints), "windows")
     owners = windows.groupBy("a", "b").agg(F.min(F.struct("doc", "variant", "place")).alias("o"), F.max("doc").alias("last")).filter("o.doc < last")
     owners = scratch.keep(owners.select("a", "b", F.col("o.doc").alias("owner"), F.col("o.variant").alias("owner_variant"), F.col("o.place").alias("owner_place")), "owners")
-    scratch.clean()
     link = F.shiftleft(F.col("place").cast("long"), 32) + F.col("owner_place")
     matches = windows.join(owners, ["a", "b"]).filter("owner < doc").groupBy("doc", "variant", "owner", "owner_variant").agg(F.collect_set(link).alias("links"))
     runs = scratch.keep(segments(matches), "runs")
     scratch.drop("windows", "owners")
-    scratch.clean()
     span = F.struct("place", "n")
     lost = runs.groupBy("doc", "variant").agg(F.collect_set(span).alias("spans"))
     owned = runs.select(F.col("owner").alias("doc"), F.col("owner_variant").alias("variant"), F.col("owner_place").alias("place"), "n").groupBy("doc", "variant").agg(F.collect_set(span).alias("owned"))
