@@ -177,7 +177,7 @@ def compared(rows: DataFrame, width: int, percent: int) -> DataFrame:
                 others, good = every[good.any(1)], good[good.any(1)]
                 if len(others):
                     both = sets.common(others, hubs)
-                    x, y = np.nonzero(good & (100 * both >= percent * (sets.count[others][:, None] + sets.count[hubs][None] - both)))
+                    x, y = np.nonzero(good & (both > 0) & (100 * both >= percent * (sets.count[others][:, None] + sets.count[hubs][None] - both)))
                     links.append((node[hubs[y]], node[others[x]]))
             if links:
                 found += spanning(*(np.concatenate(x) for x in zip(*links, strict=True)))
@@ -235,14 +235,15 @@ def parted(inside: DataFrame) -> DataFrame:
 def link_classes(leaders: DataFrame, rows: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFrame:
     """(node, component) of linked classes. ``leaders``: (node, doc, source, n_shingles, keys, sketch), one row for each class.
 
-    Texts that share a band key may be linked; what such sharing connects is a group.
+    Texts that share a band key may be linked; what such sharing connects is a group. Sets of any size count: texts of
+    other words or another order may have equal sets of one shingle.
     A group of up to AT_ONCE texts is compared whole, each text read once.
     In a larger group two rounds come first, which only connect: GROUP_HUBS texts of the group are compared with all of
     it, then in each bucket that still holds several components BUCKET_HUBS texts of the largest one and as many others
     are compared with all that lie outside the largest. At last, in each bucket, every text outside the largest component is held
     against all of the bucket, so every candidate pair between components has been looked at and no link is lost.
     """
-    keys = leaders.filter(100 * F.col("n_shingles") >= percent * (F.col("n_shingles") + 1)).select("node", F.explode("keys").alias("key"))
+    keys = leaders.select("node", F.explode("keys").alias("key"))
     shared = scratch.keep(keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("key", "low"), "shared")
     members = scratch.keep(keys.join(shared, "key"), "members")
     groups = components(members.select(F.col("node").alias("a"), F.col("low").alias("b")), scratch, "groups").toDF("node", "grp")

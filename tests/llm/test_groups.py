@@ -74,6 +74,16 @@ def test_equal_sets_in_another_order_and_odd_rows(spark):
     assert minhash.near_duplicates(df.filter("false")).count() == 0
 
 
+def test_equal_sets_of_few_shingles_are_linked(spark):
+    texts = ["a a", "a a a", "A a a a", "b a b", "a b a", "a b a b", "x y z x", "y z x y", "z x y z x", "a", "b", "a b", "aa", None]
+    keys = list(range(len(texts)))
+    df = spark.createDataFrame([*zip(keys, texts, strict=True)], "doc_id long, text string")
+    for width in (2, 5):
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, width=width).collect()}
+        assert got == dict(zip(keys, components_of(keys, texts, width), strict=True))
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(df, width=2).collect()} == dict(enumerate([0, 0, 0, 3, 3, 3, 6, 6, 6, 9, 10, 11, 12, 13]))
+
+
 def test_traversal_takes_all_within_the_slack_in_order():
     rng = np.random.default_rng(1)
     for _ in range(200):
