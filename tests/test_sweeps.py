@@ -134,6 +134,26 @@ def test_greedy_choices_equal_a_sequential_pass(spark):
     assert S.without_conflicts(alone, ["k"]).count() == 1 and S.without_conflicts(df.limit(0), ["k"]).count() == 0
 
 
+def test_greedy_choices_over_piles_form_few_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [("a", s, s + rng.choice([3, 40, 40, 700, 9000]), i, rng.choice("xyz")) for i, s in enumerate(rng.randrange(3000) for _ in range(700))]
+    rows += [("b", 5, 9, 1000 + i, "x") for i in range(300)] + [(None, 5, 9, 2000, "x"), (None, 6, 9, 2001, "x")]
+    df, met, plain = spark.createDataFrame(rows, "k string, s long, e long, id long, t string"), [], I.overlaps
+
+    def counted(left, right, keys):
+        met.append(plain(left, right, keys).count())
+        return plain(left, right, keys)
+
+    monkeypatch.setattr(S.I, "overlaps", counted)
+    taken = []
+    for r in sorted(rows, key=lambda r: (r[3] * 7919 % 1009, r[3])):
+        if r[0] is None or not any(x[0] == r[0] and x[1] <= r[2] and r[1] <= x[2] for x in taken):
+            taken.append(r)
+    got = S.first_disjoint(df, ["k"], F.col("id") * 7919 % 1009, 1 << 20).collect()
+    assert {r.id for r in got} == {r[3] for r in taken}
+    assert sum(met) < 20 * len(rows)
+
+
 def test_events_split_over_genes(spark):
     events = spark.createDataFrame([("a", 0, 100, 1), ("a", 90, 120, 2), ("a", 500, 510, 3)], "k string, s long, e long, id long")
     genes = spark.createDataFrame([("a", 10, 20, "g"), ("a", 95, 99, "h"), ("a", 118, 130, "i"), ("b", 0, 9, "j")], "k string, s long, e long, symbol string")
