@@ -154,6 +154,18 @@ def test_greedy_choices_over_piles_form_few_pairs(spark, monkeypatch):
     assert sum(met) < 20 * len(rows)
 
 
+def test_inherited_genotypes_in_a_pile_form_few_pairs(spark):
+    rng = random.Random(9)
+    outer = [(rng.choice("ab"), s, s + rng.choice([0, 3, 60, 60, 60, 900]), i, f"{i}|{i % 2}") for i, s in enumerate(rng.randrange(2000) for _ in range(1500))]
+    inner = [(rng.choice("abc"), s, s + rng.choice([0, 50, 400]), i) for i, s in enumerate(rng.randrange(2200) for _ in range(200))]
+    out = spark.createDataFrame(outer, "k string, s long, e long, id long, gt string")
+    got = dict(map(tuple, S.inherited_genotypes(spark.createDataFrame(inner, "k string, s long, e long, id long"), out, ["k"]).collect()))
+    for k, s, e, i in inner:
+        assert got[i] == max(((r[3], r[4]) for r in outer if r[0] == k and r[1] <= e and s <= r[2]), default=(0, "0|0"))[1]
+    pile = spark.range(2000).selectExpr("'a' AS k", "id % 50 AS s", "id % 50 + 300 AS e", "id")
+    assert S.unhidden(pile, ["k"], "id").count() < 120
+
+
 def test_events_split_over_genes(spark):
     events = spark.createDataFrame([("a", 0, 100, 1), ("a", 90, 120, 2), ("a", 500, 510, 3)], "k string, s long, e long, id long")
     genes = spark.createDataFrame([("a", 10, 20, "g"), ("a", 95, 99, "h"), ("a", 118, 130, "i"), ("b", 0, 9, "j")], "k string, s long, e long, symbol string")
