@@ -56,6 +56,22 @@ def test_bed_and_masks(spark, tmp_path):
     assert sorted(map(tuple, tables.read_mask(spark, written(tmp_path, "m.json", '{"1":[[1,2],[5,6]],"2":[]}')).collect())) == [("1", 1, 2), ("1", 5, 6)]
 
 
+def test_lines_over_blocks_and_files(spark, tmp_path):
+    texts = ["".join(f"{name}\t{i}\t{i + 1}\n" for i in range(n)) for name, n in (("a", 3000), ("b", 1), ("c", 700))]
+    for i, text in enumerate(texts):
+        written(tmp_path, f"part-{i}.bed", text)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    got = {(r.chrom, r.s): r.id for r in tables.read_bed(spark, str(tmp_path), "b", together=True).collect()}
+    own = {(r.chrom, r.s): r.id for r in tables.read_bed(spark, str(tmp_path), "b").collect()}
+    plan = files.lines(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    rows = [tuple(x.split("\t")[:2]) for text in texts for x in text.splitlines()]
+    assert got == {(k, int(s)): f"b_{n + 1}" for n, (k, s) in enumerate(rows)}
+    assert own == {(k, int(s)): f"b_{int(s) + 1}" for k, s in rows}
+    assert "row_number" not in plan
+
+
 def test_matched_rows_with_one_id(spark):
     a = spark.createDataFrame([("c", 1, 10, 1), ("c", 100, 110, 1)], "k string, s long, e long, id long")
     b = spark.createDataFrame([("c", 1, 10, 7)], "k string, s long, e long, id long")
