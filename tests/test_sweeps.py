@@ -37,6 +37,17 @@ def ranges(request, spark):
     spark.conf.set("spark.sql.shuffle.partitions", old)
 
 
+def test_more_rows_lie_in_more_ranges(spark, monkeypatch):
+    monkeypatch.setattr(files, "RANGE_ROWS", 20)
+    rows = [r for r in spans(11, 400, 900, 12) if r[0]]
+    df = spark.createDataFrame(rows, SCHEMA)
+    ranged = files.by_range(df, ["k", "s"])
+    assert ranged.select("part").distinct().count() > 4 and max(r["count"] for r in ranged.groupBy("part").count().collect()) < 60
+    over = points(rows)
+    assert {(r.k, r.s, r.e) for r in I.merge(df, ["k"]).collect()} == runs(over)
+    assert {(r.k, p): r.depth for r in I.depth(df, ["k"]).collect() for p in range(r.s, r.e + 1)} == {at: len(x) for at, x in over.items()}
+
+
 def points(rows, keep=lambda r: True):
     out = {}
     for r in filter(keep, rows):
