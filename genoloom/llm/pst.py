@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -19,9 +18,11 @@ from genoloom.llm.scratch import Scratch
 ORDER, SUPPORT, DIVERGENCE, PRIOR = 6, 8, 0.01, 8.0
 #: Symbols of a word that see the word before, and how many bytes of it.
 HEAD, TAIL = 3, 3
-#: Units of a block, and bytes of a block of texts.
-BLOCK_UNITS, BLOCK_BYTES = 300_000, 16 << 20
+#: Bytes of a block of texts, and blocks for which there is a bucket of units.
+BLOCK_BYTES, BUCKET_BLOCKS = 16 << 20, 2
 SPACE, END_BYTE, END_WORD = 32, b"\xff", b" "
+#: Between the units of a request: white space that is in none.
+SEPARATOR = b"\n"
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -36,24 +37,33 @@ class Units:
     """
 
     def __init__(self, texts: list[str]):
-        rows = list(map(tokens, texts))
-        self.count = np.fromiter(map(len, rows), np.int64, len(rows))
         known = Numbered()
-        self.word = known.numbers(chain([b""], chain.from_iterable(rows)), 1 + int(self.count.sum()))[1:]
+        known.numbers([b""], 1)
+        rows = [np.zeros(0, np.int32)]
+        for text in texts:
+            own = tokens(text)
+            rows.append(known.numbers(own, len(own)).astype(np.int32))
+        self.count = np.fromiter(map(len, rows[1:]), np.int64, len(texts))
+        self.word = np.concatenate(rows)
+        del rows
         self.words = known.fresh
         tails: dict[bytes, int] = {}
         heads: dict[bytes, int] = {}
         tail = np.array([tails.setdefault(w[-TAIL:], len(tails)) for w in self.words])
         head = np.array([heads.setdefault(END_BYTE if w == END_WORD else (w + b" ")[:HEAD], len(heads)) for w in self.words])
-        before = np.concatenate([[0], self.word[:-1]])
+        before = np.concatenate([[0], self.word])[:-1]
         before[np.cumsum(self.count) - self.count] = 0
-        self.head, pair = pd.factorize(tail[before] * len(heads) + head[self.word])
+        pairs = tail[before] * len(heads)
+        pairs += head[self.word]
+        number, pair = pd.factorize(pairs)
+        self.head = number.astype(np.int32)
+        del before, pairs, number
         names, ends = list(tails), list(heads)
         self.heads = [names[x // len(heads)] + b" " + ends[x % len(heads)] for x in pair.tolist()]
 
-    def all(self) -> tuple[list[bytes], np.ndarray]:
-        """Words that occur, then heads, and which are heads."""
-        return self.words[1:] + self.heads, np.arange(len(self.words) - 1 + len(self.heads)) >= len(self.words) - 1
+    def all(self) -> list[bytes]:
+        """Words that occur, then heads: no word but the end holds a space, and each head does."""
+        return self.words[1:] + self.heads
 
 
 def unit_codes(units: list[bytes], head: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,17 +84,69 @@ def suffix(column: str, symbols: int) -> Column:
     return F.col(column).bitwiseAND(F.lit((1 << (8 * symbols)) - 1))
 
 
-def code_counts(vocabulary: DataFrame, order: int) -> DataFrame:
-    """(code, n) over all units."""
+def packed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes, own = unit_codes(batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False), order)
-            code, number = np.unique(codes, return_inverse=True)
-            n = np.bincount(number, batch.column(2).to_numpy()[own], len(code))
-            yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n.astype(np.int64))], ["code", "n"])
 
-    return vocabulary.select("unit", "head", "c").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+def unpacked(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
+def by_bucket(units: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the units in order of their buckets, in each as they come, and where each bucket begins, and the end."""
+    bucket = np.fromiter(map(crc32, units), np.int64, len(units)) % buckets
+    return np.argsort(bucket, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
+
+
+class Bucket:
+    """The different units that some blocks ask for, with their counts ``c``, and for each request the numbers of its units."""
+
+    def __init__(self, requests: pa.Table):
+        known, counts = Numbered(), []
+        self.numbers = []
+        for units, n in zip(requests["units"].to_pylist(), requests["n"].to_pylist(), strict=True):
+            counts.append(np.frombuffer(unpacked(n), np.int64))
+            self.numbers.append(known.numbers(unpacked(units).split(SEPARATOR), len(counts[-1])))
+        self.units = known.fresh
+        self.c = np.zeros(len(self.units), np.int64)
+        for number, n in zip(self.numbers, counts, strict=True):
+            self.c[number] += n
+        self.head = np.array([b" " in x and x != END_WORD for x in self.units], bool)
+
+    def codes(self, order: int) -> tuple[np.ndarray, np.ndarray]:
+        return unit_codes(self.units, self.head, order)
+
+
+def bucket_codes(requests: DataFrame, order: int) -> DataFrame:
+    """(bucket, code, n): the different codes of each bucket's units; a row without a code has the bucket's number of words that were learned from."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        bucket = Bucket(table)
+        codes, own = bucket.codes(order)
+        code, number = np.unique(codes, return_inverse=True)
+        n = np.bincount(number, bucket.c[own], len(code)).astype(np.int64)
+        learned = np.count_nonzero(bucket.c[~bucket.head])
+        code = pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(code, pa.int64())])
+        return pa.table({"bucket": pa.array(np.full(len(code), key[0].as_py())), "code": code, "n": pa.array(np.concatenate([[learned], n]).astype(np.int64))})
+
+    return requests.groupBy("bucket").applyInArrow(run, "bucket long, code long, n long")
+
+
+def answers(requests: DataFrame, codes: DataFrame, logs: DataFrame, order: int) -> DataFrame:
+    """(block, bucket, c, log): the counts and summed logs of each request's units, in its order. A bucket asks once for each of its different codes."""
+
+    def run(table: pa.Table, sent: pa.Table) -> pa.Table:
+        bucket = Bucket(table)
+        code, log = sent["code"].to_numpy(), sent["log"].to_numpy()
+        by = np.argsort(code)
+        code, log = code[by], log[by]
+        found, own = bucket.codes(order)
+        total = np.bincount(own, log[np.searchsorted(code, found)], len(bucket.units))
+        c, total = ([packed(x[number].tobytes()) for number in bucket.numbers] for x in (bucket.c, total))
+        return pa.table({"block": table["block"], "bucket": table["bucket"], "c": pa.array(c, pa.binary()), "log": pa.array(total, pa.binary())})
+
+    sent = codes.join(logs, "code").select("bucket", "code", "log")
+    return requests.groupBy("bucket").cogroup(sent.groupBy("bucket")).applyInArrow(run, "block long, bucket long, c binary, log binary")
 
 
 def likelihoods(grams: DataFrame, scratch: Scratch, order: int = ORDER, support: int = SUPPORT, divergence: float = DIVERGENCE, prior: float = PRIOR) -> DataFrame:
@@ -123,29 +185,6 @@ def likelihoods(grams: DataFrame, scratch: Scratch, order: int = ORDER, support:
     return found.select("code", F.log10("chance").alias("log"))
 
 
-def unit_logs(vocabulary: DataFrame, logs: DataFrame, order: int, most: int = BLOCK_UNITS) -> DataFrame:
-    """(unit, head, c, log): the summed logs of a unit's symbols. Blocks of units ask once for each of their different codes."""
-    dealt = vocabulary.withColumn("block", F.pmod(F.xxhash64("unit"), F.lit(max(1, vocabulary.count() // most))))
-
-    def codes_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        return unit_codes(table["unit"].to_pylist(), table["head"].to_numpy(), order)
-
-    def asked(key: tuple, table: pa.Table) -> pa.Table:
-        code = np.unique(codes_of(table)[0])
-        return pa.table({"block": pa.array(np.full(len(code), key[0].as_py())), "code": pa.array(code)})
-
-    def summed(table: pa.Table, sent: pa.Table) -> pa.Table:
-        code, log = sent["code"].to_numpy(), sent["log"].to_numpy()
-        by = np.argsort(code)
-        code, log = code[by], log[by]
-        codes, own = codes_of(table)
-        total = np.bincount(own, log[np.searchsorted(code, codes)], len(table))
-        return pa.table({"unit": table["unit"], "head": table["head"], "c": table["c"], "log": pa.array(total)})
-
-    sent = dealt.groupBy("block").applyInArrow(asked, "block long, code long").join(logs, "code").select("block", "code", "log")
-    return dealt.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(summed, "unit binary, head boolean, c long, log double")
-
-
 def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text", order: int = ORDER, support: int = SUPPORT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``.
 
@@ -155,14 +194,16 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
     The tree's symbols are bytes. The context of one of a word's first HEAD symbols reaches back over the space before it
     into the last TAIL bytes of the word before, that of a later one to the start of its word, and either over ``order``
     symbols at most. So a text is scored by its words and their heads: texts are dealt by a hash of the whole row into
-    blocks of about ``block_bytes``, each block counts its own, the tree is made of all of them, and each block gets what
-    becomes of those that it counted. A word, however frequent, has a row for each block at most, and neither the
+    blocks of about ``block_bytes``, each block counts its own and sends them as one packed request to each bucket of a hash
+    of units. Buckets put equal units together, the tree is made of all of them, and a request is answered in its order,
+    so no unit is sent a second time. A unit, however frequent, is in a request of each block at most, and neither the
     vocabulary nor the tree is ever gathered in one place.
     """
     scratch = Scratch(docs.sparkSession, "pst")
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     size = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("key", "text"), F.lit(max(1, -(-size // block_bytes)))))
+    buckets = max(1, -(-size // (BUCKET_BLOCKS * block_bytes)))
 
     def in_order(table: pa.Table) -> pa.Table:
         """By text, so that a block's units have the same numbers each time that it is put together."""
@@ -172,34 +213,44 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
     def asked(key: tuple, table: pa.Table) -> pa.Table:
         table = in_order(table)
         units = Units(table["text"].to_pylist())
-        names, head = units.all()
+        names = units.all()
         learned = np.repeat(~np.asarray(table["held_out"].to_numpy(zero_copy_only=False), bool), units.count)
-        n = np.concatenate([np.bincount(units.word[learned], minlength=len(units.words))[1:], np.bincount(units.head[learned], minlength=len(units.heads))])
-        return pa.table({"block": pa.array(np.full(len(names), key[0].as_py())), "at": pa.array(np.arange(len(names), dtype=np.int32)), "unit": pa.array(names, pa.binary()), "head": pa.array(head), "n": pa.array(n)})
-
-    requests = scratch.keep(dealt.groupBy("block").applyInArrow(asked, "block long, at int, unit binary, head boolean, n long"), "requests", "zstd")
+        n = np.concatenate([np.bincount(units.word[learned], minlength=len(units.words))[1:], np.bincount(units.head[learned], minlength=len(units.heads))]).astype(np.int64)
+        order, start = by_bucket(names, buckets)
+        rows = [(b, order[start[b] : start[b + 1]]) for b in range(buckets) if start[b] < start[b + 1]]
+        return pa.table({
+            "block": pa.array(np.full(len(rows), key[0].as_py())), "bucket": pa.array([b for b, _ in rows], pa.int64()),
+            "units": pa.array([packed(SEPARATOR.join([names[i] for i in at.tolist()])) for _, at in rows], pa.binary()), "n": pa.array([packed(n[at].tobytes()) for _, at in rows], pa.binary()),
+            "learned": pa.array([int(n[at[at < len(units.words) - 1]].sum()) for _, at in rows], pa.int64()),
+        })
+
+    requests = scratch.keep(dealt.groupBy("block").applyInArrow(asked, "block long, bucket long, units binary, n binary, learned long"), "requests")
     scratch.clean()
-    vocabulary = scratch.keep(requests.groupBy("unit", "head").agg(F.sum("n").alias("c")), "vocabulary")
+    codes = scratch.keep(bucket_codes(requests, order), "codes")
     scratch.clean()
-    n, v = vocabulary.filter("not head").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    grams = scratch.keep(code_counts(vocabulary, order), "grams")
+    n = requests.agg(F.coalesce(F.sum("learned"), F.lit(0))).first()[0]
+    v = codes.filter("code IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    codes = codes.filter("code IS NOT NULL")
+    grams = scratch.keep(codes.groupBy("code").agg(F.sum("n").alias("n")), "grams")
     logs = likelihoods(grams, scratch, order, support)
     scratch.drop("grams", *(f"{x}-{k}" for k in range(order + 1) for x in ("counts", "level", "kept")))
     scratch.clean()
-    scored = scratch.keep(unit_logs(vocabulary, logs, order), "scored")
-    scratch.drop("vocabulary", f"found-{order}")
+    replies = scratch.keep(answers(requests, codes, logs, order), "replies")
+    scratch.drop("requests", "codes", f"found-{order}")
     scratch.clean()
 
     def run(texts: pa.Table, sent: pa.Table) -> pa.Table:
         texts = in_order(texts)
         units = Units(texts["text"].to_pylist())
-        at, words = sent["at"].to_numpy(), len(units.words) - 1
-        c, log = np.zeros(words + len(units.heads), np.int64), np.zeros(words + len(units.heads))
-        c[at], log[at] = sent["c"].to_numpy(), sent["log"].to_numpy()
+        names, words = units.all(), len(units.words) - 1
+        order, start = by_bucket(names, buckets)
+        c, log = np.zeros(len(names), np.int64), np.zeros(len(names))
+        for b, own, sums in zip(*(sent[x].to_pylist() for x in ("bucket", "c", "log")), strict=True):
+            at = order[start[b] : start[b + 1]]
+            c[at], log[at] = np.frombuffer(unpacked(own), np.int64), np.frombuffer(unpacked(sums), np.float64)
         base, word, first = np.log10((c[:words] + 1) / (n + v + 1)), units.word - 1, np.cumsum(units.count) - units.count
         sums = [np.add.reduceat(x, first) if len(first) else x for x in (c[word] > 0, base[word], log[word] + log[words + units.head])]
         return pa.table({"key": texts["key"], "held_out": texts["held_out"], "n_tokens": pa.array(units.count), "n_known": pa.array(sums[0].astype(np.int64)), "train_tokens": pa.array(np.full(len(first), n)), "base_score": pa.array(sums[1]), "score": pa.array(sums[2])})
 
-    sent = requests.join(scored, ["unit", "head"]).select("block", "at", "c", "log")
     schema = f"key {rows.schema['key'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(run, schema).withColumnRenamed("key", key)
+    return dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, schema).withColumnRenamed("key", key)

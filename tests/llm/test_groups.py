@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from genoloom.llm import embeddings, langid, minhash, packing, quality, recompression
+from genoloom.llm import embeddings, langid, minhash, packing, pst, quality, recompression
 from genoloom.llm.queries import VOCABULARY
+from genoloom.llm.scratch import Scratch
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_words int, score double, Kept string"
 
@@ -178,3 +179,20 @@ def test_pipeline_end_to_end(spark, tmp_path):
     want = packing.pack(spark.createDataFrame(list(cut.items()), "doc_id long, text string"), VOCABULARY).collect()
     assert sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in got) == sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in want)
     assert sum(passage in t for t in cut.values()) <= 1
+
+
+def test_pst_blocks_send_one_request_a_bucket(spark, monkeypatch):
+    sizes, keep = {}, Scratch.keep
+
+    def counted(self, df, name, *rest):
+        kept = keep(self, df, name, *rest)
+        sizes[name] = kept.count()
+        return kept
+
+    monkeypatch.setattr(Scratch, "keep", counted)
+    texts = [" ".join(f"w{i * j}" for j in range(60)) for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert pst.score(df, df["doc_id"] < 5, order=2, block_bytes=4000).count() == 40
+    blocks = -(-sum(len(t) + 64 for t in texts) // 4000)
+    # a request a block and bucket, not one a unit, and as many answers
+    assert sizes["requests"] == sizes["replies"] <= blocks * -(-blocks // pst.BUCKET_BLOCKS) < 40
