@@ -311,3 +311,22 @@ def test_running_total(spark, ranges):
     df = spark.createDataFrame([(i, i * i % 17) for i in range(300)], "id long, v long")
     got = {r.id: r.before for r in files.running_total(df, ["id"], "v", "before").collect()}
     assert got == {i: sum(x * x % 17 for x in range(i)) for i in range(300)}
+
+
+def test_conflicts_meet_beginnings_once(spark):
+    rng = random.Random(12)
+    rows = [(rng.choice("ab"), s, s + rng.choice([0, 3, 60, 900]), i) for i, s in enumerate(rng.choice([rng.randrange(3000), 7]) for _ in range(300))]
+    got = S.conflicts(spark.createDataFrame(rows, "k string, s long, e long, id long"), ["k"])
+    want = sorted((x[3], y[3]) for x in rows for y in rows if x[3] < y[3] and x[0] == y[0] and x[1] <= y[2] and y[1] <= x[2])
+    assert sorted(map(tuple, got.collect())) == want
+    # one join of calls with beginnings, not a second one of the coarser levels
+    assert "Union" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_events_split_over_genes_form_pairs_once(spark, monkeypatch):
+    met, overlaps = [], I.overlaps
+    monkeypatch.setattr(I, "overlaps", lambda *a: met.append(1) or overlaps(*a))
+    events = spark.createDataFrame([("a", 0, 100, 1), ("a", 500, 510, 2), (None, 500, 510, 3)], "k string, s long, e long, id long")
+    genes = spark.createDataFrame([("a", 10, 20, "g"), ("a", 400, 499, "h"), (None, 500, 510, "i")], "k string, s long, e long, symbol string")
+    got = set(map(tuple, S.split_over_genes(events, genes, ["k"]).collect()))
+    assert got == {("a", 10, 20, 1, "g"), ("a", 500, 510, 2, None), (None, 500, 510, 3, None)} and len(met) == 1
