@@ -23,8 +23,7 @@ def call_difference(a: DataFrame, b: DataFrame, key: list[str] = KEY) -> DataFra
 
 def info_value(info: Column, key: str) -> Column:
     """The value of the key's last entry, null if there is none."""
-    found = F.regexp_extract_all(info, F.lit(f"(?:^|;){key}=([^;]*)"), F.lit(1))
-    return F.when(F.size(found) > 0, F.element_at(found, -1))
+    return F.try_element_at(F.regexp_extract_all(info, F.lit(f"(?:^|;){key}=([^;]*)"), F.lit(1)), F.lit(-1))
 
 
 def info_replace(info: Column, key: str, value: Column) -> Column:

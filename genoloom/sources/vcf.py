@@ -10,7 +10,7 @@ from genoloom.operators.calls import contig_order, info_replace, info_value, rev
 from genoloom.operators.compare import score
 from genoloom.operators.intervals import merge
 from genoloom.operators.somatic import merged, split
-from genoloom.sources.files import lines, numbered
+from genoloom.sources.files import kept, lines, numbered
 
 #: Columns of the format.
 FIXED = ["chrom", "pos", "id", "ref", "alt", "qual", "filter", "info"]
@@ -45,10 +45,12 @@ def read_calls(spark: SparkSession, path: str, contigs: list[str] | None = None)
 def call_intervals(calls: DataFrame, low: int = 0, high: int = 1 << 62) -> DataFrame:
     """(chrom, s, e, svtype, ids): distinct calls as intervals with s <= e and low <= e - s + 1 <= high.
 
-    The id is INFO's SAMPLE, of which one row an ID counts, else the ID.
+    The id is INFO's SAMPLE, of which one row an ID counts, else the ID. What the lines say is written first, so that they
+    are taken apart once.
     """
     sample = info_value(F.col("info"), "SAMPLE")
     rows = calls.select("chrom", F.least("pos", "end").alias("s"), F.greatest("pos", "end").alias("e"), "svtype", "id", sample.alias("sample"))
+    rows = kept(rows, "call-rows")
     first = rows.filter("sample IS NOT NULL").groupBy("id").agg(F.min(F.struct("chrom", "s", "e", "svtype", "sample")).alias("r")).select("r.*")
     plain = rows.filter("sample IS NULL").select("chrom", "s", "e", "svtype", F.col("id").alias("sample"))
     return first.union(plain).filter(F.expr(f"e - s + 1 BETWEEN {low} AND {high}")).groupBy("chrom", "s", "e", "svtype").agg(F.array_sort(F.collect_set("sample")).alias("ids"))

@@ -151,3 +151,12 @@ def test_sequences_of_calls(spark, tmp_path):
     assert got["o"].ref == seq[45:]
     alone = {r.id: r.gt for r in vcf.with_sequences(calls.filter("chrom = 'X'"), chunks, 8).collect()}
     assert alone == {"d": "1|0", "i": "0|1", "o": "0|1"}
+
+
+def test_call_intervals_take_lines_apart_once(spark, tmp_path):
+    rows = ["c\t5\tv1\tA\t.\t.\t.\tSVTYPE=DEL;END=9;SAMPLE=", "c\t5\tv2\tA\t.\t.\t.\tEND=7;SVTYPE=DUP;END=9", "c\t5\tv3\tA\t.\t.\t.\tSVTYPE=DUP;END=9"]
+    (tmp_path / "a.vcf").write_text("\n".join(rows) + "\n")
+    got = vcf.call_intervals(vcf.read_calls(spark, str(tmp_path / "a.vcf")))
+    assert sorted(map(tuple, got.collect())) == [("c", 5, 9, "DEL", [""]), ("c", 5, 9, "DUP", ["v2", "v3"])]
+    assert "text" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert "FileScan text" not in got._jdf.queryExecution().executedPlan().toString()
