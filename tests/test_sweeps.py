@@ -330,3 +330,20 @@ def test_events_split_over_genes_form_pairs_once(spark, monkeypatch):
     genes = spark.createDataFrame([("a", 10, 20, "g"), ("a", 400, 499, "h"), (None, 500, 510, "i")], "k string, s long, e long, symbol string")
     got = set(map(tuple, S.split_over_genes(events, genes, ["k"]).collect()))
     assert got == {("a", 10, 20, 1, "g"), ("a", 500, 510, 2, None), (None, 500, 510, 3, None)} and len(met) == 1
+
+
+def test_segments_are_swept_with_their_ids(spark, ranges, monkeypatch):
+    """Cuts of a null end and of null ids, ids that lie over one another, and over whole ranges; no segment is joined with what made it."""
+    monkeypatch.delattr(I, "overlaps")
+    rows = [r for r in spans(13, 200, 400, 30) if r[0]]
+    rows += [("a", 5, 390, 900, "q", 0.0), ("a", 7, 20, 901, None, 0.0), ("b", 40, None, 902, "x", 0.0), (None, 1, 9, 903, "x", 0.0), ("c", 3, 3, 904, "x", 0.0)]
+    got = {(r.k, r.s, r.e): r.ids for r in I.segments(spark.createDataFrame(rows, SCHEMA), ["k"], "t").collect()}
+    want = {}
+    for k in "abc":
+        own = [r for r in rows if r[0] == k]
+        cuts = sorted({r[1] for r in own} | {r[2] + 1 for r in own if r[2] is not None})
+        for s, e in zip(cuts, [x - 1 for x in cuts[1:]]):
+            ids = sorted({r[4] for r in own if r[2] is not None and r[1] <= e and r[2] >= s and r[4]})
+            if ids:
+                want[k, s, e] = ids
+    assert got == want
