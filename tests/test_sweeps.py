@@ -347,3 +347,22 @@ def test_segments_are_swept_with_their_ids(spark, ranges, monkeypatch):
             if ids:
                 want[k, s, e] = ids
     assert got == want
+
+
+def test_majority_is_swept_with_its_classes(spark, ranges, monkeypatch):
+    """Ids with several intervals in a class and in several classes, rows without an end, an id or a class; no segment is joined with classes."""
+    monkeypatch.delattr(I, "overlaps")
+    rows = [r for r in spans(14, 120, 300, 30) if r[0]]
+    rows = [(*r[:3], r[3] % 50, *r[4:]) for r in rows]
+    rows += [("a", 5, 290, 900, "x", 0.0), ("a", 7, 20, 901, None, 0.0), ("a", 8, 30, None, "y", 0.0), ("b", 40, None, 902, "x", 0.0), (None, 1, 9, 903, "x", 0.0), ("c", 3, 5, 904, "z", 0.0), ("c", 3, 5, 904, "z", 0.0)]
+    for data, low, high in ((rows, 2, 9), (rows[-7:], 1, 99)):
+        got = {(r.k, r.s, r.e): (r.weight, r.major) for r in W.majority(spark.createDataFrame(data, SCHEMA), ["k"], "t", "id", low, high).collect()}
+        want = {}
+        for k in "abc":
+            own = [r for r in data if r[0] == k]
+            cuts = sorted({r[1] for r in own} | {r[2] + 1 for r in own if r[2] is not None})
+            for s, e in zip(cuts, [x - 1 for x in cuts[1:]]):
+                over = {(r[4], r[3]) for r in own if None not in r[1:5] and r[1] <= e and r[2] >= s}
+                if low <= len(over) <= high:
+                    want[k, s, e] = (len(over), max((sum(t == x for x, _ in over), t) for t, _ in over)[1])
+        assert got == want
