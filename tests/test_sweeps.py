@@ -366,3 +366,15 @@ def test_majority_is_swept_with_its_classes(spark, ranges, monkeypatch):
                 if low <= len(over) <= high:
                     want[k, s, e] = (len(over), max((sum(t == x for x, _ in over), t) for t, _ in over)[1])
         assert got == want
+
+
+def test_conflicts_of_a_pile_go_through_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(S, "CELL", 10)
+    rng = random.Random(15)
+    rows = [("a", 70 + rng.randrange(3), 100, i) for i in range(90)] + [("a", s, s + rng.choice([2, 300]), 90 + s) for s in range(0, 400, 9)] + [(None, 70, 100, 900), ("b", None, 100, 901), ("b", 70, None, 902)]
+    got = S.conflicts(spark.createDataFrame(rows, "k string, s long, e long, id long"), ["k"]).withColumn("task", F.spark_partition_id()).collect()
+    whole = [r for r in rows if None not in r]
+    want = sorted((x[3], y[3]) for x in whole for y in whole if x[3] < y[3] and x[1] <= y[2] and y[1] <= x[2])
+    assert sorted((r.a, r.b) for r in got) == want
+    pile = [r.task for r in got if r.b < 90]
+    assert len(set(pile)) > 2 and max(pile.count(x) for x in set(pile)) < 0.6 * len(pile)
